@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets
+from . import license, secrets, urlfilter
 from .common import table
 
 
@@ -12,5 +12,13 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan}
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.train(urlfilter.labelled_urls(spark)))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op6_url_filter, op9_license_scan)}
 ORACLES = {"op2_secret_scan": secrets.oracle()}
