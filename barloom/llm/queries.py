@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license, secrets, urlfilter
+from . import decontam, license, packing, secrets, urlfilter
 from .common import table
 
 
@@ -12,13 +12,29 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return judged.drop("longest_hit", "longest_at")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.train(urlfilter.labelled_urls(spark)))
 
 
+def vocabulary() -> tuple[str, str]:
+    """Paths of the public byte-level vocabulary, in both of its forms."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), *vocabulary())
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op6_url_filter, op9_license_scan)}
-ORACLES = {"op2_secret_scan": secrets.oracle()}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_decontamination, op6_url_filter, op8_best_fit_packing, op9_license_scan)}
+ORACLES = {"op2_secret_scan": secrets.oracle(), "op3_decontamination": decontam.oracle()}

@@ -28,7 +28,8 @@ def _tables():
     lower[65:91] += 32
     alnum = lower.copy()
     alnum[:48] = 0
-    alnum[58:97] = 0
+    alnum[58:65] = 0
+    alnum[91:97] = 0
     alnum[123:128] = 0
     spaced = np.arange(256, dtype=np.uint8)
     spaced[[32, 9, 10, 11, 12, 13]] = 0
