@@ -79,8 +79,9 @@ def spans(docs: DataFrame, keys: list[str], text: str = "text", templates: dict
     """Verified template spans: the key columns, label, part, first and last word, and the covered share (``vote``)."""
     ref = template_grams(docs.sparkSession, templates, k)
     words = docs.select(*keys, _words(normal_text(text_of(docs, text))).alias("words"))
-    # the hashes stand in a column of their own, so exploding and joining them stays compiled
-    rolled = words.select(*keys, _grams(F.col("words"), k).alias("grams")).select(*keys, F.posexplode("grams").alias("pos", "gram"))
+    # The hashes stand in a column of their own, so exploding and joining them stays compiled.  The outer form keeps
+    # the optimizer from filtering on their number, for which it would work out the words anew at every position.
+    rolled = words.select(*keys, _grams(F.col("words"), k).alias("grams")).select(*keys, F.posexplode_outer("grams").alias("pos", "gram"))
     hits = rolled.join(F.broadcast(ref), "gram")
     votes = hits.select(*keys, "label", "part", "t_len", "t_pos", "pos", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
     by = [*keys, "label", "part", "t_len"]
