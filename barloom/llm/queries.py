@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, license, packing, secrets, urlfilter
-from .common import table
+from . import decontam, license, packing, secrets, topk, toxicity, urlfilter
+from .common import crc_mod, table
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("longest_hit", "longest_at")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.train(urlfilter.labelled_urls(spark)))
 
@@ -36,5 +41,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_decontamination, op6_url_filter, op8_best_fit_packing, op9_license_scan)}
-ORACLES = {"op2_secret_scan": secrets.oracle(), "op3_decontamination": decontam.oracle()}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return judged.select("doc_id", (crc_mod(F.col("doc_id"), toxicity.FOLDS) == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_decontamination, op4_exact_top_k, op6_url_filter, op8_best_fit_packing, op9_license_scan, op10_toxicity)}
+ORACLES = {"op2_secret_scan": secrets.oracle(), "op3_decontamination": decontam.oracle(), "op4_exact_top_k": topk.ORACLE}
