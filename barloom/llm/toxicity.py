@@ -2,8 +2,9 @@
 
 Texts are folded (case, homoglyphs, digits that stand for letters) to words
 with one blank between.  The lexicon holds words and beginnings of words whose
-share in toxic documents is far above chance; a document's score comes from
-the weights of the words hit, normalised by its length, and hits inside an
+share in toxic documents is far above chance, weighted by how much more often
+they stand there.  A document's score comes from the weights of the words hit,
+against the hits that a toxic text of its length would have; hits inside an
 exception phrase don't count.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -55,21 +57,22 @@ def fold(text: str) -> str:
     return (b" " + b" ".join(words) + b" ").decode("latin-1")
 
 
-def features(folded: str) -> set[str]:
-    """Whole words (``' word '``) and beginnings of words (``' wor'``) of a folded text."""
-    out = set()
-    for w in set(folded.split(" ")):
-        if w:
-            out.add(f" {w} ")
-            out.update(f" {w[:n]}" for n in STEMS if len(w) > n)
+def features(folded: str) -> Counter:
+    """Whole words (``' word '``) and beginnings of words (``' wor'``) of a folded text, with their counts."""
+    out: Counter = Counter()
+    for w, n in Counter(folded.split()).items():
+        out[f" {w} "] += n
+        for size in STEMS:
+            if len(w) > size:
+                out[f" {w[:size]}"] += n
     return out
 
 
 class Lexicon:
     """Entries with weights, and the calibration of a document's score."""
 
-    def __init__(self, weights: dict[str, float], bias: float = -4.0, slope: float = 1.0, power: float = 0.25):
-        self.weights, self.bias, self.slope, self.power = weights, bias, slope, power
+    def __init__(self, weights: dict[str, float], rate: float = 0.01, bias: float = -4.0, slope: float = 1.0):
+        self.weights, self.rate, self.bias, self.slope = weights, rate, bias, slope
 
     def matcher(self):
         import ahocorasick
@@ -83,25 +86,27 @@ class Lexicon:
         found.make_automaton()
         return found
 
-    def strength(self, matcher, folded: str) -> float:
-        """The summed weights of hit words, one entry (the heaviest) a word, by a power of the number of words."""
-        hits: dict[int, float] = {}
+    def hits(self, matcher, folded: str) -> tuple[float, int, int]:
+        """(summed weights of the words hit, one entry (the heaviest) a word; words hit; words)."""
+        found: dict[int, float] = {}
         spared = []
         for at, (size, weight) in matcher.iter(folded):
             start = at - size + 1
             if weight is None:
                 spared.append((start, at))
-            elif weight > hits.get(start, 0.0):
-                hits[start] = weight
+            elif weight > found.get(start, 0.0) and (folded[at] == " " or folded[at + 1] != " "):  # a beginning is of a longer word
+                found[start] = weight
         for a, b in spared:
-            for start in [s for s in hits if a <= s < b]:
-                del hits[start]
-        if not hits:
-            return 0.0
-        return sum(hits.values()) / max(1.0, folded.count(" ") - 1) ** self.power
+            for start in [s for s in found if a <= s < b]:
+                del found[start]
+        return sum(found.values()), len(found), max(0, folded.count(" ") - 1)
+
+    def strength(self, total: float, words: int) -> float:
+        """The logarithm of how much likelier a toxic text of this length holds such hits."""
+        return total - self.rate * words
 
     def score(self, strength: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * strength))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * max(-30.0, min(30.0, strength))))))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "toxic", most: int = MOST_LABELLED) -> DataFrame:
@@ -121,44 +126,51 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str
     rows = training_rows(docs, labels, id_col, label, most)
 
     def count(parts):
-        counts: dict[str, list[int]] = {"": [0, 0]}
+        counts: dict[str, list] = {"": [0, 0, 0, 0]}  # documents and places, by label
         for batch in parts:
             for y, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts[""][y] += 1
-                for f in features(fold(body.as_py())):
-                    counts.setdefault(f, [0, 0])[y] += 1
-        for part in in_batches(((f, a, b) for f, (a, b) in counts.items())):
-            yield pa.RecordBatch.from_arrays([pa.array([f.encode("latin-1") for f, _, _ in part], pa.binary()), pa.array([a for _, a, _ in part], pa.int64()), pa.array([b for _, _, b in part], pa.int64())], names=["entry", "n0", "n1"])
-
-    partial = rows.select("_y", "_body").mapInArrow(count, "entry binary, n0 long, n1 long")
-    counts = partial.groupBy("entry").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+                found = features(fold(body.as_py()))
+                words = sum(n for f, n in found.items() if f[-1] == " ")
+                found[""] = words
+                most = 1 + words // 50  # a line that a document repeats shouldn't stand for many documents
+                for f, n in found.items():
+                    c = counts.setdefault(f, [0, 0, 0, 0])
+                    c[y] += 1
+                    c[2 + y] += min(n, most) if f else n
+        for part in in_batches((f.encode("latin-1"), *c) for f, c in counts.items()):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), [pa.binary()] + [pa.int64()] * 4, strict=True)], names=["entry", "n0", "n1", "w0", "w1"])
+
+    partial = rows.select("_y", "_body").mapInArrow(count, "entry binary, n0 long, n1 long, w0 long, w1 long")
+    counts = partial.groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "w0", "w1")])
     totals = counts.filter(F.length("entry") == 0).collect()
     if not totals or not totals[0]["n0"] or not totals[0]["n1"]:
         return Lexicon({}, bias=-2.0)
-    all0, all1 = totals[0]["n0"], totals[0]["n1"]
+    all0, all1, words0, words1 = (totals[0][c] for c in ("n0", "n1", "w0", "w1"))
     base = all1 / (all0 + all1)
     n, hit = F.col("n0") + F.col("n1"), F.col("n1")
     log = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     evidence = log(hit, n * base) + log(F.col("n0"), n * (1 - base))
     # by chance alone, a few of a million entries would show as much evidence as this
-    weight = F.log((hit + 0.5) / (all1 + 1)) - F.log((F.col("n0") + 0.5) / (all0 + 1))
-    chosen = counts.filter((F.length("entry") > 0) & (hit > n * base) & (evidence > 15) & (weight > 2)).select("entry", weight.alias("weight"), evidence.alias("evidence"))
+    weight = F.log((F.col("w1") + 0.5) / (words1 + 1)) - F.log((F.col("w0") + 0.5) / (words0 + 1))
+    chosen = counts.filter((F.length("entry") > 0) & (hit > n * base) & (evidence > 15) & (weight > 3)).select("entry", weight.alias("weight"), evidence.alias("evidence"))
     top = chosen.orderBy(F.desc("evidence"), "entry").limit(MOST_ENTRIES).collect()
     return calibrate(rows, Lexicon({bytes(e).decode("latin-1"): float(w) for e, w, _ in top}))
 
 
 def calibrate(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
-    """Fit bias and slope by logistic regression on the strengths of the same bounded rows."""
+    """Fit the rate of hits, bias and slope to the same bounded rows."""
 
-    def strengths(parts):
+    def hits(parts):
         matcher = lexicon.matcher()
         for batch in parts:
-            s = [lexicon.strength(matcher, fold(b.as_py())) for b in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["y", "s"])
-
-    # strengths are put in narrow classes, so a fixed number of rows comes back
-    got = rows.select("_y", "_body").mapInArrow(strengths, "y int, s double").groupBy(F.round("s", 2).alias("s"), "y").count().collect()
-    s, y, n = (np.array([r[i] for r in got], float) for i in range(3))
+            found = [lexicon.hits(matcher, fold(b.as_py())) for b in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([float(x[i]) for x in found], pa.float64()) for i in range(3)]], names=["y", "total", "hits", "words"])
+
+    got = rows.select("_y", "_body").mapInArrow(hits, "y int, total double, hits double, words double").collect()  # four numbers for each of at most MOST_LABELLED rows
+    y, total, hit, words = (np.array([r[i] for r in got], float) for i in range(4))
+    share = [hit[y == c].sum() / max(1.0, words[y == c].sum()) for c in (0, 1)]
+    lexicon.rate = float(max(0.0, share[1] - share[0]))
+    s, n = np.clip(lexicon.strength(total, words), -30, 30), np.ones(len(y))
     bias, slope = -2.0, 1.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(bias + slope * s, -30, 30)))
@@ -169,7 +181,7 @@ def calibrate(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
         bias, slope = bias + float(np.clip(step[0], -2, 2)), slope + float(np.clip(step[1], -2, 2))
         if np.abs(step).max() < 1e-6:
             break
-    return Lexicon(lexicon.weights, bias, slope, lexicon.power)
+    return Lexicon(lexicon.weights, lexicon.rate, bias, slope)
 
 
 def judge(docs: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "text") -> DataFrame:
@@ -183,7 +195,8 @@ def judge(docs: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "text"
     def rate(parts):
         matcher = lexicon.matcher()
         for batch in parts:
-            s = np.array([lexicon.score(lexicon.strength(matcher, fold(b.as_py()))) for b in batch.column(0)], float)
+            found = [lexicon.hits(matcher, fold(b.as_py())) for b in batch.column(0)]
+            s = np.array([lexicon.score(lexicon.strength(total, words)) for total, _, words in found], float)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema[1:]]
