@@ -22,37 +22,35 @@ from .words import ALNUM, _Powers, grams, text_chunks, word_bounds, word_hashes
 WINDOW, PREFIX, BLOCK_BYTES = 13, 5, 32 << 20
 
 
-class TestSuffixes:
-    """The windows of a block of benchmark items, by window length: sorted keys, and the items of each."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        powers, found = _Powers(), {}
-        for at, data, offsets in text_chunks(pa.array([t for _, t in items], pa.string())):
-            t, starts, ends, first = word_bounds(data, offsets, ALNUM)
-            h = word_hashes(t, starts, ends, powers)
-            for d in range(len(offsets) - 1):
-                words = h[first[d] : first[d + 1]]
-                size = min(window, len(words))
-                for p in range(len(words) - size + 1) if size else ():
-                    found.setdefault(size, {}).setdefault(words[p : p + size].astype(">u8").tobytes(), set()).add(items[at + d][0])
-        self.by_size = []
-        for size, windows in sorted(found.items()):
-            keys = sorted(windows)
-            k = min(PREFIX, size)
-            rows = np.frombuffer(b"".join(keys), ">u8").reshape(-1, size).astype(np.uint64)
-            prefixes = np.unique(np.concatenate([grams(r[:k], k) for r in rows]))
-            seen = np.zeros(1 << 20, bool)
-            seen[prefixes & np.uint64((1 << 20) - 1)] = True
-            self.by_size.append((size, np.array(keys, f"S{8 * size}"), [sorted(windows[x]) for x in keys], k, prefixes, seen))
-
-
-def find(h: np.ndarray, first: np.ndarray, tests: TestSuffixes):
+def test_suffixes(items: list[tuple[str, str]], window: int = WINDOW) -> list[tuple]:
+    """The windows of a block of items, by length: (length, sorted keys, items of each, prefix length, sorted prefix hashes, their bitmap)."""
+    powers, found, by_size = _Powers(), {}, []
+    for at, data, offsets in text_chunks(pa.array([t for _, t in items], pa.string())):
+        t, starts, ends, first = word_bounds(data, offsets, ALNUM)
+        h = word_hashes(t, starts, ends, powers)
+        for d in range(len(offsets) - 1):
+            words = h[first[d] : first[d + 1]]
+            size = min(window, len(words))
+            for p in range(len(words) - size + 1) if size else ():
+                found.setdefault(size, {}).setdefault(words[p : p + size].astype(">u8").tobytes(), set()).add(items[at + d][0])
+    for size, windows in sorted(found.items()):
+        keys = sorted(windows)
+        k = min(PREFIX, size)
+        rows = np.frombuffer(b"".join(keys), ">u8").reshape(-1, size).astype(np.uint64)
+        prefixes = np.unique(np.concatenate([grams(r[:k], k) for r in rows]))
+        seen = np.zeros(1 << 20, bool)
+        seen[prefixes & np.uint64((1 << 20) - 1)] = True
+        by_size.append((size, np.array(keys, f"S{8 * size}"), [sorted(windows[x]) for x in keys], k, prefixes, seen))
+    return by_size
+
+
+def find(h: np.ndarray, first: np.ndarray, tests: list):
     """(hit flags by word, {document: items}, {document: (longest, start)}) of one shard of word hashes."""
     hit = np.zeros(len(h) + 1, np.int32)
     items: dict[int, set] = {}
     longest: dict[int, tuple[int, int]] = {}
     stops = np.repeat(first[1:], np.diff(first)) if len(h) else np.zeros(0, np.int64)
-    for size, keys, owners, k, prefixes, seen in tests.by_size:
+    for size, keys, owners, k, prefixes, seen in tests:
         g = grams(h, k)
         at = np.flatnonzero(seen[g & np.uint64(len(seen) - 1)])
         at = at[at + size <= stops[at]]
@@ -103,7 +101,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "t
     keep = [c for c in keep if c not in names]
     rows = docs.select(text_of(docs, text).alias("_body"), *keep)
     kept = rows.schema[1:].fieldNames() if keep else []
-    tests = [docs.sparkSession.sparkContext.broadcast(TestSuffixes(b, window)) for b in _blocks(benchmark, item_col, item_text, block_bytes)]
+    tests = [docs.sparkSession.sparkContext.broadcast(test_suffixes(b, window)) for b in _blocks(benchmark, item_col, item_text, block_bytes)]
 
     def search(batches):
         powers = _Powers()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, license, packing, secrets, topk, toxicity, urlfilter
+from . import decontam, license, lm, packing, secrets, topk, toxicity, urlfilter
 from .common import crc_mod, table
 
 
@@ -22,6 +22,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.train(urlfilter.labelled_urls(spark)))
 
@@ -47,5 +51,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (crc_mod(F.col("doc_id"), toxicity.FOLDS) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_decontamination, op4_exact_top_k, op6_url_filter, op8_best_fit_packing, op9_license_scan, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_decontamination, op4_exact_top_k, op5_language_model, op6_url_filter, op8_best_fit_packing, op9_license_scan, op10_toxicity)}
 ORACLES = {"op2_secret_scan": secrets.oracle(), "op3_decontamination": decontam.oracle(), "op4_exact_top_k": topk.ORACLE}

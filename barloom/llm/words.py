@@ -34,11 +34,14 @@ def _tables():
     spaced = np.arange(256, dtype=np.uint8)
     spaced[[32, 9, 10, 11, 12, 13]] = 0
     spaced[0] = 1  # a NUL is a word byte there; it need only differ from a separator
-    return alnum, spaced
+    folded = lower.copy()
+    folded[[32, 9, 10, 11, 12, 13]] = 0
+    folded[0] = 1
+    return alnum, spaced, folded
 
 
-#: ALNUM: lower-cased A-Z, words of digits, letters and anything beyond ASCII.  SPACED: words between ASCII white space, unchanged.
-ALNUM, SPACED = _tables()
+#: ALNUM: lower-cased A-Z, words of digits, letters and anything beyond ASCII.  SPACED: words between ASCII white space, unchanged.  FOLDED: those with lower-cased A-Z.
+ALNUM, SPACED, FOLDED = _tables()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
