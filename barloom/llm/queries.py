@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, license, lm, packing, secrets, topk, toxicity, urlfilter
+from . import decontam, license, lm, minhash, packing, secrets, substring, topk, toxicity, urlfilter
 from .common import crc_mod, table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = minhash.classes(table(spark, sf_dir, "documents"))
+    return named.select(F.col("_id").alias("doc_id"), "class_id", (F.col("_id") == F.col("class_id")).alias("kept"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -30,6 +35,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.train(urlfilter.labelled_urls(spark)))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> tuple[str, str]:
     """Paths of the public byte-level vocabulary, in both of its forms."""
     import public_tokenizers
@@ -51,5 +60,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (crc_mod(F.col("doc_id"), toxicity.FOLDS) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_decontamination, op4_exact_top_k, op5_language_model, op6_url_filter, op8_best_fit_packing, op9_license_scan, op10_toxicity)}
-ORACLES = {"op2_secret_scan": secrets.oracle(), "op3_decontamination": decontam.oracle(), "op4_exact_top_k": topk.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_secret_scan, op3_decontamination, op4_exact_top_k, op5_language_model, op6_url_filter, op7_substring_dedup, op8_best_fit_packing, op9_license_scan, op10_toxicity)}
+ORACLES = {"op2_secret_scan": secrets.oracle(), "op3_decontamination": decontam.oracle(), "op4_exact_top_k": topk.ORACLE, "op7_substring_dedup": substring.oracle()}
