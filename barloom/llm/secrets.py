@@ -87,10 +87,15 @@ def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, one))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str = "source", repository: tuple = ("source", "lang"), rules: Rules = Rules()) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+    """``judged`` without the text's hash."""
+    return judged(docs, id_col, **kw).drop("_text")
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str = "source", repository: tuple = ("source", "lang"), rules: Rules = Rules()) -> DataFrame:
     """One row per row of ``docs``: key columns, ``spans`` with ownership figures.
 
-    Output: ``id_col``, ``found`` (array of start, ord, kind, end, value hash),
+    Output: ``id_col``, ``_text`` (the text's hash), ``found`` (array of start, ord, kind, end, value hash),
     ``live`` (the spans judged owner-specific), ``copied`` (count of widely copied).
 
     A null text is empty; null owners and repositories count as one of their
@@ -126,7 +131,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str
     joined = left.join(right, left["_id"].eqNullSafe(right["_id"]) & (left["_text"] == right["_text"]), "left")
     none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
     return joined.select(
-        left["_id"].alias(id_col), "found", F.coalesce("live", none).alias("live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
+        left["_id"].alias(id_col), left["_text"], "found", F.coalesce("live", none).alias("live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
         F.coalesce("most_owners", F.lit(0)).cast("long").alias("most_owners"), F.coalesce("most_repos", F.lit(0)).cast("long").alias("most_repos"),
     )
 
@@ -149,11 +154,15 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
 
     Overlapping spans become one mark.  Nulls stay null; column order is kept.
     """
-    found = scan(docs, id_col, text, **kw).filter(F.size("live") > 0).select(F.col(id_col).alias("_lid"), "live", F.xxhash64(F.lit(0)).alias("_z"))
-    # one row per id and text is enough: equal texts under an id have equal spans
-    keyed = docs.withColumn("_h", F.xxhash64(text_of(docs, text)))
-    found = found.groupBy("_lid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("live")))).alias("live"))
-    joined = keyed.join(found, keyed[id_col].eqNullSafe(found["_lid"]), "left")
+    inner = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.toDF(*inner.values())
+    text = inner[text]
+    named = {k: inner.get(kw.pop(k, d)) for k, d in (("owner", "source"),)}
+    repository = tuple(inner[c] for c in kw.pop("repository", ("source", "lang")))
+    found = judged(renamed, inner[id_col], text=text, repository=repository, **named, **kw).filter(F.size("live") > 0)
+    found = found.select(F.col(inner[id_col]).alias("_lid"), F.col("_text"), F.col("live")).dropDuplicates(["_lid", "_text"])
+    keyed = renamed.withColumn("_h", F.xxhash64(text_of(renamed, text)))
+    joined = keyed.join(found, keyed[inner[id_col]].eqNullSafe(found["_lid"]) & (keyed["_h"] == found["_text"]), "left")
     body = F.col(text)
     seed = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -164,11 +173,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
 
     done = F.aggregate("live", seed, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
     fixed = F.when(F.col("live").isNull() | body.isNull(), body).otherwise(done)
-    cols = [fixed.alias(c) if c == text else F.col(c) for c in docs.columns]
+    cols = [(fixed if v == text else F.col(v)).alias(k) for k, v in inner.items()]
     return joined.select(*cols)
 
 
-# Brackets at a pattern's end guard the joined text against other kinds; DuckDB's RE2 has the same leftmost-first matches.
 def oracle() -> str:
     """DuckDB SQL for the digest of ``documents``, written apart from the Spark plan: spans by running sums over unnested pieces."""
     parts = []
