@@ -27,8 +27,9 @@ def append(rows: DataFrame, path: str, keys: list[str], partition_by: str | None
     # what is read and what is written are one table, so the result is fixed first
     fresh = fresh.persist()
     try:
+        count = fresh.count()
         writer = fresh.write.mode("append")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-        return fresh.count()
+        return count
     finally:
         fresh.unpersist()
