@@ -34,7 +34,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 # Phrases in which a listed word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "idiot proof", "sore loser rule", "pond scum", "stupid simple")
 
-#: Labelled rows that a lexicon is learned from, its entries, and the lengths of word beginnings.
+#: Labelled rows that a lexicon is learned from at most (about), its entries, and the lengths of word beginnings.
 MOST_LABELLED, MOST_ENTRIES, STEMS = 20_000, 5000, (3, 4, 5, 6, 7)
 #: The residue of crc32(doc_id) mod 5 that is held out.
 FOLDS = 5
@@ -110,14 +110,16 @@ class Lexicon:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "toxic", most: int = MOST_LABELLED) -> DataFrame:
-    """``_id``, ``_y``, ``_body`` of at most ``most`` labelled documents outside the held-out fold, the same for the same table.
+    """``_id``, ``_y``, ``_body`` of about ``most`` labelled documents (all, if there are fewer) outside the held-out fold, the same for the same table.
 
     Labels other than 0 and 1 are left out; an id labelled more than once counts with its largest label.
     """
     y = F.col(label).cast("int")
     chosen = labels.filter(F.col(id_col).isNotNull() & y.isin(0, 1) & (crc_mod(F.col(id_col), FOLDS) != 0)).groupBy(F.col(id_col).alias("_id")).agg(F.max(y).alias("_y"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    # at most ``most`` ids and labels: a bounded table to send to every task
+    parts = 1_000_000
+    share = min(parts, parts * most // max(1, labels.count()))
+    chosen = chosen.filter(F.pmod(F.xxhash64("_id"), F.lit(parts)) < share)
+    # about ``most`` ids and labels: a bounded table to send to every task
     return docs.select(F.col(id_col).alias("_id"), text_of(docs).alias("_body")).join(F.broadcast(chosen), "_id")
 
 
@@ -166,7 +168,7 @@ def calibrate(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
             found = [lexicon.hits(matcher, fold(b.as_py())) for b in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([float(x[i]) for x in found], pa.float64()) for i in range(3)]], names=["y", "total", "hits", "words"])
 
-    got = rows.select("_y", "_body").mapInArrow(hits, "y int, total double, hits double, words double").collect()  # four numbers for each of at most MOST_LABELLED rows
+    got = rows.select("_y", "_body").mapInArrow(hits, "y int, total double, hits double, words double").collect()  # four numbers for each of about MOST_LABELLED rows
     y, total, hit, words = (np.array([r[i] for r in got], float) for i in range(4))
     share = [hit[y == c].sum() / max(1.0, words[y == c].sum()) for c in (0, 1)]
     lexicon.rate = float(max(0.0, share[1] - share[0]))
