@@ -74,6 +74,18 @@ def token_counts(bodies: DataFrame) -> DataFrame:
     return bodies.mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def _hottest(counts: DataFrame, most: int) -> DataFrame:
+    """The tokens above the lowest count that leaves at most ``most`` of them, found from a histogram: no task sees all tokens."""
+    step = F.floor(F.log2("c") * 32).cast("long")
+    classes = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)  # some 32 rows for each doubling
+    total, least = 0, None
+    for at, n in classes:
+        if total + n > most:
+            break
+        total, least = total + n, at
+    return counts.filter(step >= (least if least is not None else 1 << 30))
+
+
 class Lookup:
     """Places of 64-bit hashes in a sorted list, by their leading bits; -1 for others."""
 
@@ -223,8 +235,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_classes
     training = docs.filter(crc_mod(F.col(id_col), FOLDS) != HELD).select(text_of(docs, text).alias("body"))
     counts = cut(token_counts(training))
     n, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(hot).toArrow()  # at most ``hot`` pairs of numbers
+    top = _hottest(counts, hot).toArrow()  # at most ``hot`` pairs of numbers
     tokens, c = top.column("token").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.int64)
+    by_count = np.lexsort((tokens, -c))
+    tokens, c = tokens[by_count], c[by_count]
     classes = np.zeros(len(tokens), np.int32)
     chosen = np.flatnonzero(tokens != END)[: n_classes - 2]
     classes[chosen] = np.arange(2, len(chosen) + 2)
