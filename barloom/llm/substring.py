@@ -175,9 +175,20 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER
     shared = dealt.withColumn("places", F.sum(F.col("twice") + 1).over(Window.partitionBy("m"))).filter("places > 1")
     by_doc = shared.groupBy("_id", "_h").agg(F.collect_list(F.struct("m", "start", "n", "places")).alias("segments"))
 
+    def combined(found):
+        """Of equal segments that are read together only the first goes on whole; the others are repeated, and only their places go on."""
+        earliest: dict[tuple, tuple] = {}
+        for key, content, i, _, start in found:
+            at = (key, content)
+            if at not in earliest or (i, start) < earliest[at]:
+                earliest[at] = (i, start)
+        for key, content, i, h, start in found:
+            n = content.count(b" ") + 1
+            yield (key, content, i, h, start, n) if earliest[key, content] == (i, start) else (i ^ h, b"", i, h, start, n)
+
     def fetch(batches):
         powers = _Powers()
-        names = ["key", "content", "_id", "_h", "start"]
+        names = ["key", "content", "_id", "_h", "start", "words"]
         for batch in batches:
             lists = batch.column(3)
             of = lists.offsets.to_numpy()
@@ -199,11 +210,11 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER
                         whole = mix(grams(h[a : a + n + window - 1], window)).view(np.int64)
                         out += [(int(whole[j]), b" ".join(body[starts[a + j] : ends[a + j + window - 1]].split()), ids[at + d], hashes[at + d], int(start_[i]) + j) for j in range(n)]
                 if out:
-                    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*combined(out), strict=True), types, strict=True)], names=names)
 
     texts = docs.select("_id", "_h", "_body").join(by_doc, ["_id", "_h"])
-    contents = texts.mapInArrow(fetch, "key long, content binary, _id long, _h long, start int")
+    contents = texts.mapInArrow(fetch, "key long, content binary, _id long, _h long, start int, words int")
 
     def search(batches):
         names = ["_id", "_h", "first", "last"]
@@ -220,11 +231,14 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER
 
         for batch in batches:
             out = []
-            for key, content, i, h, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for key, content, i, h, start, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if not content:
+                    out.append((i, h, start, start + n))
+                    continue
                 if key == key_before and content == content_before:
                     # sorted: an equal segment came before this one, from an earlier place unless it is the very same
                     if (i, start) != first_place:
-                        out.append((i, h, start, start + content.count(b" ") + 1))
+                        out.append((i, h, start, start + n))
                         continue
                 if key != key_before and words > INDEX_WORDS:
                     out += drain()
@@ -233,7 +247,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER
                     first_place = (i, start)
                 key_before, content_before = key, content
                 held.append((content, i, h, start))
-                words += content.count(b" ") + 2
+                words += n + 1
             if out:
                 yield report(out)
         if held and (out := drain()):
