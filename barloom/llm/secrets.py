@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, text_of
 
 
 @dataclass(frozen=True)
@@ -55,11 +55,9 @@ class Rules:
 
 def _found(text: Column, kind: Kind, order: int) -> Column:
     """array<struct<start, ord, kind, end, vstart, value>> of a kind's matches that are long enough."""
-    whole = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     # a run of hex digits is ended by any other sign, so short ones need not be cut out at all
-    pattern = r"[0-9a-f]{24,}" if kind.pattern == r"[0-9a-f]+" and kind.least == 24 else kind.pattern
-    if pattern != kind.pattern:
-        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = f"[0-9a-f]{{{kind.least},}}" if kind.pattern == "[0-9a-f]+" else kind.pattern
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern)
     pairs = F.arrays_zip(gaps.alias("gap"), whole.alias("hit"))
     seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,kind:string,end:int,value:string>>").alias("out"))
@@ -109,6 +107,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: s
     who = F.xxhash64(F.coalesce(docs[owner].cast("string"), F.lit("")))
     where = F.xxhash64(*[F.coalesce(docs[c].cast("string"), F.lit("")) for c in repository])
     rows = docs.select(docs[id_col].alias("_id"), F.xxhash64(text_of(docs, text)).alias("_text"), who.alias("_owner"), where.alias("_repo"), hashed.alias("found"))
+    rows = cut(rows)  # numbers only, no texts: the patterns run once
     some = rows.filter(F.size("found") > 0)
     hits = some.select("_id", "_text", "_owner", "_repo", F.explode("found").alias("s"))
     # Distinct repositories, then distinct owners, then values: each step sums up before its shuffle.
