@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .words import ALNUM, _Powers, grams, text_chunks, word_bounds, word_hashes
+from .words import ALNUM, Powers, grams, text_chunks, word_bounds, word_hashes
 
 #: Words of a window; words of the prefix that tells suffixes which may match; benchmark bytes a task holds at once.
 WINDOW, PREFIX, BLOCK_BYTES = 13, 5, 32 << 20
@@ -24,7 +24,7 @@ WINDOW, PREFIX, BLOCK_BYTES = 13, 5, 32 << 20
 
 def test_suffixes(items: list[tuple[str, str]], window: int = WINDOW) -> list[tuple]:
     """The windows of a block of items, by length: (length, sorted keys, items of each, prefix length, sorted prefix hashes, their bitmap)."""
-    powers, found, by_size = _Powers(), {}, []
+    powers, found, by_size = Powers(), {}, []
     for at, data, offsets in text_chunks(pa.array([t for _, t in items], pa.string())):
         t, starts, ends, first = word_bounds(data, offsets, ALNUM)
         h = word_hashes(t, starts, ends, powers)
@@ -104,7 +104,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "t
     tests = [docs.sparkSession.sparkContext.broadcast(test_suffixes(b, window)) for b in _blocks(benchmark, item_col, item_text, block_bytes)]
 
     def search(batches):
-        powers = _Powers()
+        powers = Powers()
         for batch in batches:
             cols = [[] for _ in names]
             for _, data, offsets in text_chunks(batch.column(0)):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, cut, text_of
-from .words import FOLDED, _Powers, mix, text_chunks, word_bounds, word_hashes
+from .words import FOLDED, Powers, mix, text_chunks, word_bounds, word_hashes
 
 #: Classes of the model, its dimension, noise samples of a batch, tokens of a batch, AdaGrad's rate.
 CLASSES, DIM, NOISE, BATCH, RATE = 2048, 16, 32, 2048, 0.05
@@ -55,7 +55,7 @@ def token_counts(bodies: DataFrame) -> DataFrame:
     """token (hash), c over the single text column of ``bodies``: summed in the task, then over tasks."""
 
     def count(batches):
-        powers, held, size = _Powers(), [], 0
+        powers, held, size = Powers(), [], 0
 
         def flush():
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
@@ -178,7 +178,7 @@ def train(bodies: DataFrame, sent, dim: int = DIM) -> dict:
     cols = [f"v{i}" for i in range(dim + 1)]
 
     def learn(batches):
-        v, powers = sent.value, _Powers()
+        v, powers = sent.value, Powers()
         look = Lookup(v["keys"])
         trainer, held = None, []
 
@@ -259,7 +259,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_classes
     lower_base, lower_rest = float(np.log10(n + distinct + 1)), float(np.log10(rest + rest_distinct + 1))
 
     def rate(batches):
-        v, p, powers = sent.value, model.value, _Powers()
+        v, p, powers = sent.value, model.value, Powers()
         if "tables" not in p:  # kept with the broadcast value for the worker's next tasks
             p["tables"], p["look"] = log_tables(p), Lookup(v["keys"])
         (t1, t2, z), look = p["tables"], p["look"]

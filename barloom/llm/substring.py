@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .words import SPACED, _Powers, grams, mix, text_chunks, word_bounds, word_hashes
+from .words import SPACED, Powers, grams, mix, text_chunks, word_bounds, word_hashes
 
 #: Words of a window and of a minimiser; words of an index; segments of one minimiser beyond which windows are dealt one by one.
 WINDOW, MINIMISER, INDEX_WORDS, HOT = 20, 8, 150_000, 20_000
@@ -160,7 +160,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER
     """
 
     def cut_up(batches):
-        powers = _Powers()
+        powers = Powers()
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, data, offsets in text_chunks(batch.column(2)):
@@ -187,7 +187,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER
             yield (key, content, i, h, start, n) if earliest[key, content] == (i, start) else (i ^ h, b"", i, h, start, n)
 
     def fetch(batches):
-        powers = _Powers()
+        powers = Powers()
         names = ["key", "content", "_id", "_h", "start", "words"]
         for batch in batches:
             lists = batch.column(3)

@@ -51,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
+class Powers:
     """Powers of the base and of its inverse, grown as needed."""
 
     def __init__(self):
@@ -101,7 +101,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray):
     return t, starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(t: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
+def word_hashes(t: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
     up, down = powers.get(len(t) + 1)
     sums = np.zeros(len(t) + 1, np.uint64)
     np.cumsum(t.astype(np.uint64) * up[: len(t)], out=sums[1:])
