@@ -88,6 +88,39 @@ def test_a_hot_group_of_near_copies(spark):
     assert all(r["class_id"] == r["_id"] for r in got if r["_id"] >= 1000)
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """With one leader a bucket nearly all links are left to the exact join; the classes are those of all pairs."""
+    monkeypatch.setattr(minhash, "WHOLE", 2)
+    monkeypatch.setattr(minhash, "LEADERS", 1)
+    left, used = minhash._left_over, []
+    monkeypatch.setattr(minhash, "_left_over", lambda texts: used.append(True) or left(texts))
+    rng = np.random.default_rng(11)
+    bases = [[f"w{i}" for i in rng.integers(0, 5000, n)] for n in (60, 150)]
+    rows = []
+    for i in range(240):
+        w = list(bases[i % 2])
+        for at in rng.integers(0, len(w), i % 7 * (1 + i % 2)):
+            # edits come from few words, so that texts also agree in what their base lacks
+            w[at] = f"edit{rng.integers(3)}at{at}"
+        rows.append((i, " ".join(w)))
+    sets, root = [labelled(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert used and 2 < len({find(x) for x in root}) < len(rows)
+    assert {r["_id"]: r["class_id"] for r in got} == {i: find(i) for i in range(len(rows))}
+
+
 def test_alignment_heeds_order():
     a = np.arange(1, 201, dtype=np.uint32)
     assert minhash.alignment(a, a) == 1.0 and minhash.alignment(a, np.roll(a, 100)) < 0.8
