@@ -1,12 +1,15 @@
 """Language-model scoring by a log-bilinear model trained with noise-contrastive estimation.
 
-Counts of all tokens of all training documents are gathered by Spark.  The
-most frequent tokens form the model's classes, one more class stands for all
-others.  Every task makes one NCE pass over all its training documents in
-numpy, and the tasks' parameters are averaged.  With two context words the
-score is ``r1[h1].q[w] + r2[h2].q[w] + b[w]``, so the normaliser of every
-context is one entry of the matrix product ``exp(R1 Q') exp(R2 Q' + b)'`` and
-scores are exact, normalised log-probabilities.
+Counts of all tokens of all training documents are gathered by Spark.  Every
+token that stands ``LEAST`` times or more is a word of the model with vectors
+of its own, as target and as context; one more word stands for all rarer
+tokens.  Words in order of their counts form about sqrt(words) classes of
+equal size, and the output is factored: ``p(class | context) p(word | class,
+context)``, both log-bilinear in ``r1[h1] + r2[h2]`` of two context words.
+Both sums are whole, by batched matrix products, so scores are exact,
+normalised log-probabilities.  Every task makes one NCE pass over all its
+training documents in numpy, and the rows of the tasks' parameters are
+averaged by the steps that each row took.
 
 Tokens are known by 64-bit hashes; two of a corpus' tokens meet in one hash
 only beyond some 10**9 distinct ones.
@@ -23,8 +26,12 @@ from pyspark.sql import functions as F
 from .common import crc_mod, cut, text_of
 from .words import FOLDED, Powers, mix, text_chunks, word_bounds, word_hashes
 
-#: Classes of the model, its dimension, noise samples of a batch, tokens of a batch, AdaGrad's rate.
-CLASSES, DIM, NOISE, BATCH, RATE = 2048, 16, 32, 2048, 0.05
+#: The model's dimension, noise samples of a batch's classes and of a token's word, tokens of a batch, AdaGrad's rate and first sum.
+DIM, NOISE, WORD_NOISE, BATCH, RATE, FIRST_SUM = 16, 32, 5, 2048, 0.05, 1e-3
+#: Occurrences in training from which on a token is a word of the model.
+LEAST = 20
+#: Rows of parameters that travel as one value.
+BLOCK = 512
 #: Tokens whose counts every task holds; the counts of all others are joined.
 HOT = 200_000
 #: crc32(doc_id) mod FOLDS = HELD is held out.
@@ -33,7 +40,7 @@ FOLDS, HELD = 7, 2
 COUNT_BYTES = 24 << 20
 
 END = np.uint64(0x5EED0FE0D5EED0E1)  # the end token's hash
-OTHER, END_CLASS = 0, 1
+OTHER, END_WORD = 0, 1
 
 
 def _tokens(column, powers, limit=None):
@@ -74,8 +81,8 @@ def token_counts(bodies: DataFrame) -> DataFrame:
     return bodies.mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def _hottest(counts: DataFrame, most: int) -> DataFrame:
-    """The tokens above the lowest count that leaves at most ``most`` of them, found from a histogram: no task sees all tokens."""
+def _hottest(counts: DataFrame, most: int, least_count: int) -> DataFrame:
+    """The tokens above the lowest count that leaves at most ``most`` of them, found from a histogram: no task sees all tokens.  Those of ``least_count`` or more come always."""
     step = F.floor(F.log2("c") * 32).cast("long")
     classes = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)  # some 32 rows for each doubling
     total, least = 0, None
@@ -83,7 +90,7 @@ def _hottest(counts: DataFrame, most: int) -> DataFrame:
         if total + n > most:
             break
         total, least = total + n, at
-    return counts.filter(step >= (least if least is not None else 1 << 30))
+    return counts.filter((step >= (least if least is not None else 1 << 30)) | (F.col("c") >= least_count))
 
 
 class Lookup:
@@ -112,70 +119,113 @@ class Lookup:
 
 
 def first_parameters(log_share: np.ndarray, dim: int = DIM) -> dict:
-    """The same start in every task: small random vectors, and the classes' shares as biases."""
+    """Small random vectors, and the log shares as biases."""
     rng = np.random.default_rng(11)
     n = len(log_share)
     return {"r1": rng.normal(0, 0.1, (n, dim)).astype(np.float32), "r2": rng.normal(0, 0.1, (n, dim)).astype(np.float32), "q": np.column_stack([rng.normal(0, 0.1, (n, dim)), log_share]).astype(np.float32)}
 
 
-def contexts(classes: np.ndarray, bounds: np.ndarray):
-    """The classes one and two before each token; before a text's start stands the end token."""
-    one, two = np.empty_like(classes), np.empty_like(classes)
-    one[1:], two[2:] = classes[:-1], classes[:-2]
+def contexts(words: np.ndarray, bounds: np.ndarray):
+    """The words one and two before each token; before a text's start stands the end token."""
+    one, two = np.empty_like(words), np.empty_like(words)
+    one[1:], two[2:] = words[:-1], words[:-2]
     start = bounds[:-1]
-    one[start] = END_CLASS
-    two[start] = END_CLASS
+    one[start] = END_WORD
+    two[start] = END_WORD
     second = start + 1
     second = second[second < bounds[1:]]
-    two[second] = END_CLASS
+    two[second] = END_WORD
     return one, two
 
 
+def layout(log_share: np.ndarray):
+    """(words of a class, log share of each class, log share of each word within its class)."""
+    width = max(1, int(np.ceil(np.sqrt(len(log_share)))))
+    most = log_share.max()
+    by_class = np.log(np.add.reduceat(np.exp(log_share - most), np.arange(0, len(log_share), width))) + most
+    return width, by_class, (log_share - by_class[np.arange(len(log_share)) // width]).astype(np.float32)
+
+
+#: Starts of the context vectors, repeated over the words: no task draws or ships a whole table.
+_STARTS = np.random.default_rng(11).normal(0, 0.1, (2, 4096, DIM)).astype(np.float32)
+
+
 class Trainer:
-    """One NCE pass: batches of tokens against noise words that a batch shares, AdaGrad steps."""
+    """One NCE pass: batches of tokens against noise, AdaGrad steps.
+
+    Classes share the noise of a batch, a word's noise comes from its class.
+    Tables of words hold what was learnt beyond the start; rows that a task
+    never touches take no memory.
+    """
 
     def __init__(self, log_share: np.ndarray, seed: int, noise: int = NOISE, rate: float = RATE):
-        self.p = first_parameters(log_share)
-        self.sums = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.p.items()}
-        share = np.exp(log_share - log_share.max())
-        self.cumulated = np.cumsum(share / share.sum())
-        self.log_noise = (np.log(share / share.sum()) + np.log(noise)).astype(np.float32)
-        self.rng, self.noise, self.rate, self.seen = np.random.default_rng(seed), noise, rate, 0
-
-    def _add(self, name: str, rows: np.ndarray, grads: np.ndarray):
-        table = self.p[name]
-        width = table.shape[1]
-        flat = (rows[:, None] * width + np.arange(width)).ravel()
-        g = np.bincount(flat, grads.ravel(), table.size).reshape(table.shape).astype(np.float32)
-        self._step(name, g)
-
-    def _step(self, name, g):
-        self.sums[name] += g * g
-        self.p[name] += self.rate * g / np.sqrt(self.sums[name])
+        n, dim = len(log_share), DIM
+        self.width, by_class, self.bias = layout(log_share)
+        self.p = {"r1": np.zeros((n, dim), np.float32), "r2": np.zeros((n, dim), np.float32), "q": np.zeros((n, dim + 1), np.float32), "classes": np.zeros((len(by_class), dim + 1), np.float32)}
+        self.sums = {k: np.zeros(v.shape, np.float32) for k, v in self.p.items()}
+        self.steps = {k: np.zeros(len(v), np.float32) for k, v in self.p.items()}
+        self.first = first_parameters(by_class, dim)["q"]
+        self.cumulated = np.cumsum(np.exp(log_share - log_share.max()).astype(np.float64))
+        self.ends = np.append(0, self.cumulated[np.minimum(np.arange(1, len(by_class) + 1) * self.width, n) - 1])
+        self.log_noise = (by_class + np.log(noise)).astype(np.float32)
+        self.rng, self.noise, self.rate = np.random.default_rng(seed), noise, rate
+
+    def _step(self, name: str, rows: np.ndarray, grads: np.ndarray):
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        fresh = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        g, at = np.add.reduceat(grads[order], fresh, axis=0), rows[fresh]
+        sums = self.sums[name][at] + g * g
+        self.sums[name][at] = sums
+        self.p[name][at] += self.rate * g / np.sqrt(sums + np.float32(FIRST_SUM))
+        self.steps[name][at] += 1
+
+    def _draw(self, low, high):
+        """Words by their shares, each between two values of the cumulated shares."""
+        return np.minimum(np.searchsorted(self.cumulated, low + self.rng.random(low.shape) * (high - low), "right"), len(self.cumulated) - 1)
 
     def learn(self, w, h1, h2):
-        q = self.p["q"]
-        dim = q.shape[1] - 1
-        noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(self.noise)), len(q) - 1)
-        made = self.p["r1"][h1] + self.p["r2"][h2]
-        qw, qn = q[w], q[noise]
-        real = np.einsum("ij,ij->i", made, qw[:, :dim]) + qw[:, dim] - self.log_noise[w]
+        dim, k = DIM, WORD_NOISE
+        of = w // self.width
+        made = self.p["r1"][h1] + _STARTS[0][h1 & 4095] + self.p["r2"][h2] + _STARTS[1][h2 & 4095]
+        scale = np.float32(1 / len(w) ** 0.5)
+        # the classes against classes that the batch shares
+        noise = self._draw(np.zeros(self.noise), np.full(self.noise, self.cumulated[-1])) // self.width
+        q = self.p["classes"] + self.first
+        qw, qn = q[of], q[noise]
+        real = np.einsum("ij,ij->i", made, qw[:, :dim]) + qw[:, dim] - self.log_noise[of]
         fake = made @ qn[:, :dim].T + qn[:, dim] - self.log_noise[noise]
         g = 1 / (1 + np.exp(np.clip(real, -30, 30)))
         b = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
         d_made = g[:, None] * qw[:, :dim] + b @ qn[:, :dim]
-        gq = np.bincount((w[:, None] * (dim + 1) + np.arange(dim + 1)).ravel(), np.column_stack([g[:, None] * made, g]).ravel(), q.size).reshape(q.shape)
-        np.add.at(gq, noise, np.column_stack([b.T @ made, b.sum(axis=0)]))
-        scale = np.float32(1 / len(w) ** 0.5)
-        self._step("q", (gq * scale).astype(np.float32))
-        self._add("r1", h1, d_made * scale)
-        self._add("r2", h2, d_made * scale)
-        self.seen += len(w)
-
-
-def train(bodies: DataFrame, sent, dim: int = DIM) -> dict:
-    """Parameters averaged over the tasks of one pass over all of ``bodies``, weighted by tokens.  ``sent``: broadcast vocabulary."""
-    cols = [f"v{i}" for i in range(dim + 1)]
+        grads = np.concatenate([np.column_stack([g[:, None] * made, g]), np.column_stack([b.T @ made, b.sum(axis=0)])])
+        self._step("classes", np.concatenate([of, noise]), (grads * scale).astype(np.float32))
+        # each word against words of its class
+        tries = np.column_stack([w, np.minimum(np.maximum(self._draw(np.repeat(self.ends[of][:, None], k, 1), np.repeat(self.ends[of + 1][:, None], k, 1)), of[:, None] * self.width), (of[:, None] + 1) * self.width - 1)])
+        qt = self.p["q"][tries]
+        # the start is the noise's own distribution, so it falls out of the odds
+        odds = np.matmul(qt[:, :, :dim], made[:, :, None])[:, :, 0] + qt[:, :, dim] - np.float32(np.log(k))
+        g = -1 / (1 + np.exp(np.clip(-odds, -30, 30)))
+        g[:, 0] += 1
+        d_made += np.matmul(g[:, None, :], qt[:, :, :dim])[:, 0]
+        grads = np.concatenate([g[:, :, None] * made[:, None, :], g[:, :, None]], axis=2).reshape(-1, dim + 1)
+        self._step("q", tries.ravel(), (grads * scale).astype(np.float32))
+        d_made = (d_made * scale).astype(np.float32)
+        self._step("r1", h1, d_made)
+        self._step("r2", h2, d_made)
+
+    def learnt(self):
+        """(table, block, rows within it, steps, values) of all rows that took steps."""
+        for part, name in enumerate(("r1", "r2", "q", "classes")):
+            rows = np.flatnonzero(self.steps[name])
+            cuts = np.flatnonzero(np.diff(rows // BLOCK)) + 1
+            for at in np.split(rows, cuts) if len(rows) else ():
+                yield part, int(at[0] // BLOCK), (at % BLOCK).astype(np.int16).tobytes(), self.steps[name][at].tobytes(), self.p[name][at].astype(np.float16).tobytes()
+
+
+def train(bodies: DataFrame, sent) -> dict:
+    """Parameters averaged over the tasks of one pass over all of ``bodies``, row by row, weighted by steps.  ``sent``: broadcast vocabulary."""
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("rows", pa.binary()), ("steps", pa.binary()), ("data", pa.binary())])
 
     def learn(batches):
         v, powers = sent.value, Powers()
@@ -194,29 +244,82 @@ def train(bodies: DataFrame, sent, dim: int = DIM) -> dict:
         for batch in batches:
             for h, bounds in _tokens(batch.column(0), powers):
                 trainer = trainer or Trainer(v["log_share"], int(h[0] % np.uint64(2**31)))
-                places = look(h)
-                classes = np.where(places >= 0, v["classes"][places], OTHER)
-                held.append((classes, *contexts(classes, bounds)))
+                words = v["words"][look(h)]
+                words[h == END] = END_WORD
+                held.append((words, *contexts(words, bounds)))
                 drain(BATCH)
         if trainer is not None:
             if held:
                 drain(1)
-            for k, (name, table) in enumerate(trainer.p.items()):
-                full = np.column_stack([table, np.zeros(len(table))]) if table.shape[1] == dim else table
-                columns = [pa.array(np.full(len(table), k, np.int32)), pa.array(np.arange(len(table), dtype=np.int32)), pa.array(np.full(len(table), float(trainer.seen)))]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(full[:, i].astype(np.float64)) for i in range(dim + 1)]], names=["part", "row", "n", *cols])
-
-    parts = bodies.mapInArrow(learn, ", ".join(["part int", "row int", "n double", *[f"{c} double" for c in cols]]))
-    rows = parts.groupBy("part", "row").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in cols]).collect()  # the model: a fixed size
-    p = first_parameters(sent.value["log_share"], dim)
-    for r in rows:
-        name = ("r1", "r2", "q")[r["part"]]
-        p[name][r["row"]] = [r[c] for c in cols][: p[name].shape[1]]
-    return p
+            out = list(trainer.learnt())
+            for at in range(0, len(out), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 256], strict=True), schema.types, strict=True)], schema=schema)
+
+    def average(table: pa.Table) -> pa.Table:
+        part, block = table.column("part")[0].as_py(), table.column("block")[0].as_py()
+        width = DIM + (part > 1)
+        total, steps = np.zeros((BLOCK, width)), np.zeros(BLOCK)
+        for rows, n, data in zip(table.column("rows"), table.column("steps"), table.column("data"), strict=True):
+            rows, n = np.frombuffer(rows.as_py(), np.int16), np.frombuffer(n.as_py(), np.float32)
+            total[rows] += np.frombuffer(data.as_py(), np.float16).reshape(-1, width) * n[:, None].astype(np.float64)
+            steps[rows] += n
+        mean = (total / np.maximum(steps, 1)[:, None]).astype(np.float16)
+        return pa.table({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int64()), "data": pa.array([mean.tobytes()], pa.binary())})
+
+    parts = bodies.mapInArrow(learn, "part int, block long, rows binary, steps binary, data binary")
+    found = parts.groupBy("part", "block").applyInArrow(average, "part int, block long, data binary").toArrow()  # the model: some 100 bytes a word
+    log_share = sent.value["log_share"]
+    width, by_class, bias = layout(log_share)
+    n = len(log_share)
+    size = -(-n // BLOCK) * BLOCK
+    tables = [np.zeros((size if k < 3 else -(-len(by_class) // BLOCK) * BLOCK, DIM + (k > 1)), np.float16) for k in range(4)]
+    for part, block, data in zip(*(found.column(c) for c in ("part", "block", "data")), strict=True):
+        k, at = part.as_py(), block.as_py() * BLOCK
+        tables[k][at : at + BLOCK] = np.frombuffer(data.as_py(), np.float16).reshape(BLOCK, -1)
+    for k in (0, 1):
+        for at in range(0, size, 4096):  # starts repeat
+            tables[k][at : at + 4096] += _STARTS[k][: len(tables[k][at : at + 4096])].astype(np.float16)
+    classes = tables[3][: len(by_class)] + first_parameters(by_class)["q"]
+    return {"r1": tables[0][:n], "r2": tables[1][:n], "q": tables[2][:n], "bias": bias, "classes": classes.astype(np.float32), "width": width}
+
+
+def _log_sums(made: np.ndarray, q: np.ndarray, rows: int = 1024) -> np.ndarray:
+    """For each row of ``made`` the log of the sum of exp over all rows of ``q``, whose last column is a bias."""
+    out = np.empty(len(made), np.float32)
+    vectors, bias = np.ascontiguousarray(q[:, :-1].T), q[:, -1]
+    for at in range(0, len(made), rows):
+        s = made[at : at + rows] @ vectors
+        s += bias
+        most = s.max(axis=1)
+        s -= most[:, None]
+        out[at : at + rows] = np.log(np.exp(s, out=s).sum(axis=1)) + most
+    return out
+
+
+def log_probabilities(p: dict, w: np.ndarray, one: np.ndarray, two: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+    """The natural log of each word's probability after its two context words: of its class, and of the word within it."""
+    out = np.empty(len(w), np.float32)
+    for a in range(0, len(w), most):
+        words = w[a : a + most]
+        made = p["r1"][one[a : a + most]].astype(np.float32) + p["r2"][two[a : a + most]]
+        of = words // p["width"]
+        q = p["classes"][of]
+        logs = np.einsum("ij,ij->i", made, q[:, :-1]) + q[:, -1] - _log_sums(made, p["classes"])
+        order = np.argsort(of, kind="stable")
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(of[order]) != 0])), len(order))
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            at = order[x:y]
+            low = int(of[at[0]]) * p["width"]
+            q = p["q"][low : low + p["width"]].astype(np.float32)
+            q[:, -1] += p["bias"][low : low + p["width"]]
+            h, mine = made[at], q[words[at] - low]
+            logs[at] += np.einsum("ij,ij->i", h, mine[:, :-1]) + mine[:, -1] - _log_sums(h, q)
+        out[a : a + most] = logs
+    return out
 
 
 def log_tables(p: dict):
-    """(scores by first context, scores by second context, log normalisers): natural logs, class by class."""
+    """(scores by first context, scores by second context, log normalisers) of a small model in one class, for all pairs of contexts."""
     dim = p["r1"].shape[1]
     t1 = p["r1"] @ p["q"][:, :dim].T
     t2 = p["r2"] @ p["q"][:, :dim].T + p["q"][:, dim]
@@ -225,7 +328,7 @@ def log_tables(p: dict):
     return t1, t2, np.log(z) + m1[:, None] + m2
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_classes: int = CLASSES, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Null texts are empty and hold the end token alone.  Without training
@@ -235,24 +338,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_classes
     training = docs.filter(crc_mod(F.col(id_col), FOLDS) != HELD).select(text_of(docs, text).alias("body"))
     counts = cut(token_counts(training))
     n, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = _hottest(counts, hot).toArrow()  # at most ``hot`` pairs of numbers
+    top = _hottest(counts, hot, least).toArrow()  # pairs of numbers: ``hot`` of them, or all words of the model
     tokens, c = top.column("token").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.int64)
     by_count = np.lexsort((tokens, -c))
     tokens, c = tokens[by_count], c[by_count]
-    classes = np.zeros(len(tokens), np.int32)
-    chosen = np.flatnonzero(tokens != END)[: n_classes - 2]
-    classes[chosen] = np.arange(2, len(chosen) + 2)
-    classes[tokens == END] = END_CLASS
-    by_class = np.zeros(len(chosen) + 2)
-    by_class[classes[classes > 0]] = c[classes > 0]
+    words = np.zeros(len(tokens), np.int32)
+    chosen = np.flatnonzero((tokens != END) & (c >= least))
+    words[chosen] = np.arange(2, len(chosen) + 2)
+    words[tokens == END] = END_WORD
+    by_word = np.zeros(len(chosen) + 2)
+    by_word[words[words > 0]] = c[words > 0]
     ends = counts.filter(F.col("token") == int(END.view(np.int64))).collect()
-    by_class[END_CLASS] = ends[0]["c"] if ends else 0
-    rest, rest_distinct = n - int(by_class.sum()), distinct - len(chosen) - len(ends)
-    by_class[OTHER] = rest
-    log_share = np.log((by_class + 1) / (by_class + 1).sum())
+    by_word[END_WORD] = ends[0]["c"] if ends else 0
+    rest, rest_distinct = n - int(by_word.sum()), distinct - len(chosen) - len(ends)
+    by_word[OTHER] = rest
+    log_share = np.log((by_word + 1) / (by_word + 1).sum())
     order = np.argsort(tokens)
     # a last entry stands for tokens that aren't found
-    vocabulary = {"keys": tokens[order], "classes": np.append(classes[order], np.int32(OTHER)), "log_share": log_share}
+    vocabulary = {"keys": tokens[order], "words": np.append(words[order], np.int32(OTHER)), "log_share": log_share}
     sent = spark.sparkContext.broadcast(vocabulary)
     model = spark.sparkContext.broadcast({**train(training, sent), "logs": np.append(np.log10(c[order] + 1.0), 0.0)})
 
@@ -260,19 +363,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_classes
 
     def rate(batches):
         v, p, powers = sent.value, model.value, Powers()
-        if "tables" not in p:  # kept with the broadcast value for the worker's next tasks
-            p["tables"], p["look"] = log_tables(p), Lookup(v["keys"])
-        (t1, t2, z), look = p["tables"], p["look"]
+        if "look" not in p:  # kept with the broadcast value for the worker's next tasks
+            p["look"] = Lookup(v["keys"])
+        look = p["look"]
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, at = batch.column(1), 0
             for h, bounds in _tokens(batch.column(0), powers):
                 places = look(h)
                 known = places >= 0
-                w = np.where(known, v["classes"][places], OTHER)
-                w[h == END] = END_CLASS
+                w = v["words"][places]
+                w[h == END] = END_WORD
                 one, two = contexts(w, bounds)
-                logp = (t1[one, w] + t2[two, w] - z[one, two]) * np.float32(1 / np.log(10))
+                logp = log_probabilities(p, w, one, two) * np.float32(1 / np.log(10))
                 logs = np.where(known, p["logs"][places], 0.0)
                 other = w == OTHER
                 total = lambda x, bounds=bounds: np.add.reduceat(x, bounds[:-1])  # noqa: E731  no text is without tokens

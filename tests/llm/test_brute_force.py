@@ -149,6 +149,34 @@ def test_model_probabilities_sum_to_one():
     assert np.allclose([np.exp(t1[a] + t2[b] - z[a, b]).sum() for a in range(0, 40, 7) for b in range(0, 40, 9)], 1, atol=1e-5)
 
 
+def test_factored_probabilities_sum_to_one_and_equal_one_class():
+    rng = np.random.default_rng(3)
+    n, width = 50, 8
+    p = {k: rng.normal(0, 0.5, (n, lm.DIM + (k == "q"))).astype(np.float16) for k in ("r1", "r2", "q")}
+    p |= {"bias": rng.normal(0, 1, n).astype(np.float32), "classes": rng.normal(0, 1, (-(-n // width), lm.DIM + 1)).astype(np.float32), "width": width}
+    words = np.arange(n)
+    for a, b in ((0, 1), (7, 49), (30, 2)):
+        assert np.isclose(np.exp(lm.log_probabilities(p, words, np.full(n, a), np.full(n, b), most=17)).sum(), 1, atol=1e-4)
+    whole = {**p, "width": n, "classes": p["classes"][:1]}
+    t1, t2, z = lm.log_tables({k: (p[k] + (0 if k != "q" else np.column_stack([np.zeros((n, lm.DIM)), p["bias"]]))).astype(np.float32) for k in ("r1", "r2", "q")})
+    assert np.allclose(lm.log_probabilities(whole, words, words[::-1].copy(), words), t1[words[::-1], words] + t2[words, words] - z[words[::-1], words], atol=1e-3)
+
+
+def test_words_beyond_the_most_frequent_have_vectors(spark):
+    """2200 words stand more often than these pairs, yet the model knows which of them follow one another."""
+    rng = np.random.default_rng(5)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    ids = [i for i in range(5000) if not held(i)]
+    texts = [" ".join(f"common{j}" for j in rng.permutation(2200)) for _ in range(80)]
+    texts += [" ".join(f"left{j} right{j}" for j in rng.integers(0, 20, 10)) for _ in range(120)]
+    rows = [(i, texts[j]) for i, j in zip(ids, rng.permutation(len(texts)), strict=False)]
+    right, wrong = [i for i in range(5000, 6000) if held(i)][:2]
+    rows += [(right, " ".join(f"left{j} right{j}" for j in range(20))), (wrong, " ".join(f"left{j} right{(j + 7) % 20}" for j in range(20)))]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert math.isclose(got[right]["base_score"], got[wrong]["base_score"], rel_tol=1e-9)
+    assert got[right]["score"] > got[wrong]["score"] + 0.1
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
