@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.indicators import with_indicators
 from .rules import BreakoutRule, evaluate
 
+#: Bars of the average volume, which no parameter sets.
+AVG_VOLUME_BARS = 20
+
 
 def active(universe: DataFrame) -> DataFrame:
     """Symbols in use; null counts as not in use."""
@@ -25,24 +28,25 @@ def recent_history(bars: DataFrame, as_of: str, depth: int) -> DataFrame:
     return seen.withColumn("_age", F.row_number().over(order)).filter(F.col("_age") <= depth).drop("_age")
 
 
+def last_bars(bars: DataFrame, as_of: str, p) -> DataFrame:
+    """Each symbol's last bar up to a date with its indicators.  They need only recent bars; ``n`` counts the whole history up to the date."""
+    depth = max(p.lookback_window, p.rsi_period + 1, p.sma_short_period, p.sma_medium_period, p.sma_long_period, AVG_VOLUME_BARS)
+    frame = with_indicators(recent_history(bars, as_of, depth), p.rsi_period, p.sma_short_period, p.sma_medium_period, p.sma_long_period, p.lookback_window)
+    last = frame.withColumn("_last", F.max("date").over(Window.partitionBy("symbol"))).filter("date = _last").drop("_last")
+    counted = bars.filter(F.col("date") <= F.lit(as_of).cast("date")).groupBy(F.col("symbol").alias("_symbol")).agg(F.count(F.lit(1)).alias("_n"))
+    return last.join(counted, last["symbol"].eqNullSafe(counted["_symbol"])).withColumn("n", F.col("_n")).drop("_symbol", "_n")
+
+
 def evaluate_as_of(bars: DataFrame, as_of: str, rule: BreakoutRule | None = None) -> DataFrame:
     """One row per symbol at its last bar up to a date, however old: indicators, each condition, match and confidence."""
     rule = rule or BreakoutRule()
-    p = rule.p
-    depth = max(p.lookback_window, p.rsi_period + 1, p.sma_short_period, p.sma_medium_period, p.sma_long_period)
-    frame = with_indicators(recent_history(bars, as_of, depth), p.rsi_period, p.sma_short_period, p.sma_medium_period, p.sma_long_period, p.lookback_window)
-    last = frame.withColumn("_last", F.max("date").over(Window.partitionBy("symbol"))).filter("date = _last").drop("_last")
-    return last.withColumns({**rule.conditions(), "matched": rule.matches(), "confidence": rule.confidence()})
+    return last_bars(bars, as_of, rule.p).withColumns({**rule.conditions(), "matched": rule.matches(), "confidence": rule.confidence()})
 
 
 def scan(bars: DataFrame, universe: DataFrame, as_of: str, rules: list | None = None) -> DataFrame:
     """Signals of a scan at ``as_of``: the date of the signal is the scan's, also where the last bar is older."""
     rules = rules or [BreakoutRule()]
-    p = rules[0].p
-    depth = max(p.lookback_window, p.rsi_period + 1, p.sma_short_period, p.sma_medium_period, p.sma_long_period)
-    frame = with_indicators(recent_history(bars_of_active(bars, universe), as_of, depth), p.rsi_period, p.sma_short_period, p.sma_medium_period, p.sma_long_period, p.lookback_window)
-    last = frame.withColumn("_last", F.max("date").over(Window.partitionBy("symbol"))).filter("date = _last").drop("_last")
-    return evaluate(last, rules).withColumn("scan_date", F.lit(as_of).cast("date"))
+    return evaluate(last_bars(bars_of_active(bars, universe), as_of, rules[0].p), rules).withColumn("scan_date", F.lit(as_of).cast("date"))
 
 
 def run_summary(bars: DataFrame, universe: DataFrame, as_of: str, rules: list | None = None) -> DataFrame:

@@ -131,7 +131,8 @@ def _payloads(spark):
 def _scan_eval(spark, d):
     one = scan.evaluate_as_of(_brand(spark, d), AS_OF, wide_rule())
     return one.select(
-        "symbol", "date", "n", "volume", *_rounded("rsi", "sma20", "sma50", "sma200"), "avg_volume20", *_rounded("recent_high"),
+        "symbol", "date", F.least("n", F.lit(200).cast("long")).alias("n"), "volume",  # the query's SQL says least(n, 200)
+        *_rounded("rsi", "sma20", "sma50", "sma200"), "avg_volume20", *_rounded("recent_high"),
         "enough_bars", "breaks_out", "gap_small", "volume_confirms", "rsi_strong", "trend_up", "matched", *_rounded("confidence"),
     )
 

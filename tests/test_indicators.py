@@ -94,6 +94,21 @@ def test_bounded_history_is_enough(spark):
     assert sorted(map(tuple, whole.select(cols).collect())) == sorted(map(tuple, cut.select(cols).collect()))
 
 
+def test_scans_count_the_whole_history(spark):
+    frame = spark.createDataFrame(bars("long", [100.0] * 260, [1000] * 260) + bars("short", [100.0] * 30, [1000] * 30), BARS)
+    got = {r["symbol"]: r["n"] for r in scan.evaluate_as_of(frame, str(DAY + dt.timedelta(days=249))).collect()}
+    assert got == {"long": 250, "short": 30}
+
+
+def test_short_parameters_leave_the_average_volume(spark):
+    rows = bars("up", [100.0 + (i % 2) * 0.1 for i in range(39)] + [101.0], [1000] * 39 + [5000])
+    rules = [BreakoutRule(BreakoutParameters(lookback_window=5, rsi_period=3, sma_short_period=3, sma_medium_period=5, sma_long_period=8))]
+    frame, universe = spark.createDataFrame(rows, BARS), spark.createDataFrame([("up", "NSE", "", "", True)], UNIVERSE)
+    day = DAY + dt.timedelta(days=39)
+    found = [r["confidence"] for r in scan.scan(frame, universe, str(day), rules).collect()]
+    assert len(found) == 1 and found == [r["confidence"] for r in scan.backtest(frame, rules).filter(F.col("scan_date") == F.lit(day)).collect()]
+
+
 def test_scans_one_by_one_equal_the_backtest(spark):
     from barloom.operators import calendar as cal
 
