@@ -1,7 +1,8 @@
 """Best-fit packing with swap-based local search.
 
 Documents become token ids, long ones are cut into pieces, and pieces are
-dealt at random to groups of a bounded size.  Within a group best-fit
+dealt at random to groups of a bounded size; what the groups leave underfull
+is dealt again.  Within a group best-fit
 decreasing fills bins; local search then moves documents, exchanges one for
 one or two for one between underfull bins, always raising the sum of squared
 fills, until bins empty or nothing helps.
@@ -19,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, text_of
 
-#: Tokens of a sequence, and the documents of a packing group: a group packs in one task, and wastes less than a sequence.
+#: Tokens of a sequence, and the pieces of a packing group, which packs in one task.
 SEQUENCE, GROUP = 2048, 50_000
 
 # Fixed value: the splitting pattern of the byte-level vocabulary.
@@ -162,29 +163,64 @@ def _best_step(source, others, bins, free, sizes):
     return best
 
 
-def pack(cut_pieces: DataFrame, n_rows: int, sequence: int = SEQUENCE, group: int = GROUP) -> DataFrame:
-    """Deal pieces to ceil(n_rows / group) groups and pack each: adds sequence_id and offset."""
-    groups = max(1, -(-n_rows // group))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-
-    def fill(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        sizes = table.column("length").to_pylist()
-        bins = local_search(best_fit(sizes, sequence), sizes, sequence)
-        first = table.column("g")[0].as_py() << 32
-        where, offset = [0] * len(sizes), [0] * len(sizes)
-        for b, items in enumerate(bins):
-            at = 0
-            for i in items:
-                where[i], offset[i] = first + b, at
-                at += sizes[i]
-        out = table.drop_columns(["g"])
-        return out.append_column("sequence_id", pa.array(where, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
-
-    dealt = cut_pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("g").applyInArrow(fill, schema)
+def _bins(table: pa.Table, sequence: int) -> tuple[list[int], list[list[int]]]:
+    """(sizes, bins) of a group; bins that it comes with are searched on as they are, so a later round never adds one."""
+    sizes = table.column("length").to_pylist()
+    bins = local_search(best_fit(sizes, sequence), sizes, sequence)
+    if "sequence_id" in table.column_names:
+        held: dict[int, list[int]] = {}
+        for i, s in enumerate(table.column("sequence_id").to_pylist()):
+            held.setdefault(s, []).append(i)
+        if len(bins) > -(-sum(sizes) // sequence):
+            bins = min(bins, local_search(list(held.values()), sizes, sequence), key=len)
+    return sizes, bins
+
+
+def pack(cut_pieces: DataFrame, sequence: int = SEQUENCE, group: int = GROUP) -> DataFrame:
+    """Deal pieces to groups of about ``group`` and pack each: adds sequence_id and offset.
+
+    The underfull bins of all groups are dealt anew and packed together, round
+    after round, until they are one group or their groups get no fewer.
+    """
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, underfull boolean"
+
+    def fill_from(base: int):
+        def fill(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+            sizes, bins = _bins(table, sequence)
+            first = base + table.column("g")[0].as_py() << 32
+            where, offset, underfull = [0] * len(sizes), [0] * len(sizes), [False] * len(sizes)
+            for b, items in enumerate(bins):
+                at = 0
+                for i in items:
+                    where[i], offset[i] = first + b, at
+                    at += sizes[i]
+                for i in items:
+                    underfull[i] = at < sequence
+            out = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+            return out.append_column("sequence_id", pa.array(where, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).append_column("underfull", pa.array(underfull, pa.bool_()))
+
+        return fill
+
+    rest, keys, done, base = cut(cut_pieces), ["doc_id", "piece", "ids_crc32"], [], 0
+    groups = max(1, -(-rest.count() // group))
+    while True:
+        dealt = rest.withColumn("g", F.pmod(F.xxhash64(*keys, F.lit(base)), F.lit(groups)))
+        packed = dealt.groupBy("g").applyInArrow(fill_from(base), schema)
+        if groups == 1:
+            break
+        packed = cut(packed)
+        rest, base, keys = packed.filter("underfull").drop("offset", "underfull"), base + groups, ["sequence_id"]
+        fewer = max(1, -(-rest.count() // group))
+        if fewer == groups:
+            break
+        done.append(packed.filter("NOT underfull"))
+        groups = fewer
+    for d in done:
+        packed = packed.unionByName(d)
+    return packed.drop("underfull")
 
 
 def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of all documents with their places; repeated rows are packed as often as they stand."""
-    return pack(pieces(docs, json_path, ranks_path, id_col, text), docs.count())
+    return pack(pieces(docs, json_path, ranks_path, id_col, text))

@@ -198,6 +198,18 @@ def test_local_search_empties_bins():
     assert len(packing.local_search([[0], [1], [2], [3], [4, 5], [6, 7]], sizes, 10)) == 3
 
 
+def test_groups_share_their_underfull_bins(spark):
+    sizes = np.random.default_rng(2).integers(1, 60, 900)
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(sizes)]
+    frame = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(frame, sequence=100, group=150).toPandas()
+    assert sorted(zip(got.doc_id, got.length, strict=True)) == [(i, n) for i, n in enumerate(sizes)]
+    fills = got.groupby("sequence_id").length.sum()
+    assert fills.max() <= 100 and len(fills) <= -(-sizes.sum() // 100) + 1  # apart, the groups waste several
+    placed = got.sort_values(["sequence_id", "offset"])
+    assert (placed.offset == placed.groupby("sequence_id").length.cumsum() - placed.length).all()
+
+
 def test_license_places(spark, docs):
     got = QUERIES["op9_license_scan"](spark, FOLDER).toPandas().set_index("doc_id")
     for i, t in zip(docs.doc_id, docs.text, strict=True):
