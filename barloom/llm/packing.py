@@ -2,10 +2,10 @@
 
 Documents become token ids, long ones are cut into pieces, and pieces are
 dealt at random to groups of a bounded size; what the groups leave underfull
-is dealt again.  Within a group best-fit
-decreasing fills bins; local search then moves documents, exchanges one for
-one or two for one between underfull bins, always raising the sum of squared
-fills, until bins empty or nothing helps.
+is dealt again.  Within a group best fit gives the large pieces their bins and
+every small one starts alone; local search then moves documents, exchanges one
+for one or two for one between underfull bins, always raising the sum of
+squared fills, until bins empty or nothing helps.
 """
 
 from __future__ import annotations
@@ -77,12 +77,11 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str | None = None, id_co
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing; bins as lists of item numbers."""
+    """Best fit in the order in which items come; bins as lists of item numbers."""
     bins: list[list[int]] = []
     by_free: dict[int, list[int]] = {}
     mask = 0  # bit f: a bin has f free
-    for item in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        size = sizes[item]
+    for item, size in enumerate(sizes):
         fits = mask >> size
         if fits:
             free = size + (fits & -fits).bit_length() - 1
@@ -99,94 +98,176 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, patience: int = 20_000) -> list[list[int]]:
-    """Empty bins by moves and exchanges between underfull ones.  ``patience`` bounds the steps; every state is a whole packing."""
+def _lowest(mask: int, least: int) -> int:
+    """The lowest bit of a mask from ``least`` on; -1 if there is none."""
+    rest = mask >> least
+    return least + (rest & -rest).bit_length() - 1 if rest else -1
+
+
+class Underfull:
+    """The underfull bins of a packing and all steps between them.
+
+    ``roomy`` has the bins by what is free in them.  ``swaps`` has, for every
+    size that would fill a bin exactly once one of its items is taken out, the
+    bins by what is free in them; the item's size is the difference.  Masks
+    have a bit for each key, so the next larger one is found at once.
+    """
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.sizes, self.capacity = sizes, capacity
+        self.items = [sorted(b, key=sizes.__getitem__) for b in bins]
+        self.free = [capacity - sum(sizes[i] for i in b) for b in bins]
+        self.alive, self.steps = len(bins), 0
+        self.roomy: dict[int, set] = {}
+        self.swaps: dict[int, dict[int, set]] = {}
+        self.room_mask, self.swap_mask = 0, 0
+        self.frees: dict[int, int] = {}
+        self.order = sorted((f, b) for b, f in enumerate(self.free) if f)  # the emptiest last
+        for _, b in self.order:
+            self._add(b)
+
+    def _add(self, b: int):
+        free = self.free[b]
+        self.roomy.setdefault(free, set()).add(b)
+        self.room_mask |= 1 << free
+        for s in {self.sizes[i] for i in self.items[b]}:
+            self.swaps.setdefault(free + s, {}).setdefault(free, set()).add(b)
+            self.frees[free + s] = self.frees.get(free + s, 0) | 1 << free
+            self.swap_mask |= 1 << free + s
+
+    def _drop(self, b: int):
+        free = self.free[b]
+        self.roomy[free].discard(b)
+        if not self.roomy[free]:
+            self.room_mask ^= 1 << free
+        for s in {self.sizes[i] for i in self.items[b]}:
+            found = self.swaps[free + s][free]
+            found.discard(b)
+            if not found:
+                del self.swaps[free + s][free]
+                self.frees[free + s] ^= 1 << free
+                if not self.frees[free + s]:
+                    self.swap_mask ^= 1 << free + s
+
+    def offers(self, source: int) -> list[tuple[int, tuple]]:
+        """(size, sizes) of one item of the source or of two, the largest first."""
+        mine = [self.sizes[i] for i in self.items[source]]
+        ones = sorted(set(mine), reverse=True)
+        out = [(x, (x,)) for x in ones]
+        twice = {x for x, y in zip(mine, mine[1:], strict=False) if x == y}
+        return out + [(x + y, (x, y)) for n, x in enumerate(ones) for y in ones[n if x in twice else n + 1 :]]
+
+    def _swap(self, key: int, free: int, given: tuple):
+        return next(iter(self.swaps[key][free])), key - free, given
+
+    def exact(self, source: int):
+        """A step that fills a bin: (bin, size that goes back or 0, sizes that go there)."""
+        for total, given in self.offers(source):
+            if len(given) == 1 and self.room_mask >> total & 1:
+                return next(iter(self.roomy[total])), 0, given
+            if self.swap_mask >> total & 1:
+                return self._swap(total, self.frees[total].bit_length() - 1, given)
+        return None
+
+    def better(self, source: int):
+        """A step that raises the sum of squared fills and leaves least free in the bin it goes to: a move, or an exchange that takes half or more of what is free there."""
+        best, least = None, self.free[source]
+        for total, given in self.offers(source):
+            if len(given) == 1 and 0 <= (at := _lowest(self.room_mask, total)) < total + least:
+                best, least = (next(iter(self.roomy[at])), 0, given), at - total
+            at = total - 1
+            while 0 <= (at := _lowest(self.swap_mask, at + 1)) < total + least:
+                free = self.frees[at].bit_length() - 1
+                if free >= 2 * (at - total):
+                    best, least = self._swap(at, free, given), at - total
+                    break
+        return best
+
+    def take(self, source: int, step) -> None:
+        """Carry a step out.  The source's own entries are out of ``fits``."""
+        target, back, given = step
+        self._drop(target)
+        self.order.pop(bisect.bisect_left(self.order, (self.free[target], target)))
+        order = self.sizes.__getitem__
+        for size in given:
+            i = self.items[source].pop(bisect.bisect_left(self.items[source], size, key=order))
+            bisect.insort(self.items[target], i, key=order)
+        if back:
+            i = self.items[target].pop(bisect.bisect_left(self.items[target], back, key=order))
+            bisect.insort(self.items[source], i, key=order)
+        moved = sum(given) - back
+        self.free[source] += moved
+        self.free[target] -= moved
+        if self.free[target]:
+            self._add(target)
+            bisect.insort(self.order, (self.free[target], target))
+        self.steps += 1
+
+
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[list[list[int]], int]:
+    """(bins, steps): moves, exchanges of one for one and of two for one between underfull bins, until bins are as few as can be or no step helps.
+
+    Sources are taken from the emptiest on.  Steps that fill a bin exactly go
+    first, then moves and such exchanges as take half or more of what is free; each
+    raises the sum of squared fills, so the search ends.
+    """
     least = -(-sum(sizes) // capacity)
-    bins = [sorted(b, key=lambda i: sizes[i]) for b in bins]
-    free = [capacity - sum(sizes[i] for i in b) for b in bins]
-    order = lambda i: sizes[i]
-    open_bins = sorted((b for b in range(len(bins)) if free[b]), key=lambda b: -free[b])
-    alive, stuck = len(bins), 0
-    for _ in range(patience):
-        open_bins = [b for b in open_bins if free[b] and bins[b]]
-        if alive <= least or stuck >= len(open_bins) - 1:
-            break
-        open_bins.sort(key=lambda b: -free[b])
-        source, others = open_bins[stuck], [b for b in reversed(open_bins) if b != open_bins[stuck] and free[b] <= free[open_bins[stuck]]]
-        step = _best_step(source, others, bins, free, sizes)
-        if step is None:
-            stuck += 1
-            continue
-        target, out, back = step
-        for i in out:
-            bins[source].remove(i)
-            bisect.insort(bins[target], i, key=order)
-        for i in back:
-            bins[target].remove(i)
-            bisect.insort(bins[source], i, key=order)
-        moved = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
-        free[source] += moved
-        free[target] -= moved
-        alive -= not bins[source]
-        stuck = 0
-    return [b for b in bins if b]
-
-
-def _best_step(source, others, bins, free, sizes):
-    """(target, items out of the source, items back) that moves most into a fuller bin: a move, one for one, or two for one."""
-    best, gain = None, 0
-    mine = bins[source]
-    keys = [sizes[i] for i in mine]
-    for target in others:
-        room = free[target]
-        if room <= gain:
-            continue
-        at = bisect.bisect_right(keys, room)
-        if at and keys[at - 1] > gain:
-            best, gain = (target, (mine[at - 1],), ()), keys[at - 1]
-        for back in bins[target]:
-            most = sizes[back] + room
-            at = bisect.bisect_right(keys, most)
-            if at and keys[at - 1] - sizes[back] > gain:
-                best, gain = (target, (mine[at - 1],), (back,)), keys[at - 1] - sizes[back]
-            low, high = 0, len(keys) - 1  # the two of mine that come closest to what fits
-            while low < high:
-                two = keys[low] + keys[high]
-                if two > most:
-                    high -= 1
-                    continue
-                if two - sizes[back] > gain:
-                    best, gain = (target, (mine[low], mine[high]), (back,)), two - sizes[back]
-                low += 1
-        if best and gain == free[best[0]]:
-            break
-    return best
+    state = Underfull(bins, sizes, capacity)
+    for find in (state.exact, lambda b: state.exact(b) or state.better(b)):
+        before = -1
+        while state.steps > before and state.alive > least:
+            before = state.steps
+            for _, source in state.order[::-1]:
+                if state.alive <= least:
+                    break
+                if not state.free[source] or not state.items[source]:
+                    continue  # filled meanwhile
+                state.order.pop(bisect.bisect_left(state.order, (state.free[source], source)))
+                state._drop(source)
+                while state.items[source] and (step := find(source)):
+                    state.take(source, step)
+                if state.items[source]:
+                    state._add(source)
+                    bisect.insort(state.order, (state.free[source], source))
+                else:
+                    state.alive -= 1
+    return [b for b in state.items if b], state.steps
+
+
+def first_packing(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Pieces of an eighth of a bin or more by best fit decreasing; each smaller one in a bin of its own, for the search to place."""
+    large = sorted((i for i, n in enumerate(sizes) if 8 * n >= capacity), key=lambda i: -sizes[i])
+    return [[large[i] for i in b] for b in best_fit([sizes[i] for i in large], capacity)] + [[i] for i, n in enumerate(sizes) if 8 * n < capacity]
 
 
 def _bins(table: pa.Table, sequence: int) -> tuple[list[int], list[list[int]]]:
     """(sizes, bins) of a group; bins that it comes with are searched on as they are, so a later round never adds one."""
     sizes = table.column("length").to_pylist()
-    bins = local_search(best_fit(sizes, sequence), sizes, sequence)
     if "sequence_id" in table.column_names:
         held: dict[int, list[int]] = {}
         for i, s in enumerate(table.column("sequence_id").to_pylist()):
             held.setdefault(s, []).append(i)
-        if len(bins) > -(-sum(sizes) // sequence):
-            bins = min(bins, local_search(list(held.values()), sizes, sequence), key=len)
-    return sizes, bins
+        start = list(held.values())
+    else:
+        start = first_packing(sizes, sequence)
+    return sizes, local_search(start, sizes, sequence)[0]
 
 
 def pack(cut_pieces: DataFrame, sequence: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """Deal pieces to groups of about ``group`` and pack each: adds sequence_id and offset.
 
-    The underfull bins of all groups are dealt anew and packed together, round
-    after round, until they are one group or their groups get no fewer.
+    Rows are dealt by their place in a written table, so repeated rows spread
+    like any others.  The underfull bins of all groups are dealt anew and
+    searched together, round after round, until they are one group or their
+    groups get no fewer.  A table without rows gives none; a piece is never
+    longer than ``sequence``.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, underfull boolean"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long, underfull boolean"
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
 
     def fill_from(base: int):
         def fill(table: pa.Table) -> pa.Table:
-            table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+            table = table.sort_by([("shuffled", "ascending"), ("row", "ascending")])
             sizes, bins = _bins(table, sequence)
             first = base + table.column("g")[0].as_py() << 32
             where, offset, underfull = [0] * len(sizes), [0] * len(sizes), [False] * len(sizes)
@@ -197,20 +278,22 @@ def pack(cut_pieces: DataFrame, sequence: int = SEQUENCE, group: int = GROUP) ->
                     at += sizes[i]
                 for i in items:
                     underfull[i] = at < sequence
-            out = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+            out = table.select(kept)
             return out.append_column("sequence_id", pa.array(where, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).append_column("underfull", pa.array(underfull, pa.bool_()))
 
         return fill
 
-    rest, keys, done, base = cut(cut_pieces), ["doc_id", "piece", "ids_crc32"], [], 0
+    rest = cut(cut_pieces.select(*kept[:-1], F.monotonically_increasing_id().alias("row")))
+    done, base, unit = [], 0, "row"
     groups = max(1, -(-rest.count() // group))
     while True:
-        dealt = rest.withColumn("g", F.pmod(F.xxhash64(*keys, F.lit(base)), F.lit(groups)))
+        # pieces of one sequence stay together from the second round on
+        dealt = rest.withColumns({"g": F.pmod(F.xxhash64(unit, F.lit(base)), F.lit(groups)), "shuffled": F.xxhash64("row", F.lit(base))})
         packed = dealt.groupBy("g").applyInArrow(fill_from(base), schema)
         if groups == 1:
             break
         packed = cut(packed)
-        rest, base, keys = packed.filter("underfull").drop("offset", "underfull"), base + groups, ["sequence_id"]
+        rest, base, unit = packed.filter("underfull").drop("offset", "underfull"), base + groups, "sequence_id"
         fewer = max(1, -(-rest.count() // group))
         if fewer == groups:
             break
@@ -218,7 +301,7 @@ def pack(cut_pieces: DataFrame, sequence: int = SEQUENCE, group: int = GROUP) ->
         groups = fewer
     for d in done:
         packed = packed.unionByName(d)
-    return packed.drop("underfull")
+    return packed.drop("underfull", "row")
 
 
 def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
