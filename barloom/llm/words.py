@@ -31,12 +31,10 @@ def _tables():
     alnum[58:65] = 0
     alnum[91:97] = 0
     alnum[123:128] = 0
-    spaced = np.arange(256, dtype=np.uint8)
-    spaced[[32, 9, 10, 11, 12, 13]] = 0
-    spaced[0] = 1  # a NUL is a word byte there; it need only differ from a separator
-    folded = lower.copy()
-    folded[[32, 9, 10, 11, 12, 13]] = 0
-    folded[0] = 1
+    spaced, folded = np.arange(256, dtype=np.uint16), lower.astype(np.uint16)
+    for t in (spaced, folded):
+        t[[32, 9, 10, 11, 12, 13]] = 0
+        t[0] = 256  # a NUL is a word byte there, like no other
     return alnum, spaced, folded
 
 
@@ -120,6 +118,24 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(x)
 
 
+def suffix_array(words: np.ndarray) -> np.ndarray:
+    """The places of ``words`` in the order of the suffixes that begin there, by doubling the depth of those that are still tied."""
+    n = len(words)
+    order = np.argsort(words)
+    rank, at, key, step = np.empty(n, np.int64), np.arange(n), words[order], 1
+    while len(at):
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[order[at]] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        at = at[~(fresh & np.append(fresh[1:], True))]
+        tied = order[at]
+        after = np.where(tied + step < n, rank[np.minimum(tied + step, n - 1)] + 1, 0)
+        key = rank[tied] * (n + 1) + after
+        by_key = np.argsort(key)
+        order[at], key = tied[by_key], key[by_key]
+        step *= 2
+    return order
+
+
 def batches(it, rows: int = 20_000):
     """Lists of Python rows into Arrow-sized lists."""
     held = []
