@@ -2,11 +2,16 @@
 
 Every window of words belongs to the shard of its smallest word m-gram (its
 minimiser), so equal windows meet in one shard and a document's consecutive
-windows mostly go together as one segment.  Segments whose minimiser stands
-nowhere else can hold no repeated window and are left where they are.  For the
-others a task builds an FM-index over a run of segments (BWT in a wavelet
-matrix of packed bits) and streams the segments' windows through backward
-search; a window whose interval holds an earlier place is reported.
+windows mostly go together as one segment.  Segments are dealt by ranges of
+(minimiser, text), so a minimiser of any number of places spreads over as many
+tasks as it needs; those whose minimiser stands nowhere else can hold no
+repeated window and are left where they are.  For the others a task builds a
+compressed FM-index over a run of segments (the BWT in a wavelet matrix of
+packed bits, every ``SAMPLE``-th place of the suffix array) and streams the
+segments through backward search: for every place the longest text, up to a
+window, that ends there and stands elsewhere, too.  Where that matching
+statistic reaches a window, the places of its interval are located by LF steps;
+windows with an earlier place make up the reported intervals.
 """
 
 from __future__ import annotations
@@ -15,14 +20,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
-from .words import SPACED, Powers, grams, mix, text_chunks, word_bounds, word_hashes
+from .common import cut, text_of
+from .words import SPACED, Powers, grams, mix, suffix_array, text_chunks, word_bounds, word_hashes
 
-#: Words of a window and of a minimiser; words of an index; segments of one minimiser beyond which windows are dealt one by one.
-WINDOW, MINIMISER, INDEX_WORDS, HOT = 20, 8, 150_000, 20_000
+#: Words of a window and of a minimiser; words of an index and the places of which it keeps one; segments of one minimiser beyond which windows are dealt one by one.
+WINDOW, MINIMISER, INDEX_WORDS, SAMPLE, HOT = 20, 8, 150_000, 8, 20_000
 
 
 def segments_of(h: np.ndarray, first: np.ndarray, window: int = WINDOW, m: int = MINIMISER):
@@ -81,42 +86,59 @@ class WaveletMatrix:
         """How often each symbol stands before each place."""
         return self._follow(symbol, at) - self.begin[symbol]
 
+    def access(self, at: np.ndarray):
+        """(symbol at each place, how often it stands before)."""
+        symbol = np.zeros(len(at), np.int64)
+        for k, level in enumerate(reversed(range(self.levels))):
+            word, low = at >> 6, (at & 63).astype(np.uint64)
+            mine = self.words[k][word]
+            bit = ((mine >> low) & np.uint64(1)).astype(np.int64)
+            ones = self.blocks[k][word] + np.bitwise_count(mine & ((np.uint64(1) << low) - np.uint64(1)))
+            at = np.where(bit, self.zeros[k] + ones, at - ones)
+            symbol |= bit << level
+        return symbol, at - self.begin[symbol]
+
 
 class FMIndex:
-    """Backward search over a text of symbols; 0 separates its parts."""
-
-    def __init__(self, text: np.ndarray, n_symbols: int, depth: int):
-        n, rank, k = len(text), text.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
-        while k < depth:
-            after = np.zeros(n, np.int64)
-            after[: n - k] = rank[k:] + 1
-            key = rank * (int(rank.max()) + 2) + after
-            order = np.argsort(key, kind="stable")
-            fresh = np.concatenate([[0], (np.diff(key[order]) != 0).astype(np.int64)])
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(fresh)
-            k *= 2
-        self.places = order
-        # suffixes are sorted as deep as ``depth`` and more; what precedes a suffix is its symbol in the BWT
-        self.bwt = WaveletMatrix(text[order - 1], n_symbols)
-        self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))])
-
-    def interval(self, text: np.ndarray, starts: np.ndarray, length: int):
-        """Intervals of the patterns text[s : s + length]; (0, 0) as soon as a pattern is known to stand only once."""
-        low, high = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    """Backward search over a text of symbols; 0 separates its parts.  Of the suffix array only every ``SAMPLE``-th place of the text is kept."""
+
+    def __init__(self, text: np.ndarray, n_symbols: int):
+        text = np.append(text + 1, 0)  # an end like nothing else, so that LF steps hold in every row
+        order = suffix_array(text)
+        self.bwt = WaveletMatrix(text[order - 1], n_symbols + 1)
+        self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols + 1))])
+        kept = order % SAMPLE == 0
+        self.samples = (order[kept] // SAMPLE).astype(np.int32)
+        self.kept = WaveletMatrix(kept.astype(np.int64), 2)  # one level: a vector of bits with counts
+
+    def matching(self, text: np.ndarray, starts: np.ndarray, length: int):
+        """(low, high, matched) for the windows text[s : s + length]: the longest part before a window's end, up to all of it, that stands twice or more, and its interval."""
+        low, high, matched = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         live = np.arange(len(starts))
-        c = text[starts + length - 1]
+        c = text[starts + length - 1] + 1
         lo, hi = self.less[c], self.less[c + 1]
-        for j in range(length - 2, -1, -1):
+        for j in range(length - 1, -1, -1):
             several = hi - lo > 1
             live, lo, hi = live[several], lo[several], hi[several]
-            if not len(live):
-                return low, high
-            c = text[starts[live] + j]
+            low[live], high[live], matched[live] = lo, hi, length - j
+            if not len(live) or not j:
+                break
+            c = text[starts[live] + j - 1] + 1
             lo, hi = self.less[c] + self.bwt.rank(c, lo), self.less[c] + self.bwt.rank(c, hi)
-        low[live], high[live] = lo, hi
-        return low, high
+        return low, high, matched
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """The text's places of rows of the suffix array: back by LF steps to the next place that is kept."""
+        out = np.empty(len(rows), np.int64)
+        live, step = np.arange(len(rows)), 0
+        while len(live):
+            kept, before = self.kept.access(rows)
+            done = kept == 1
+            out[live[done]] = self.samples[before[done]].astype(np.int64) * SAMPLE + step
+            live, rows = live[~done], rows[~done]
+            symbol, rank = self.bwt.access(rows)
+            rows, step = self.less[symbol] + rank, step + 1
+        return out
 
 
 def repeated(parts: list[tuple[bytes, int, int]], window: int = WINDOW) -> list[np.ndarray]:
@@ -131,18 +153,17 @@ def repeated(parts: list[tuple[bytes, int, int]], window: int = WINDOW) -> list[
     docs, starts = np.array([d for _, d, _ in parts]), np.array([s for _, _, s in parts])
     place = (np.repeat(docs, sizes + 1) << 32) + np.repeat(starts, sizes + 1) + offset
     at = np.flatnonzero(offset <= np.repeat(sizes - window, sizes + 1))
-    index = FMIndex(text, len(ids) + 1, window)
-    low, high = index.interval(text, at, window)
+    index = FMIndex(text, len(ids) + 1)
+    low, high, matched = index.matching(text, at, window)
     flags = np.zeros(len(at), bool)
-    some = np.flatnonzero(high - low > 1)
+    some = np.flatnonzero(matched == window)
     if len(some):
-        lows, which = np.unique(low[some], return_inverse=True)
-        highs = np.zeros(len(lows), np.int64)
-        highs[which] = high[some]
         # windows of one length have intervals that are equal or apart
-        edges = np.column_stack([lows, highs]).ravel()
-        ordered = np.append(place[index.places], np.iinfo(np.int64).max)
-        earliest = np.minimum.reduceat(ordered, edges)[::2]
+        lows, one, which = np.unique(low[some], return_index=True, return_inverse=True)
+        counts = high[some[one]] - lows
+        begin = np.cumsum(counts) - counts
+        rows = np.arange(counts.sum()) - np.repeat(begin - lows, counts)
+        earliest = np.minimum.reduceat(place[index.locate(rows)], begin)
         flags[some] = place[at[some]] > earliest[which]
     counts = sizes - window + 1
     return np.split(flags, np.cumsum(counts)[:-1])
@@ -153,6 +174,59 @@ def _runs(flags: np.ndarray, start: int, window: int):
     return [(start + int(a), start + int(b) - 1 + window) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
+def _shared(batches):
+    """The segments whose minimiser may stand elsewhere, from segments in order of (m, _h, start, _id): of equal texts only the first, and no minimiser with one place.
+
+    What lies at the edge of a task's range may go on in the next and is always
+    passed on.  Rows of n = 0 have the places of minimisers that are at an edge
+    or have very many.
+    """
+    names = ["m", "_id", "_h", "start", "n", "places"]
+    last = (None,) * 3  # of the row before: minimiser, text, start
+    run, places, first_run, waiting = None, 0, True, None
+
+    def rows_of(cols, m, places):
+        out = [np.concatenate([c, np.asarray(x, c.dtype)]) for c, x in zip(cols, (m, np.zeros(len(m)), np.zeros(len(m)), np.zeros(len(m)), np.zeros(len(m))), strict=True)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(np.concatenate([np.zeros(len(cols[0]), np.int64), np.asarray(places, np.int64)]))], names=names)
+
+    for batch in batches:
+        m, ids, h, start, n, twice = (c.to_numpy() for c in batch.columns)
+        if not len(m):
+            continue
+        same = (m[1:] == m[:-1]) & (h[1:] == h[:-1]) & (start[1:] == start[:-1])
+        fresh = np.concatenate([[(m[0], h[0], start[0]) != last], ~same])
+        last = (m[-1], h[-1], start[-1])
+        cols = [x[fresh] for x in (m, ids, h, start, n)]
+        weight = twice[fresh].astype(np.int64) + 1
+        if waiting is not None:  # the one place of the last run so far
+            cols, weight = [np.concatenate(x) for x in zip(waiting, cols, strict=True)], np.append(1, weight)
+            places, waiting = 0, None
+        if not len(weight):
+            continue
+        heads = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+        total, values = np.add.reduceat(weight, heads), cols[0][heads]
+        edge = np.zeros(len(heads), bool)
+        told, tell = [], []
+        if run == values[0]:
+            total[0] += places
+            edge[0] = first_run
+        elif run is not None:
+            if first_run or places > HOT:
+                told, tell = [run], [places]
+        else:
+            edge[0] = True
+        ended = np.flatnonzero((edge | (total > HOT))[:-1])
+        told, tell = np.concatenate([told, values[ended]]), np.concatenate([tell, total[ended]])
+        first_run = (run is None or (first_run and run == values[0])) and len(values) == 1
+        run, places = values[-1], int(total[-1])
+        good = np.repeat((total > 1) | edge, np.diff(np.append(heads, len(weight))))
+        if places == 1 and not first_run:
+            waiting = [c[-1:] for c in cols]
+        yield rows_of([c[good] for c in cols], told.astype(np.int64), tell)
+    if run is not None:
+        yield rows_of(waiting if waiting is not None else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32)], np.array([run]), [places])
+
+
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
     """_id, _h, first, last (word numbers, end exclusive): runs of words of repeated windows.
 
@@ -170,10 +244,13 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["m", "_id", "_h", "start", "n", "twice"])
 
     rows = docs.select("_id", "_h", "_body").mapInArrow(cut_up, "m long, _id long, _h long, start int, n int, twice int")
-    # Dealt by minimiser once: equal texts fall together, and then the segments of a minimiser are counted.
-    dealt = rows.repartition("m").groupBy("m", "_h", "start", "n", "twice").agg(F.min("_id").alias("_id"))
-    shared = dealt.withColumn("places", F.sum(F.col("twice") + 1).over(Window.partitionBy("m"))).filter("places > 1")
-    by_doc = shared.groupBy("_id", "_h").agg(F.collect_list(F.struct("m", "start", "n", "places")).alias("segments"))
+    order = ["m", "_h", "start", "_id"]
+    shared = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shared, "m long, _id long, _h long, start int, n int, places long"))
+    # Minimisers of very many places, the same in all tasks.
+    hot = cut(shared.filter("n = 0").groupBy("m").agg(F.sum("places").alias("places")).filter(F.col("places") > HOT).select("m", F.lit(True).alias("hot")))
+    segments = shared.filter("n > 0").drop("places")
+    segments = segments.withColumn("hot", F.lit(False)) if hot.isEmpty() else segments.join(hot, "m", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    by_doc = segments.groupBy("_id", "_h").agg(F.collect_list(F.struct("m", "start", "n", "hot")).alias("segments"))
 
     def combined(found):
         """Of equal segments that are read together only the first goes on whole; the others are repeated, and only their places go on."""
@@ -193,7 +270,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER
             lists = batch.column(3)
             of = lists.offsets.to_numpy()
             flat = lists.values
-            m_, start_, n_, places_ = (flat.field(i).to_numpy() for i in range(4))
+            m_, start_, n_, hot_ = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, data, offsets in text_chunks(batch.column(2)):
                 t, starts, ends, first = word_bounds(data, offsets, SPACED)
@@ -202,7 +279,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER
                 for d in range(len(offsets) - 1):
                     for i in range(of[at + d], of[at + d + 1]):
                         a, n = int(first[d] + start_[i]), int(n_[i])
-                        if places_[i] <= HOT:
+                        if not hot_[i]:
                             out.append((int(m_[i]), b" ".join(body[starts[a] : ends[a + n + window - 2]].split()), ids[at + d], hashes[at + d], int(start_[i])))
                             continue
                         # a minimiser of very many places: its windows are dealt by all of their words
