@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from .common import cut, text_of
 
 
+#: Texts with something to redact up to which their spans (some 100 bytes each) are sent to all tasks; with more, texts are joined.
+MOST_SENT = 100_000
+
+
 @dataclass(frozen=True)
 class Kind:
     """A pattern; ``value`` is the group that holds the secret, of ``least`` characters or more."""
@@ -41,16 +45,28 @@ FURTHER = (
     Kind("bearer", r"Bearer\x20+([A-Za-z0-9+/_.=-]+)", 1, 20, False, "Bearer"),
     Kind("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, False, "eyJ"),
     Kind("prefixed", r"(?:ghp|gho|glpat|xoxb|xoxp|sk_live)[_-][A-Za-z0-9_-]+", 0, 24, False),
-    Kind("url", r"[a-z]{2,10}://[A-Za-z0-9._-]{1,64}:([^\s/@:'\"]{6,64})@", 1, 6, False, "://"),
+    Kind("url", r"[a-z]{2,10}://[A-Za-z0-9._-]+:([^\s/@:'\"]{6,})@", 1, 6, False, "://"),
 )
 
 
 @dataclass(frozen=True)
 class Rules:
-    """When a value counts as widely copied, and when it looks random enough to be live."""
+    """When a value counts as widely copied, and when it looks random enough to be live.
+
+    Of the characters of a value, or of ten if it has more, three in four must
+    differ; one of fewer than ``word`` characters must hold a sign other than
+    a letter, as it may be a word.
+    """
 
     copied_owners: int = 3
-    least_distinct: int = 8
+    distinct: float = 0.75
+    of: int = 10
+    word: int = 16
+
+    def random(self, value: Column) -> Column:
+        size = F.length(value)
+        varied = F.size(F.array_distinct(F.split(value, ""))) >= self.distinct * F.least(size, F.lit(self.of))
+        return varied & ((size >= self.word) | value.rlike("[^A-Za-z]"))
 
 
 def _found(text: Column, kind: Kind, order: int) -> Column:
@@ -102,7 +118,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: s
     kinds = BASE + FURTHER
     hashed = F.transform(
         candidates(docs, text, kinds),
-        lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("value"), F.size(F.array_distinct(F.split(s["value"], ""))).alias("variety")),
+        lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("value"), rules.random(s["value"]).alias("random")),
     )
     who = F.xxhash64(F.coalesce(docs[owner].cast("string"), F.lit("")))
     where = F.xxhash64(*[F.coalesce(docs[c].cast("string"), F.lit("")) for c in repository])
@@ -114,12 +130,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: s
     by_repo = hits.groupBy(F.col("s.value").alias("value"), "_owner", "_repo").agg(F.count(F.lit(1)).alias("n"))
     by_owner = by_repo.groupBy("value", "_owner").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("repos"))
     by_value = by_owner.groupBy("value").agg(F.sum("n").alias("places"), F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"))
-    # A value may stand in a third of all rows: its rows go to many tasks, the one row of figures to each of them.
-    salts = 16
-    figures = by_value.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keyed = hits.select("_id", "_text", "s", F.col("s.value").alias("value"), F.pmod(F.xxhash64("_id", "_text", "s.start"), F.lit(salts)).cast("int").alias("salt")).distinct()
-    judged = keyed.join(figures, ["value", "salt"])
-    live = (F.col("owners") < rules.copied_owners) & (F.col("s.variety") >= rules.least_distinct)
+    # A value may stand in a third of all rows.  Both sides of the join are written tables, so Spark splits such a key.
+    keyed = cut(hits.select("_id", "_text", "s", F.col("s.value").alias("value")).distinct())
+    judged = keyed.join(cut(by_value), "value")
+    live = (F.col("owners") < rules.copied_owners) & F.col("s.random")
     per_row = judged.groupBy("_id", "_text").agg(
         F.array_sort(F.collect_list(F.when(live, F.struct("s.start", "s.ord", "s.kind", "s.end")))).alias("live"),
         F.count(F.when(F.col("owners") >= rules.copied_owners, 1)).alias("n_copied"),
@@ -151,7 +165,10 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """``docs`` with every owner-specific, live-looking span replaced by ``mark``; widely copied examples and all other text stay.
 
-    Overlapping spans become one mark.  Nulls stay null; column order is kept.
+    Overlapping spans become one mark.  Null texts stay null, null ids are
+    matched to null ids; rows with equal ids and texts are treated alike and
+    all stay, other rows never share spans.  Column order is kept; an empty
+    table stays empty.
     """
     inner = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.toDF(*inner.values())
@@ -159,7 +176,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
     named = {k: inner.get(kw.pop(k, d)) for k, d in (("owner", "source"),)}
     repository = tuple(inner[c] for c in kw.pop("repository", ("source", "lang")))
     found = judged(renamed, inner[id_col], text=text, repository=repository, **named, **kw).filter(F.size("live") > 0)
-    found = found.select(F.col(inner[id_col]).alias("_lid"), F.col("_text"), F.col("live")).dropDuplicates(["_lid", "_text"])
+    found = cut(found.select(F.col(inner[id_col]).alias("_lid"), F.col("_text"), F.col("live")).dropDuplicates(["_lid", "_text"]))
+    if found.count() <= MOST_SENT:
+        found = F.broadcast(found)  # texts stay where they are
     keyed = renamed.withColumn("_h", F.xxhash64(text_of(renamed, text)))
     joined = keyed.join(found, keyed[inner[id_col]].eqNullSafe(found["_lid"]) & (keyed["_h"] == found["_text"]), "left")
     body = F.col(text)
@@ -193,7 +212,7 @@ def oracle() -> str:
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS txt, coalesce(source, '') AS who, coalesce(source, '') || '|' || coalesce(lang, '') AS repo FROM documents),
       c AS ({' UNION ALL '.join(parts)}),
       v AS (SELECT val, count(DISTINCT who) AS owners, count(DISTINCT repo) AS repos FROM c GROUP BY val),
-      j AS (SELECT c.*, owners, repos, owners < {r.copied_owners} AND len(list_distinct(string_split(val, ''))) >= {r.least_distinct} AS live FROM c JOIN v USING (val)),
+      j AS (SELECT c.*, owners, repos, owners < {r.copied_owners} AND len(list_distinct(string_split(val, ''))) >= {r.distinct} * least(length(val), {r.of}) AND (length(val) >= {r.word} OR regexp_matches(val, '[^A-Za-z]')) AS live FROM c JOIN v USING (val)),
       g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
         coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (ord < {nb}), '') AS base,
         coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (ord < {nb} OR live), '') AS spans,
