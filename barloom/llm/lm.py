@@ -1,15 +1,20 @@
 """Language-model scoring by a log-bilinear model trained with noise-contrastive estimation.
 
-Counts of all tokens of all training documents are gathered by Spark.  Every
-token that stands ``LEAST`` times or more is a word of the model with vectors
-of its own, as target and as context; one more word stands for all rarer
-tokens.  Words in order of their counts form about sqrt(words) classes of
-equal size, and the output is factored: ``p(class | context) p(word | class,
-context)``, both log-bilinear in ``r1[h1] + r2[h2]`` of two context words.
-Both sums are whole, by batched matrix products, so scores are exact,
-normalised log-probabilities.  Every task makes one NCE pass over all its
-training documents in numpy, and the rows of the tasks' parameters are
-averaged by the steps that each row took.
+Counts of all tokens of all training documents are gathered by Spark.  A token
+that stands ``LEAST`` times or more, and makes up one in ``SHARE`` of all tokens
+or more, is a word of the model with vectors of its own, as target and as
+context.  All rarer tokens share ``RARE`` further words by their hashes, so they
+have vectors, too, and a word's probability goes to its tokens by their counts.
+Words in order of their counts form about sqrt(words) classes of equal size,
+and the output is factored: ``p(class | context) p(word | class, context)``,
+both log-bilinear in ``r1[h1] + r2[h2]`` of two context words.  Both sums are
+whole, by batched matrix products, so scores are exact, normalised
+log-probabilities.
+
+Training documents, as words, are dealt to shards of about ``SHARD`` tokens by
+hashes, whatever the layout of their files.  Each shard makes one NCE pass in
+numpy; shards go in ``ROUNDS``, and the parameters, averaged by the steps that
+each row took, are the start of the next round.
 
 Tokens are known by 64-bit hashes; two of a corpus' tokens meet in one hash
 only beyond some 10**9 distinct ones.
@@ -28,8 +33,10 @@ from .words import FOLDED, Powers, mix, text_chunks, word_bounds, word_hashes
 
 #: The model's dimension, noise samples of a batch's classes and of a token's word, tokens of a batch, AdaGrad's rate and first sum.
 DIM, NOISE, WORD_NOISE, BATCH, RATE, FIRST_SUM = 16, 32, 5, 2048, 0.05, 1e-3
-#: Occurrences in training from which on a token is a word of the model.
-LEAST = 20
+#: Occurrences in training, and one part of all tokens in how many, from which on a token is a word of its own; the words that all others share (as bits).
+LEAST, SHARE, RARE_BITS = 20, 500_000, 14
+#: Tokens of a training shard, and the rounds of shards.
+SHARD, ROUNDS = 2_000_000, 2
 #: Rows of parameters that travel as one value.
 BLOCK = 512
 #: Tokens whose counts every task holds; the counts of all others are joined.
@@ -40,7 +47,7 @@ FOLDS, HELD = 7, 2
 COUNT_BYTES = 24 << 20
 
 END = np.uint64(0x5EED0FE0D5EED0E1)  # the end token's hash
-OTHER, END_WORD = 0, 1
+END_WORD = 0
 
 
 def _tokens(column, powers, limit=None):
@@ -150,6 +157,14 @@ def layout(log_share: np.ndarray):
 _STARTS = np.random.default_rng(11).normal(0, 0.1, (2, 4096, DIM)).astype(np.float32)
 
 
+TABLES = ("r1", "r2", "q", "classes")
+
+
+def empty_tables(n: int, n_classes: int) -> list[np.ndarray]:
+    """What is learnt beyond the starts, in whole blocks of rows: nothing yet."""
+    return [np.zeros((-(-rows // BLOCK) * BLOCK, DIM + (k > 1)), np.float16) for k, rows in enumerate((n, n, n, n_classes))]
+
+
 class Trainer:
     """One NCE pass: batches of tokens against noise, AdaGrad steps.
 
@@ -158,10 +173,11 @@ class Trainer:
     never touches take no memory.
     """
 
-    def __init__(self, log_share: np.ndarray, seed: int, noise: int = NOISE, rate: float = RATE):
+    def __init__(self, log_share: np.ndarray, seed: int, start: list | None = None, noise: int = NOISE, rate: float = RATE):
         n, dim = len(log_share), DIM
         self.width, by_class, self.bias = layout(log_share)
-        self.p = {"r1": np.zeros((n, dim), np.float32), "r2": np.zeros((n, dim), np.float32), "q": np.zeros((n, dim + 1), np.float32), "classes": np.zeros((len(by_class), dim + 1), np.float32)}
+        start = start or empty_tables(n, len(by_class))
+        self.p = {k: v[:rows].astype(np.float32) for k, v, rows in zip(TABLES, start, (n, n, n, len(by_class)), strict=True)}
         self.sums = {k: np.zeros(v.shape, np.float32) for k, v in self.p.items()}
         self.steps = {k: np.zeros(len(v), np.float32) for k, v in self.p.items()}
         self.first = first_parameters(by_class, dim)["q"]
@@ -216,44 +232,88 @@ class Trainer:
 
     def learnt(self):
         """(table, block, rows within it, steps, values) of all rows that took steps."""
-        for part, name in enumerate(("r1", "r2", "q", "classes")):
+        for part, name in enumerate(TABLES):
             rows = np.flatnonzero(self.steps[name])
             cuts = np.flatnonzero(np.diff(rows // BLOCK)) + 1
             for at in np.split(rows, cuts) if len(rows) else ():
                 yield part, int(at[0] // BLOCK), (at % BLOCK).astype(np.int16).tobytes(), self.steps[name][at].tobytes(), self.p[name][at].astype(np.float16).tobytes()
 
 
-def train(bodies: DataFrame, sent) -> dict:
-    """Parameters averaged over the tasks of one pass over all of ``bodies``, row by row, weighted by steps.  ``sent``: broadcast vocabulary."""
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("rows", pa.binary()), ("steps", pa.binary()), ("data", pa.binary())])
+def as_words(docs: DataFrame, sent, id_col: str, text: str, shards: int) -> DataFrame:
+    """shard, deal, words: the words of the model of each document, dealt by a hash of its id and text."""
 
-    def learn(batches):
+    def look_up(batches):
         v, powers = sent.value, Powers()
         look = Lookup(v["keys"])
-        trainer, held = None, []
-
-        def drain(least):
-            nonlocal held
-            w, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
-            at = 0
-            while len(w) - at >= least and at < len(w):
-                trainer.learn(w[at : at + BATCH], one[at : at + BATCH], two[at : at + BATCH])
-                at += BATCH
-            held = [(w[at:], one[at:], two[at:])] if at < len(w) else []
-
         for batch in batches:
-            for h, bounds in _tokens(batch.column(0), powers):
-                trainer = trainer or Trainer(v["log_share"], int(h[0] % np.uint64(2**31)))
-                words = v["words"][look(h)]
+            at = 0
+            for h, bounds in _tokens(batch.column(1), powers):
+                words = words_of(v, look(h), h).astype("<i4")
                 words[h == END] = END_WORD
-                held.append((words, *contexts(words, bounds)))
-                drain(BATCH)
-        if trainer is not None:
-            if held:
-                drain(1)
-            out = list(trainer.learnt())
-            for at in range(0, len(out), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 256], strict=True), schema.types, strict=True)], schema=schema)
+                n = len(bounds) - 1
+                held = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(words.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), held], names=["deal", "words"])
+                at += n
+
+    deal = F.xxhash64(docs[id_col].cast("string"), text_of(docs, text))
+    rows = docs.select(deal.alias("deal"), text_of(docs, text).alias("body")).mapInArrow(look_up, "deal long, words binary")
+    return rows.withColumn("shard", F.pmod("deal", F.lit(shards)))
+
+
+def words_of(v: dict, places: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The model's words of tokens, from their places in the list of hot tokens (-1: not among them) and their hashes."""
+    return np.where(places >= 0, v["words"][places], v["rare"][(h >> np.uint64(64 - RARE_BITS)).astype(np.int64)])
+
+
+def train(words: DataFrame, sent, rounds: int = ROUNDS) -> dict:
+    """Parameters after ``rounds`` of shards of ``words`` (shard, deal, words).  ``sent``: broadcast vocabulary."""
+    spark = words.sparkSession
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("rows", pa.binary()), ("steps", pa.binary()), ("data", pa.binary())])
+
+    def learn_from(start):
+        def learn(batches):
+            log_share = sent.value["log_share"]
+            trainer, shard, held = None, None, []
+
+            def drain(least):
+                nonlocal held
+                w, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
+                at = 0
+                while len(w) - at >= least and at < len(w):
+                    trainer.learn(w[at : at + BATCH], one[at : at + BATCH], two[at : at + BATCH])
+                    at += BATCH
+                held = [(w[at:], one[at:], two[at:])] if at < len(w) else []
+
+            def learnt():
+                if held:
+                    drain(1)
+                out = list(trainer.learnt())
+                for at in range(0, len(out), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 256], strict=True), schema.types, strict=True)], schema=schema)
+
+            for batch in batches:
+                of = batch.column(0).to_numpy()
+                cuts = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(of))
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if of[a] != shard:
+                        if trainer is not None:
+                            yield from learnt()
+                        shard, held = of[a], []
+                        trainer = Trainer(log_share, int(shard) + 1, start.value)
+                    part = batch.column(1).slice(a, b - a)
+                    offsets = np.frombuffer(part.buffers()[1], np.int32, len(part) + 1, part.offset * 4).astype(np.int64)
+                    # a few MB of words at a time, whole documents
+                    at = 0
+                    while at < len(part):
+                        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (4 << 20), "right")) - 1)
+                        w = np.frombuffer(part.buffers()[2], np.uint8)[offsets[at] : offsets[to]].view("<i4")
+                        held.append((w, *contexts(w, (offsets[at : to + 1] - offsets[at]) // 4)))
+                        drain(BATCH)
+                        at = to
+            if trainer is not None:
+                yield from learnt()
+
+        return learn
 
     def average(table: pa.Table) -> pa.Table:
         part, block = table.column("part")[0].as_py(), table.column("block")[0].as_py()
@@ -263,21 +323,26 @@ def train(bodies: DataFrame, sent) -> dict:
             rows, n = np.frombuffer(rows.as_py(), np.int16), np.frombuffer(n.as_py(), np.float32)
             total[rows] += np.frombuffer(data.as_py(), np.float16).reshape(-1, width) * n[:, None].astype(np.float64)
             steps[rows] += n
-        mean = (total / np.maximum(steps, 1)[:, None]).astype(np.float16)
-        return pa.table({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int64()), "data": pa.array([mean.tobytes()], pa.binary())})
+        some = np.flatnonzero(steps)
+        mean = (total[some] / steps[some][:, None]).astype(np.float16)
+        return pa.table({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int64()), "rows": pa.array([some.astype(np.int16).tobytes()], pa.binary()), "data": pa.array([mean.tobytes()], pa.binary())})
 
-    parts = bodies.mapInArrow(learn, "part int, block long, rows binary, steps binary, data binary")
-    found = parts.groupBy("part", "block").applyInArrow(average, "part int, block long, data binary").toArrow()  # the model: some 100 bytes a word
     log_share = sent.value["log_share"]
     width, by_class, bias = layout(log_share)
     n = len(log_share)
-    size = -(-n // BLOCK) * BLOCK
-    tables = [np.zeros((size if k < 3 else -(-len(by_class) // BLOCK) * BLOCK, DIM + (k > 1)), np.float16) for k in range(4)]
-    for part, block, data in zip(*(found.column(c) for c in ("part", "block", "data")), strict=True):
-        k, at = part.as_py(), block.as_py() * BLOCK
-        tables[k][at : at + BLOCK] = np.frombuffer(data.as_py(), np.float16).reshape(BLOCK, -1)
+    tables = empty_tables(n, len(by_class))
+    for r in range(rounds):
+        start = spark.sparkContext.broadcast(tables)
+        mine = words.filter(F.pmod("shard", F.lit(rounds)) == r).repartition("shard").sortWithinPartitions("shard", "deal", "words")
+        parts = mine.select("shard", "words").mapInArrow(learn_from(start), "part int, block long, rows binary, steps binary, data binary")
+        found = parts.groupBy("part", "block").applyInArrow(average, "part int, block long, rows binary, data binary").toArrow()  # the model: some 100 bytes a word
+        tables = [t.copy() for t in tables]
+        for part, block, rows, data in zip(*(found.column(c) for c in ("part", "block", "rows", "data")), strict=True):
+            k, at = part.as_py(), block.as_py() * BLOCK
+            tables[k][at + np.frombuffer(rows.as_py(), np.int16)] = np.frombuffer(data.as_py(), np.float16).reshape(-1, DIM + (k > 1))
+        start.destroy()
     for k in (0, 1):
-        for at in range(0, size, 4096):  # starts repeat
+        for at in range(0, len(tables[k]), 4096):  # starts repeat
             tables[k][at : at + 4096] += _STARTS[k][: len(tables[k][at : at + 4096])].astype(np.float16)
     classes = tables[3][: len(by_class)] + first_parameters(by_class)["q"]
     return {"r1": tables[0][:n], "r2": tables[1][:n], "q": tables[2][:n], "bias": bias, "classes": classes.astype(np.float32), "width": width}
@@ -328,38 +393,50 @@ def log_tables(p: dict):
     return t1, t2, np.log(z) + m1[:, None] + m2
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST, share: int = SHARE, hot: int = HOT, shard: int = SHARD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
-    Null texts are empty and hold the end token alone.  Without training
-    documents every token is unseen.  Repeated rows are scored each.
+    Null texts are empty and hold the end token alone.  A null id counts as the
+    empty text where ids are hashed.  Without training documents every token is
+    unseen.  Repeated rows are scored each.
     """
     spark = docs.sparkSession
-    training = docs.filter(crc_mod(F.col(id_col), FOLDS) != HELD).select(text_of(docs, text).alias("body"))
-    counts = cut(token_counts(training))
+    training = docs.filter(crc_mod(F.col(id_col), FOLDS) != HELD)
+    counts = cut(token_counts(training.select(text_of(training, text).alias("body"))))
     n, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = _hottest(counts, hot, least).toArrow()  # pairs of numbers: ``hot`` of them, or all words of the model
+    own = max(least, -(-n // share))  # at most ``share`` tokens stand so often
+    top = _hottest(counts, hot, own).toArrow()  # pairs of numbers: ``hot`` of them, or all words with vectors of their own
     tokens, c = top.column("token").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.int64)
-    by_count = np.lexsort((tokens, -c))
-    tokens, c = tokens[by_count], c[by_count]
-    words = np.zeros(len(tokens), np.int32)
-    chosen = np.flatnonzero((tokens != END) & (c >= least))
-    words[chosen] = np.arange(2, len(chosen) + 2)
+    # what the rarer tokens of each shared word have together: a row for each of these words
+    shared = F.shiftrightunsigned("token", 64 - RARE_BITS)
+    rarer = counts.filter((F.col("c") < own) & (F.col("token") != int(END.view(np.int64)))).groupBy(shared.alias("at")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toArrow()
+    times, kinds = np.zeros(1 << RARE_BITS, np.int64), np.zeros(1 << RARE_BITS, np.int64)
+    times[rarer.column("at").to_numpy()], kinds[rarer.column("at").to_numpy()] = rarer.column("c").to_numpy(), rarer.column("v").to_numpy()
+    chosen = np.flatnonzero((tokens != END) & (c >= own))
+    ends = c[tokens == END].sum() if (tokens == END).any() else sum(r["c"] for r in counts.filter(F.col("token") == int(END.view(np.int64))).collect())
+    # the end first, then all words by their counts
+    by_word = np.concatenate([[ends], c[chosen], times])
+    place = np.empty(len(by_word), np.int32)
+    key = np.concatenate([[np.uint64(0)], tokens[chosen], np.arange(len(times), dtype=np.uint64)])
+    place[np.concatenate([[0], 1 + np.lexsort((key[1:], -by_word[1:]))])] = np.arange(len(by_word))
+    ordered = np.empty(len(by_word))
+    ordered[place] = by_word
+    rare = place[1 + len(chosen) :]
+    words = rare[(tokens >> np.uint64(64 - RARE_BITS)).astype(np.int64)]
+    words[chosen] = place[1 : 1 + len(chosen)]
     words[tokens == END] = END_WORD
-    by_word = np.zeros(len(chosen) + 2)
-    by_word[words[words > 0]] = c[words > 0]
-    ends = counts.filter(F.col("token") == int(END.view(np.int64))).collect()
-    by_word[END_WORD] = ends[0]["c"] if ends else 0
-    rest, rest_distinct = n - int(by_word.sum()), distinct - len(chosen) - len(ends)
-    by_word[OTHER] = rest
-    log_share = np.log((by_word + 1) / (by_word + 1).sum())
+    # of a shared word's probability each of its tokens has its part, and one part is left for tokens never seen
+    parts = np.zeros(len(by_word))
+    parts[rare] = np.log10(times + kinds + 1.0)
+    log_share = np.log((ordered + 1) / (ordered + 1).sum())
     order = np.argsort(tokens)
     # a last entry stands for tokens that aren't found
-    vocabulary = {"keys": tokens[order], "words": np.append(words[order], np.int32(OTHER)), "log_share": log_share}
+    vocabulary = {"keys": tokens[order], "words": np.append(words[order], np.int32(0)), "rare": rare, "log_share": log_share}
     sent = spark.sparkContext.broadcast(vocabulary)
-    model = spark.sparkContext.broadcast({**train(training, sent), "logs": np.append(np.log10(c[order] + 1.0), 0.0)})
+    learned = train(cut(as_words(training, sent, id_col, text, max(1, -(-n // shard)))), sent)
+    model = spark.sparkContext.broadcast({**learned, "logs": np.append(np.log10(c[order] + 1.0), 0.0), "parts": parts})
 
-    lower_base, lower_rest = float(np.log10(n + distinct + 1)), float(np.log10(rest + rest_distinct + 1))
+    lower_base = float(np.log10(n + distinct + 1))
 
     def rate(batches):
         v, p, powers = sent.value, model.value, Powers()
@@ -372,16 +449,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: in
             for h, bounds in _tokens(batch.column(0), powers):
                 places = look(h)
                 known = places >= 0
-                w = v["words"][places]
+                w = words_of(v, places, h)
                 w[h == END] = END_WORD
                 one, two = contexts(w, bounds)
                 logp = log_probabilities(p, w, one, two) * np.float32(1 / np.log(10))
                 logs = np.where(known, p["logs"][places], 0.0)
-                other = w == OTHER
                 total = lambda x, bounds=bounds: np.add.reduceat(x, bounds[:-1])  # noqa: E731  no text is without tokens
                 size = np.diff(bounds)
                 base = total(logs) - size * lower_base
-                mine = total(logp.astype(np.float64) + np.where(other, logs - lower_rest, 0.0))
+                mine = total(logp.astype(np.float64) + np.where(p["parts"][w] > 0, logs - p["parts"][w], 0.0))
                 count = len(size)
                 keys = row + np.arange(count)
                 row += count
