@@ -46,14 +46,15 @@ def avg_volume(period: int = 20) -> Column:
     """Truncated mean of the volumes above zero of the last ``period`` bars; null if there are none."""
     traded = F.when(F.col("volume") > 0, F.col("volume").cast("long"))
     total, count = F.sum(traded).over(last_rows(period)), F.count(traded).over(last_rows(period))
-    return F.when(bar_number() >= period, F.try_divide(total - F.pmod(total, F.when(count > 0, count)), count).cast("long"))
+    return F.when(bar_number() >= period, F.call_function("div", total, F.when(count > 0, count)))
 
 
 def atr(period: int = 14) -> Column:
     """Mean true range against the adjusted close before; bars with a null among their inputs add nothing, the divisor stays."""
-    before = F.lag("adj_close").over(by_symbol())
-    whole = F.col("high_price").isNotNull() & F.col("low_price").isNotNull() & before.isNotNull()
-    reach = F.when(whole, F.greatest(F.col("high_price") - F.col("low_price"), F.abs(F.col("high_price") - before), F.abs(F.col("low_price") - before)))
+    before = F.lag(clean(F.col("adj_close"))).over(by_symbol())
+    high, low = clean(F.col("high_price")), clean(F.col("low_price"))
+    whole = high.isNotNull() & low.isNotNull() & before.isNotNull()
+    reach = F.when(whole, F.greatest(high - low, F.abs(high - before), F.abs(low - before)))
     return F.when(bar_number() >= period + 1, F.coalesce(F.sum(reach).over(last_rows(period)), F.lit(0.0)) / period)
 
 
@@ -68,4 +69,4 @@ def with_indicators(bars: DataFrame, rsi_period: int = 14, short: int = 20, medi
         "n": bar_number(), "rsi": rsi(rsi_period), "sma20": sma(short), "sma50": sma(medium), "sma200": sma(long),
         "avg_volume20": avg_volume(20), "atr14": atr(rsi_period), "recent_high": recent_high(lookback),
     })
-    return wide.withColumns({f"above_{c}": F.col("adj_close") > F.col(c) for c in ("sma20", "sma50", "sma200")})
+    return wide.withColumns({f"above_{c}": clean(F.col("adj_close")) > F.col(c) for c in ("sma20", "sma50", "sma200")})

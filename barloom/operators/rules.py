@@ -2,19 +2,25 @@
 
 A rule names itself and gives three Columns (match, confidence, metadata), so
 any number of rules is evaluated in one pass.  A rule that Columns can't
-express may use ``groupBy("symbol").applyInPandas`` and join its result.
+express is a ``BarsRule``: a function of one symbol's bars, which Spark calls
+for each symbol (``evaluate_bars``).
 """
 
 from __future__ import annotations
 
+import copy
 import dataclasses
 import json
 from dataclasses import dataclass
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.indicators import clean
+from ..schemas import SIGNALS
+
 
 class Rule(Protocol):
     name: str
@@ -29,6 +35,17 @@ class Rule(Protocol):
     def metadata(self) -> Column: ...
 
 
+class BarsRule(Protocol):
+    """A rule in plain Python: ``signals`` takes a symbol's bars with indicators, by date, and returns those that match, with ``confidence`` and ``metadata``."""
+
+    name: str
+    version: str
+
+    def snapshot(self) -> str: ...
+
+    def signals(self, bars: pd.DataFrame) -> pd.DataFrame: ...
+
+
 @dataclass(frozen=True)
 class BreakoutParameters:
     """The thirteen parameters; each must be given or keep its default."""
@@ -58,8 +75,14 @@ class BreakoutRule:
 
     name, version = "Breakout Confirmed", "1.1"
 
-    def __init__(self, parameters: BreakoutParameters = BreakoutParameters()):
-        self.p = parameters
+    def __init__(self, parameters: BreakoutParameters = BreakoutParameters(), high: str = "recent_high"):
+        self.p, self.high = parameters, high
+
+    def reading(self, high: str) -> BreakoutRule:
+        """The rule with its recent high in another column."""
+        other = copy.copy(self)
+        other.high = high
+        return other
 
     def snapshot(self) -> str:
         camel = lambda s: "".join(w.capitalize() if i else w for i, w in enumerate(s.split("_")))
@@ -67,7 +90,7 @@ class BreakoutRule:
 
     def conditions(self) -> dict[str, Column]:
         """The conditions apart, each null where an input is missing."""
-        close, high = F.col("adj_close"), F.col("recent_high")
+        close, high = clean(F.col("adj_close")), F.col(self.high)
         return {
             "enough_bars": F.col("n") >= self.p.lookback_window,
             "breaks_out": close > high,
@@ -94,10 +117,23 @@ class BreakoutRule:
         return F.to_json(F.struct(F.col("adj_close").alias("close"), "volume", "rsi", "sma20", F.col("avg_volume20").alias("avgVolume20")), {"ignoreNullFields": "false"})
 
 
-def evaluate(frame: DataFrame, rules: list, scanner_version: str = "1.0") -> DataFrame:
-    """One row per bar and matching rule of a frame with indicators, in the shape of the signals table."""
+def evaluate(frame: DataFrame, rules: list, scanner_version: str = "1.0", keep: tuple = ()) -> DataFrame:
+    """One row per bar and matching rule of a frame with indicators, in the shape of the signals table, and ``keep`` columns of the bar."""
     one = lambda r: F.struct(
         F.lit(r.name).alias("rule_name"), r.matches().alias("matched"), r.confidence().alias("confidence"), F.lit(r.version).alias("rule_version"), F.lit(r.snapshot()).alias("parameter_snapshot"), r.metadata().alias("metadata")
     )
-    hits = frame.select("symbol", "date", F.explode(F.array(*[one(r) for r in rules])).alias("r")).filter("r.matched")
-    return hits.select("symbol", F.col("date").alias("scan_date"), "r.rule_name", "r.confidence", F.lit(scanner_version).alias("scanner_version"), "r.rule_version", "r.parameter_snapshot", "r.metadata")
+    hits = frame.select("symbol", "date", *keep, F.explode(F.array(*[one(r) for r in rules])).alias("r")).filter("r.matched")
+    return hits.select("symbol", F.col("date").alias("scan_date"), "r.rule_name", "r.confidence", F.lit(scanner_version).alias("scanner_version"), "r.rule_version", "r.parameter_snapshot", "r.metadata", *keep)
+
+
+def evaluate_bars(frame: DataFrame, rule: BarsRule, scanner_version: str = "1.0") -> DataFrame:
+    """Signals of a rule in plain Python; one symbol's bars, some thousands, are in memory at a time."""
+
+    def one_symbol(bars: pd.DataFrame) -> pd.DataFrame:
+        found = rule.signals(bars.sort_values("date"))
+        return pd.DataFrame({
+            "symbol": found["symbol"], "scan_date": found["date"], "rule_name": rule.name, "confidence": found["confidence"].astype(float),
+            "scanner_version": scanner_version, "rule_version": rule.version, "parameter_snapshot": rule.snapshot(), "metadata": found["metadata"],
+        })
+
+    return frame.groupBy("symbol").applyInPandas(one_symbol, SIGNALS)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.indicators import with_indicators
-from .rules import BreakoutRule, evaluate
+from ..functions import indicators as ind
+from .rules import BreakoutParameters, BreakoutRule, evaluate
 
 #: Bars of the average volume, which no parameter sets.
 AVG_VOLUME_BARS = 20
@@ -28,25 +28,43 @@ def recent_history(bars: DataFrame, as_of: str, depth: int) -> DataFrame:
     return seen.withColumn("_age", F.row_number().over(order)).filter(F.col("_age") <= depth).drop("_age")
 
 
-def last_bars(bars: DataFrame, as_of: str, p) -> DataFrame:
-    """Each symbol's last bar up to a date with its indicators.  They need only recent bars; ``n`` counts the whole history up to the date."""
-    depth = max(p.lookback_window, p.rsi_period + 1, p.sma_short_period, p.sma_medium_period, p.sma_long_period, AVG_VOLUME_BARS)
-    frame = with_indicators(recent_history(bars, as_of, depth), p.rsi_period, p.sma_short_period, p.sma_medium_period, p.sma_long_period, p.lookback_window)
+def _parameters(rules: list) -> list[BreakoutParameters]:
+    """The parameters of rules, the default ones of a rule without any.  The periods of RSI and means are shared, so rules must agree on them."""
+    found = [getattr(r, "p", BreakoutParameters()) for r in rules]
+    if len({(p.rsi_period, p.sma_short_period, p.sma_medium_period, p.sma_long_period) for p in found}) > 1:
+        raise ValueError("rules of one scan must have the same RSI and SMA periods")
+    return found
+
+
+def with_rules(bars: DataFrame, rules: list) -> tuple[DataFrame, list]:
+    """(``bars`` with the indicators of all rules, rules that read them): each has the recent high of its own lookback."""
+    found = _parameters(rules)
+    p = found[0]
+    frame = ind.with_indicators(bars, p.rsi_period, p.sma_short_period, p.sma_medium_period, p.sma_long_period, p.lookback_window)
+    others = sorted({q.lookback_window for q in found} - {p.lookback_window})
+    frame = frame.withColumns({f"recent_high_{k}": ind.recent_high(k) for k in others}) if others else frame
+    return frame, [r if q.lookback_window == p.lookback_window else r.reading(f"recent_high_{q.lookback_window}") for r, q in zip(rules, found, strict=True)]
+
+
+def last_bars(bars: DataFrame, as_of: str, rules: list) -> tuple[DataFrame, list]:
+    """(each symbol's last bar up to a date with its indicators, rules that read them).  They need only recent bars; ``n`` counts the whole history up to the date."""
+    depth = max(max(p.lookback_window, p.rsi_period + 1, p.sma_short_period, p.sma_medium_period, p.sma_long_period, AVG_VOLUME_BARS) for p in _parameters(rules))
+    frame, rules = with_rules(recent_history(bars, as_of, depth), rules)
     last = frame.withColumn("_last", F.max("date").over(Window.partitionBy("symbol"))).filter("date = _last").drop("_last")
     counted = bars.filter(F.col("date") <= F.lit(as_of).cast("date")).groupBy(F.col("symbol").alias("_symbol")).agg(F.count(F.lit(1)).alias("_n"))
-    return last.join(counted, last["symbol"].eqNullSafe(counted["_symbol"])).withColumn("n", F.col("_n")).drop("_symbol", "_n")
+    return last.join(counted, last["symbol"].eqNullSafe(counted["_symbol"])).withColumn("n", F.col("_n")).drop("_symbol", "_n"), rules
 
 
 def evaluate_as_of(bars: DataFrame, as_of: str, rule: BreakoutRule | None = None) -> DataFrame:
     """One row per symbol at its last bar up to a date, however old: indicators, each condition, match and confidence."""
     rule = rule or BreakoutRule()
-    return last_bars(bars, as_of, rule.p).withColumns({**rule.conditions(), "matched": rule.matches(), "confidence": rule.confidence()})
+    return last_bars(bars, as_of, [rule])[0].withColumns({**rule.conditions(), "matched": rule.matches(), "confidence": rule.confidence()})
 
 
 def scan(bars: DataFrame, universe: DataFrame, as_of: str, rules: list | None = None) -> DataFrame:
     """Signals of a scan at ``as_of``: the date of the signal is the scan's, also where the last bar is older."""
     rules = rules or [BreakoutRule()]
-    return evaluate(last_bars(bars_of_active(bars, universe), as_of, rules[0].p), rules).withColumn("scan_date", F.lit(as_of).cast("date"))
+    return evaluate(*last_bars(bars_of_active(bars, universe), as_of, rules)).withColumn("scan_date", F.lit(as_of).cast("date"))
 
 
 def run_summary(bars: DataFrame, universe: DataFrame, as_of: str, rules: list | None = None) -> DataFrame:
@@ -59,11 +77,9 @@ def run_summary(bars: DataFrame, universe: DataFrame, as_of: str, rules: list |
     )
 
 
-def backtest(bars: DataFrame, rules: list | None = None) -> DataFrame:
-    """Signals at every bar of every symbol: one exchange and one sort in place of a scan a day."""
-    rules = rules or [BreakoutRule()]
-    p = rules[0].p
-    return evaluate(with_indicators(bars, p.rsi_period, p.sma_short_period, p.sma_medium_period, p.sma_long_period, p.lookback_window), rules)
+def backtest(bars: DataFrame, rules: list | None = None, keep: tuple = ()) -> DataFrame:
+    """Signals at every bar of every symbol, with ``keep`` columns of the bar: one exchange and one sort in place of a scan a day."""
+    return evaluate(*with_rules(bars, rules or [BreakoutRule()]), keep=keep)
 
 
 def backtest_as_of(bars: DataFrame, calendar: DataFrame, last_scan: str, rules: list | None = None) -> DataFrame:
@@ -71,12 +87,9 @@ def backtest_as_of(bars: DataFrame, calendar: DataFrame, last_scan: str, rules:
 
     Only matching bars are spread over days, by the calendar's index.
     """
-    rules = rules or [BreakoutRule()]
-    p = rules[0].p
-    frame = with_indicators(bars, p.rsi_period, p.sma_short_period, p.sma_medium_period, p.sma_long_period, p.lookback_window)
+    frame, rules = with_rules(bars, rules or [BreakoutRule()])
     following = F.coalesce(F.lead("date").over(Window.partitionBy("symbol").orderBy("date")), F.date_add(F.lit(last_scan).cast("date"), 1))
-    marked = frame.withColumn("_next", following)
-    hits = evaluate(marked, rules).join(marked.select("symbol", F.col("date").alias("scan_date"), "_next"), ["symbol", "scan_date"])
+    hits = evaluate(frame.withColumn("_next", following), rules, keep=("_next",))
     first = calendar.select(F.col("date").alias("scan_date"), F.col("lt").alias("_from"))
     final = calendar.select(F.date_add("date", 1).alias("_next"), F.col("le").alias("_to"))
     spread = hits.join(F.broadcast(first), "scan_date").join(F.broadcast(final), "_next").filter("_to > _from")

@@ -136,3 +136,42 @@ def test_all_bonuses(spark):
     closes = [100 + 0.01 * i + (0.05 if i % 2 else 0) for i in range(249)] + [103.5]
     got = last(spark, bars("all", closes, [1000] * 249 + [9000]))
     assert got["all"]["matched"] and got["all"]["confidence"] == 0.8999999999999999
+
+
+def test_each_rule_has_its_own_lookback(spark):
+    rules = [BreakoutRule(BreakoutParameters(lookback_window=k, volume_multiplier_match=0.0, rsi_threshold_match=-1.0, max_gap=9.0)) for k in (30, 5)]
+    rules[1].name = "Short"
+    closes = [100.0 + (20.0 if i == 15 else 0.0) + i / 100 for i in range(39)] + [101.0]
+    frame, universe = spark.createDataFrame(bars("up", closes), BARS), spark.createDataFrame([("up", "NSE", "", "", True)], UNIVERSE)
+    day = str(DAY + dt.timedelta(days=39))
+    for order in (rules, rules[::-1]):
+        assert [r["rule_name"] for r in scan.scan(frame, universe, day, order).collect()] == ["Short"]
+        assert [r["rule_name"] for r in scan.backtest(frame, order).filter(F.col("scan_date") == F.lit(day).cast("date")).collect()] == ["Short"]
+    with pytest.raises(ValueError):
+        scan.backtest(frame, [BreakoutRule(), BreakoutRule(BreakoutParameters(rsi_period=5))])
+
+
+def test_a_rule_in_plain_python(spark):
+    from barloom.operators.rules import evaluate_bars
+    from barloom.schemas import SIGNALS
+
+    class Highest:
+        name, version = "Highest so far", "1"
+
+        def snapshot(self):
+            return "{}"
+
+        def signals(self, frame):
+            best = frame["adj_close"].cummax().shift()
+            return frame[frame["adj_close"] > best].assign(confidence=0.5, metadata="{}")
+
+    got = evaluate_bars(with_indicators(spark.createDataFrame(bars("a", [1.0, 3.0, 2.0, 4.0]) + bars("b", [5.0, 4.0]), BARS)), Highest())
+    assert got.schema == SIGNALS and [(r["symbol"], (r["scan_date"] - DAY).days) for r in got.orderBy("scan_date").collect()] == [("a", 1), ("a", 3)]
+
+
+def test_nan_counts_as_null(spark):
+    nan = float("nan")
+    rows = bars("last", [100.0] * 24 + [nan], highs=[100.5] * 25) + bars("before", [100.0] * 20 + [nan] + [100.0] * 4)
+    got = last(spark, rows)
+    assert got["last"]["above_sma20"] is None and not got["last"]["matched"]
+    assert math.isclose(got["before"]["atr14"], 12 / 14, rel_tol=1e-12) and got["before"]["above_sma20"] is False
