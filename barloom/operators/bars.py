@@ -40,7 +40,7 @@ def bars_etype(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(bars: DataFrame, symbol: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Bars of a symbol (or all) between two dates, both among them.  The filters reach the scan of a bars table."""
+    """Bars of a symbol (or all) between two dates, both among them; those of one symbol in order of their dates.  The filters reach the scan of a bars table."""
     out = bars
     if symbol is not None:
         out = out.filter(F.col("symbol") == symbol)
@@ -48,7 +48,7 @@ def history(bars: DataFrame, symbol: str | None = None, start: str | None = None
         out = out.filter(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
         out = out.filter(F.col("date") <= F.lit(end).cast("date"))
-    return out
+    return out if symbol is None else out.orderBy("date")
 
 
 def on_date(bars: DataFrame, date: str) -> DataFrame:

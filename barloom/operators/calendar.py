@@ -73,7 +73,7 @@ class Closures:
         self.table = table
 
     def mark(self, date: str, reason: str, at: str) -> Closures:
-        row = self.table.sparkSession.sql(f"SELECT DATE'{date}' AS date, '{reason}' AS reason, TIMESTAMP_NTZ'{at}' AS created_at")
+        row = self.table.sparkSession.range(1).select(F.lit(date).cast("date").alias("date"), F.lit(reason).alias("reason"), F.lit(at).cast("timestamp_ntz").alias("created_at"))
         return Closures(self.table.unionByName(row.join(self.table.select("date"), "date", "left_anti")))
 
     def clear(self, date: str) -> Closures:

@@ -33,6 +33,14 @@ def flags(bars: DataFrame, max_spike: float = MAX_SPIKE, min_price: float = MIN_
     })
 
 
+def accepted(incoming: DataFrame, stored: DataFrame, max_spike: float = MAX_SPIKE, min_price: float = MIN_PRICE) -> DataFrame:
+    """The incoming bars of symbols without an error among them: a null, a price below the least, or a jump, also against the last stored bar.  Warnings (no volume, days missing) go on."""
+    last = stored.join(incoming.select("symbol").distinct(), "symbol", "left_semi").groupBy("symbol").agg(F.max_by("close_price", "date").alias("close_price"), F.max("date").alias("date"))
+    both = incoming.withColumn("_new", F.lit(True)).unionByName(last.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    wrong = flags(both, max_spike, min_price).filter(F.col("_new") & (F.col("has_null") | F.col("price_spike") | F.col("price_too_low")))
+    return incoming.join(wrong.select("symbol").distinct(), "symbol", "left_anti")
+
+
 def duplicates(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 

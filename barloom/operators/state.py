@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import STATES
@@ -30,10 +32,16 @@ def empty(spark: SparkSession) -> DataFrame:
 
 def get_or_create(states: DataFrame, date: str) -> DataFrame:
     """``states`` with a row for the day: pending, pending, source unknown, if it had none."""
-    fresh = states.sparkSession.sql(f"SELECT DATE'{date}' AS trading_date, '{PENDING}' AS ingestion_status, '{PENDING}' AS scan_status, 'UNKNOWN' AS data_source_status")
+    values = {"trading_date": F.lit(date).cast("date"), "ingestion_status": F.lit(PENDING), "scan_status": F.lit(PENDING), "data_source_status": F.lit("UNKNOWN")}
+    fresh = states.sparkSession.range(1).select(*[v.alias(k) for k, v in values.items()])
     return states.unionByName(fresh.join(states.select("trading_date"), "trading_date", "left_anti"), allowMissingColumns=True)
 
 
+def of_date(states: DataFrame, date: str) -> DataFrame:
+    """The state of a day: none or one row."""
+    return states.filter(F.col("trading_date") == F.lit(date).cast("date"))
+
+
 def _change(states: DataFrame, date: str, **values) -> DataFrame:
     own = F.col("trading_date") == F.lit(date).cast("date")
     return states.withColumns({c: F.when(own, F.lit(v).cast(STATES[c].dataType)).otherwise(F.col(c)) for c, v in values.items()})
@@ -97,6 +105,13 @@ def checked_cycles(days: int) -> int:
     return days
 
 
+def timed(cycles: DataFrame) -> tuple[list, int]:
+    """(rows of a simulation, milliseconds of the whole batch): all cycles are one plan, so they have one duration together."""
+    began = time.monotonic()
+    rows = cycles.orderBy("cycle").collect()  # at most ``MOST_CYCLES`` rows
+    return rows, round(1000 * (time.monotonic() - began))
+
+
 def simulate(bars: DataFrame, universe: DataFrame, calendar: DataFrame, base: str, days: int, rules: list | None = None, horizons: tuple = HORIZONS) -> DataFrame:
     """One row per simulated trading day: bars of the day, symbols scanned, signals and outcomes.
 
@@ -110,8 +125,11 @@ def simulate(bars: DataFrame, universe: DataFrame, calendar: DataFrame, base: st
     cycles = cycles.select((F.col("le") - F.col("_base")).cast("int").alias("cycle"), F.col("date").alias("trading_date"))
     counts = own.groupBy(F.col("date").alias("trading_date")).agg(F.count(F.lit(1)).alias("ingested"))
     first = own.groupBy("symbol").agg(F.min("date").alias("_first")).groupBy("_first").agg(F.count(F.lit(1)).alias("_new"))
-    known = cycles.join(F.broadcast(first), F.col("_first") <= F.col("trading_date"), "left").groupBy("trading_date").agg(F.coalesce(F.sum("_new"), F.lit(0)).alias("known"))
-    last = calendar.agg(F.max("date")).first()[0]
+    # a running sum over the calendar's days; what began before it counts from its first day on
+    begin, last = calendar.agg(F.min("date"), F.max("date")).first()
+    new = first.groupBy(F.greatest("_first", F.lit(begin)).alias("date")).agg(F.sum("_new").alias("_new"))
+    so_far = F.sum(F.coalesce("_new", F.lit(0))).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    known = calendar.select("date").join(new, "date", "left").select(F.col("date").alias("trading_date"), so_far.alias("known"))
     fired = backtest_as_of(own, calendar, str(last), rules).join(cycles.select(F.col("trading_date").alias("scan_date")), "scan_date", "left_semi")
     fired = fired.join(counts.select(F.col("trading_date").alias("scan_date")), "scan_date", "left_semi").select("symbol", "scan_date", "rule_name")
     signals = fired.groupBy(F.col("scan_date").alias("trading_date")).agg(F.count(F.lit(1)).alias("signals"))

@@ -67,22 +67,33 @@ def status(payloads: DataFrame, symbol: str = "symbol", body: str = "body", code
     return payloads.select(F.col(symbol).alias("symbol"), found.alias("status"))
 
 
+def latest_of(bars: DataFrame, today: str) -> DataFrame:
+    """The last bar of each symbol within the seven days up to ``today``."""
+    day = F.lit(today).cast("date")
+    week = bars.filter(F.col("date").between(F.date_sub(day, 7), day))
+    rest = [c for c in week.columns if c != "symbol"]
+    return week.groupBy("symbol").agg(F.max_by(F.struct(*rest), "date").alias("b")).select("symbol", "b.*")
+
+
 class PayloadFiles:
-    """A connector over files of payloads: Parquet with symbol and body, one row a symbol."""
+    """A connector over files of payloads: Parquet with the provider's ticker (or the symbol itself) and body, one row a symbol."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _payloads(self, symbols: DataFrame) -> DataFrame:
+        """Payloads of the symbols, by the provider's names of them where the files and the symbols' exchanges are known."""
+        rows = self.spark.read.parquet(self.path)
+        if "ticker" not in rows.columns:
+            return rows.join(symbols.select("symbol"), "symbol", "left_semi")
+        named = symbols.select("symbol", ticker(F.col("symbol"), F.col("exchange") if "exchange" in symbols.columns else F.lit("NSE")).alias("ticker"))
+        return rows.select("ticker", "body").join(named, "ticker")
+
     def historical(self, symbols: DataFrame, start: str, end: str) -> DataFrame:
-        bars = parse(self.spark.read.parquet(self.path)).join(symbols.select("symbol"), "symbol", "left_semi")
-        return bars.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+        return parse(self._payloads(symbols)).filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
     def latest(self, symbols: DataFrame, today: str) -> DataFrame:
-        """The last bar of each symbol within the seven days up to ``today``."""
-        day = F.lit(today).cast("date")
-        week = parse(self.spark.read.parquet(self.path)).join(symbols.select("symbol"), "symbol", "left_semi").filter(F.col("date").between(F.date_sub(day, 7), day))
-        rest = [c for c in week.columns if c != "symbol"]
-        return week.groupBy("symbol").agg(F.max_by(F.struct(*rest), "date").alias("b")).select("symbol", "b.*")
+        return latest_of(parse(self._payloads(symbols)), today)
 
     def healthy(self, symbols: DataFrame, today: str) -> bool:
         return not self.latest(symbols, today).isEmpty()

@@ -83,3 +83,37 @@ def test_quality(spark):
     got = {r["date"].day: r for r in quality.flags(spark.createDataFrame(rows, BARS)).collect()}
     assert (got[3]["price_spike"], got[3]["zero_volume"], got[3]["days_since"], got[3]["has_null"]) == (True, True, 2, False)
     assert got[4]["has_null"] and got[4]["price_too_low"] and not got[1]["price_spike"]
+
+
+def test_symbols_with_errors_are_left_out(spark, tmp_path):
+    day = dt.date(2024, 1, 2)
+    row = lambda s, d, c, v=5: (s, d, c, c, c, c, c, v)
+    stored = spark.createDataFrame([row("A", day, 10.0), row("B", day, 10.0), row("C", day, 10.0), row("Z", day, 1.0)], BARS)
+    after = [day + dt.timedelta(days=i) for i in (1, 2)]
+    incoming = spark.createDataFrame([row("A", after[0], 11.0, 0), row("A", after[1], 12.0), row("B", after[0], 20.0), row("B", after[1], 20.0), row("C", after[0], None), row("D", after[0], 0.001), row("E", after[0], 3.0)], BARS)
+    assert sorted((r["symbol"], r["date"]) for r in quality.accepted(incoming, stored).collect()) == [("A", after[0]), ("A", after[1]), ("E", after[0])]
+    files, bars_, marks = (str(tmp_path / x) for x in ("in", "out", "marks"))
+    stored.write.parquet(bars_)
+    incoming.write.parquet(files)
+    ingest_available(spark, files, bars_, marks, max_spike=0.4).awaitTermination()
+    assert sorted(r["symbol"] for r in spark.read.parquet(bars_).collect()) == ["A", "A", "A", "B", "C", "E", "Z"]
+
+
+def test_appends_read_only_their_dates(spark, tmp_path):
+    path = str(tmp_path / "by_date")
+    for d in (1, 2, 3):
+        assert sink.append(bars(spark, [d]), path, sink.KEYS["stock_prices"], partition_by="date") == 1
+    assert sink.append(bars(spark, [3]), path, sink.KEYS["stock_prices"], partition_by="date") == 0
+    assert sink.append(bars(spark, []), path, sink.KEYS["stock_prices"], partition_by="date") == 0
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_payloads_by_ticker(spark, tmp_path):
+    from barloom.plans.queries import PAYLOADS
+    from barloom.schemas import UNIVERSE
+
+    files = str(tmp_path / "payloads")
+    spark.createDataFrame([("AAA.NS", PAYLOADS[0][1]), ("BBB", PAYLOADS[1][1])], "ticker string, body string").write.parquet(files)
+    universe = spark.createDataFrame([("AAA", "NSE", "", "", True), ("BBB", "BSE", "", "", True), ("CCC", "NSE", "", "", True)], UNIVERSE)
+    got = quotes.PayloadFiles(spark, files).historical(universe, "2024-01-01", "2024-01-02")
+    assert sorted((r["symbol"], r["date"].day) for r in got.collect()) == [("AAA", 1), ("BBB", 1), ("BBB", 2)]
