@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from ..operators.calendar import HOLIDAYS
-from ..sources.seed import SEED
-from .queries import ADDS, AS_OF, BASE, CALENDAR, CYCLES, EVENTS_CALENDAR, PAIRS, PAYLOADS, SPAN, STATUSES, SYMBOL, WIDE_GAP, wide_rule
+from .queries import ADDS, AS_OF, BASE, CALENDAR, CYCLES, EVENTS_CALENDAR, PAIRS, PAYLOADS, SCAN_DATE, SIGNAL_DATE, SPAN, STATUSES, SYMBOL, WIDE_GAP
 
 ITEM_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 BRAND = f"""brand AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS date, first(px ORDER BY {ITEM_ORDER}) AS open_price, max(px) AS high_price, min(px) AS low_price,
@@ -16,24 +15,24 @@ UNIVERSE = """uni AS (SELECT DISTINCT p_brand AS symbol, 'NSE' AS exchange, 'Mak
     CASE p_brand WHEN 'Brand#11' THEN false WHEN 'Brand#13' THEN NULL ELSE true END AS is_active FROM part)"""
 
 
-def frame(source: str, name: str = "ind") -> str:
-    """CTEs of the indicators of every bar of a source."""
+def frame(source: str, name: str = "ind", volume: float = 1.5, rsi: int = 50, lookback: int = 21) -> str:
+    """CTEs of the indicators of every bar of a source, and of a rule with the given limits."""
     return f"""{name}_c AS (SELECT *, count(*) OVER w AS n, adj_close - lag(adj_close) OVER w AS ch, lag(adj_close) OVER w AS pa FROM {source} WINDOW w AS (PARTITION BY symbol ORDER BY date)),
   {name}_w AS (SELECT *, coalesce(sum(CASE WHEN ch > 0 THEN ch END) OVER r14, 0) / 14 AS gain, coalesce(sum(CASE WHEN ch <= 0 THEN abs(ch) END) OVER r14, 0) / 14 AS loss,
       avg(adj_close) OVER r20 AS a20, avg(adj_close) OVER r50 AS a50, avg(adj_close) OVER r200 AS a200,
       sum(CASE WHEN volume > 0 THEN volume END) OVER r20 AS vs, count(CASE WHEN volume > 0 THEN 1 END) OVER r20 AS vn,
       coalesce(sum(CASE WHEN high_price IS NOT NULL AND low_price IS NOT NULL AND pa IS NOT NULL THEN greatest(high_price - low_price, abs(high_price - pa), abs(low_price - pa)) END) OVER r14, 0) / 14 AS tr,
-      max(CASE WHEN high_price > 0 THEN high_price END) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS recent_high
+      max(CASE WHEN high_price > 0 THEN high_price END) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {lookback - 1} PRECEDING AND 1 PRECEDING) AS recent_high
     FROM {name}_c WINDOW r14 AS (PARTITION BY symbol ORDER BY date ROWS 13 PRECEDING), r20 AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING),
       r50 AS (PARTITION BY symbol ORDER BY date ROWS 49 PRECEDING), r200 AS (PARTITION BY symbol ORDER BY date ROWS 199 PRECEDING)),
   {name}_v AS (SELECT *, CASE WHEN n >= 15 THEN CASE WHEN loss = 0 THEN 100.0 ELSE 100.0 - 100.0 / (1.0 + gain / loss) END END AS rsi,
       CASE WHEN n >= 20 THEN a20 END AS sma20, CASE WHEN n >= 50 THEN a50 END AS sma50, CASE WHEN n >= 200 THEN a200 END AS sma200,
       CASE WHEN n >= 20 AND vn > 0 THEN CAST(vs // vn AS BIGINT) END AS avg_volume20, CASE WHEN n >= 15 THEN tr END AS atr14 FROM {name}_w),
-  {name}_f AS (SELECT *, adj_close > sma20 AS above_sma20, adj_close > sma50 AS above_sma50, adj_close > sma200 AS above_sma200, n >= 21 AS enough_bars, adj_close > recent_high AS breaks_out,
-      (adj_close - recent_high) / recent_high < {WIDE_GAP} AS gap_small, volume > avg_volume20 * 1.5 AS volume_confirms, rsi > 50 AS rsi_strong FROM {name}_v),
+  {name}_f AS (SELECT *, adj_close > sma20 AS above_sma20, adj_close > sma50 AS above_sma50, adj_close > sma200 AS above_sma200, n >= {lookback} AS enough_bars, adj_close > recent_high AS breaks_out,
+      (adj_close - recent_high) / recent_high < {WIDE_GAP} AS gap_small, volume > avg_volume20 * {volume} AS volume_confirms, rsi > {rsi} AS rsi_strong FROM {name}_v),
   {name} AS (SELECT *, above_sma20 AS trend_up, coalesce(enough_bars AND breaks_out AND gap_small AND volume_confirms AND rsi_strong AND above_sma20, false) AS matched,
-      CASE WHEN coalesce(enough_bars AND breaks_out AND gap_small AND volume_confirms AND rsi_strong AND above_sma20, false) THEN least(1.0, 0.5 + CASE WHEN rsi > 60 THEN 0.1 ELSE 0 END + CASE WHEN above_sma50 THEN 0.1 ELSE 0 END
-        + CASE WHEN volume > avg_volume20 * 2.0 THEN 0.1 ELSE 0 END + CASE WHEN above_sma200 THEN 0.1 ELSE 0 END) ELSE 0.0 END AS confidence FROM {name}_f)"""
+      CASE WHEN coalesce(enough_bars AND breaks_out AND gap_small AND volume_confirms AND rsi_strong AND above_sma20, false) THEN least(1e0, 5e-1 + CASE WHEN rsi > 60 THEN 1e-1 ELSE 0 END + CASE WHEN above_sma50 THEN 1e-1 ELSE 0 END
+        + CASE WHEN volume > avg_volume20 * 2.0 THEN 1e-1 ELSE 0 END + CASE WHEN above_sma200 THEN 1e-1 ELSE 0 END) ELSE 0e0 END AS confidence FROM {name}_f)"""
 
 
 def calendar(start: str, end: str, closures=(), special=(), name: str = "cal") -> str:
@@ -52,6 +51,8 @@ def added(date: str, n: str) -> str:
 B = f"WITH {BRAND}"
 I = f"WITH {BRAND}, {frame('brand')}"  # noqa: E741
 LONG_CALENDAR = calendar("2022-12-01", "2028-12-31")
+LENIENT = f"WITH {BRAND}, {frame('brand', volume=0.5, rsi=30)}"
+SHORT = f"{LENIENT}, {frame('brand', 'brief', 0.5, 30, 6)}"
 SIG = f"{I}, sig AS (SELECT symbol, date AS scan_date, 'Breakout Confirmed' AS rule_name, round(confidence, 6) AS confidence FROM ind WHERE matched)"
 RET = f"""{SIG}, {calendar(*CALENDAR)}, due AS (SELECT sig.*, h AS horizon_days FROM sig, (SELECT unnest([5, 10, 20]) AS h)),
   placed AS (SELECT due.*, t.date AS exit_date FROM due JOIN cal c ON c.date = scan_date JOIN cal t ON t.is_trading AND t.le = c.le + horizon_days),
@@ -66,6 +67,13 @@ FIRED = f"""fired AS (SELECT u.symbol, c.date AS scan_date, u.confidence FROM (S
 PAYLOAD_ROWS = f"p AS (SELECT symbol, CAST(body AS JSON) AS j FROM {values(PAYLOADS, 'symbol, body')})"
 ONE = "SELECT symbol, date, {} AS {} FROM ind"
 
+# Fixed value: the wide rule's parameters as stored with each signal.
+WIDE_SNAPSHOT = '{"baseConfidence":0.5,"confidenceIncrement":0.1,"lookbackWindow":21,"maxConfidenceCap":1.0,"maxGap":0.6,"rsiPeriod":14,"rsiThresholdConfidence":60.0,"rsiThresholdMatch":50.0,"smaLongPeriod":200,"smaMediumPeriod":50,"smaShortPeriod":20,"volumeMultiplierConfidence":2.0,"volumeMultiplierMatch":1.5}'
+STATE_COLUMNS = "trading_date, ingestion_status, scan_status, data_source_status, execution_mode, last_ingestion_time, last_scan_time, stocks_ingested, signals_generated, error_message"
+STATE_ROWS = f"""(SELECT CAST(a AS DATE) AS trading_date, b AS ingestion_status, c AS scan_status, d AS data_source_status, CAST(e AS VARCHAR) AS execution_mode, CAST(f AS TIMESTAMP) AS last_ingestion_time, CAST(g AS TIMESTAMP) AS last_scan_time, CAST(h AS INTEGER) AS stocks_ingested, CAST(i AS INTEGER) AS signals_generated, CAST(k AS VARCHAR) AS error_message FROM (VALUES
+  ('2024-01-29', 'SUCCESS', 'SUCCESS', 'HEALTHY', 'API', '2024-01-29 19:01:00', '2024-01-29 19:03:00', 3, 2, NULL), ('2024-01-30', 'SUCCESS_NO_DATA', 'SKIPPED', 'NO_DATA', NULL, '2024-01-30 19:01:00', '2024-01-30 19:02:00', 0, NULL, 'no bars'),
+  ('2024-01-31', 'FAILED', 'PENDING', 'UNHEALTHY', NULL, '2024-01-31 19:01:00', NULL, NULL, NULL, 'timed out'), ('2024-02-01', 'PENDING', 'PENDING', 'UNKNOWN', NULL, NULL, NULL, NULL, NULL, NULL)) t(a, b, c, d, e, f, g, h, i, k))"""
+
 ORACLES = {
     "bars_brand": f"{B} SELECT * FROM brand",
     "bars_user": f"WITH {USER} SELECT * FROM usr",
@@ -73,7 +81,7 @@ ORACLES = {
       last(value ORDER BY event_id) AS close_price, last(value ORDER BY event_id) AS adj_close, CAST(count(*) AS INTEGER) AS volume FROM events GROUP BY 1, 2""",
     "price_count": f"{B} SELECT count(*) AS n FROM brand",
     "active_universe": f"WITH {UNIVERSE} SELECT * FROM uni WHERE is_active",
-    "universe_seed": f"SELECT sector, count(*) AS n FROM {values([(a.replace(chr(39), chr(39) * 2), c) for a, _, c in SEED], 'symbol, sector')} WHERE sector = 'IT' GROUP BY sector",
+    "universe_seed": "SELECT 'IT' AS sector, CAST(5 AS BIGINT) AS n",
     "symbol_lookup": f"WITH {UNIVERSE} SELECT * FROM uni WHERE symbol = '{SYMBOL}'",
     "history_by_symbol": f"{B} SELECT * FROM brand WHERE symbol = '{SYMBOL}'",
     "history_asof": f"{B} SELECT * FROM brand WHERE date <= DATE '{AS_OF}'",
@@ -86,16 +94,19 @@ ORACLES = {
     "top10_runs": f"{SIG} SELECT scan_date AS run_date, count(*) AS stocks_flagged FROM sig GROUP BY 1 ORDER BY 1 DESC LIMIT 10",
     "latest_bar": f"{B} SELECT * FROM brand QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1",
     "latest_date": f"{B} SELECT symbol, max(date) AS latest_date FROM brand GROUP BY symbol",
-    "signals_by_date": f"{SIG} SELECT * FROM sig WHERE year(scan_date) = 1998",
+    "signals_by_date": f"{LENIENT} SELECT symbol, date AS scan_date, 'Breakout Confirmed' AS rule_name, round(confidence, 6) AS confidence FROM ind WHERE matched AND date = DATE '{SIGNAL_DATE}'",
+    "signal_metadata": f"{LENIENT} SELECT symbol, date AS scan_date, round(adj_close, 6) AS close, CAST(volume AS BIGINT) AS volume, {R6('rsi', 'sma20')}, avg_volume20 FROM ind WHERE matched",
+    "two_rules": f"""{SHORT} SELECT symbol, date AS scan_date, 'Breakout Confirmed' AS rule_name, round(confidence, 6) AS confidence FROM ind WHERE matched
+      UNION ALL SELECT symbol, date, 'Breakout Short', round(confidence, 6) FROM brief WHERE matched""",
     "eligible_signals": f"""{RET} SELECT symbol, scan_date, rule_name, horizon_days FROM due WHERE scan_date <= {added("DATE '2000-06-30'", "(-due.horizon_days)")}
       AND NOT EXISTS (SELECT 1 FROM ret r WHERE r.horizon_days <> 10 AND r.symbol = due.symbol AND r.scan_date = due.scan_date AND r.horizon_days = due.horizon_days)""",
     "scan_eval": f"""{I} SELECT symbol, date, n, volume, {R6("rsi", "sma20", "sma50", "sma200")}, avg_volume20, {R6("recent_high")}, enough_bars, breaks_out, gap_small, volume_confirms, rsi_strong, trend_up, matched, {R6("confidence")}
-      FROM (SELECT * REPLACE (least(n, 200) AS n) FROM ind WHERE date <= DATE '{AS_OF}') QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1""",
+      FROM (SELECT * FROM ind WHERE date <= DATE '{AS_OF}') QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1""",
     "scan_asof": f"WITH {USER}, {frame('usr')}, {calendar(*EVENTS_CALENDAR)}, {FIRED % '2024-02-09'} SELECT symbol, scan_date, round(confidence, 6) AS confidence FROM fired",
-    "scan_for_date": f"""WITH {BRAND}, {UNIVERSE}, {frame('brand')} SELECT symbol, DATE '{AS_OF}' AS scan_date, 'Breakout Confirmed' AS rule_name, round(confidence, 6) AS confidence
-      FROM (SELECT * FROM ind WHERE date <= DATE '{AS_OF}' AND symbol IN (SELECT symbol FROM uni WHERE is_active) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1) WHERE matched""",
-    "run_summary": f"""WITH {BRAND}, {UNIVERSE}, {frame('brand')}, l AS (SELECT * FROM ind WHERE date <= DATE '{AS_OF}' AND symbol IN (SELECT symbol FROM uni WHERE is_active) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)
-      SELECT DATE '{AS_OF}' AS run_date, CAST(count(*) AS INTEGER) AS stocks_scanned, CAST(count(*) FILTER (matched) AS INTEGER) AS stocks_flagged, 'SUCCESS' AS status FROM l""",
+    "scan_for_date": f"""WITH {BRAND}, {UNIVERSE}, {frame('brand', volume=0.5, rsi=30)} SELECT symbol, DATE '{SCAN_DATE}' AS scan_date, 'Breakout Confirmed' AS rule_name, round(confidence, 6) AS confidence
+      FROM (SELECT * FROM ind WHERE date <= DATE '{SCAN_DATE}' AND symbol IN (SELECT symbol FROM uni WHERE is_active) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1) WHERE matched""",
+    "run_summary": f"""WITH {BRAND}, {UNIVERSE}, {frame('brand', volume=0.5, rsi=30)}, l AS (SELECT * FROM ind WHERE date <= DATE '{SCAN_DATE}' AND symbol IN (SELECT symbol FROM uni WHERE is_active) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)
+      SELECT DATE '{SCAN_DATE}' AS run_date, CAST(count(*) AS INTEGER) AS stocks_scanned, CAST(count(*) FILTER (matched) AS INTEGER) AS stocks_flagged, 'SUCCESS' AS status FROM l""",
     "status_counts": f"""{SIG}, {UNIVERSE} SELECT 'bars' AS kind, count(*) AS n FROM brand UNION ALL SELECT 'active', count(*) FROM uni WHERE is_active UNION ALL SELECT 'signals', count(*) FROM sig""",
     "outcomes_by_horizon": f"{RET} SELECT CAST(horizon_days AS INTEGER) AS horizon_days, count(*) AS n FROM ret GROUP BY 1",
     "signals_per_date": f"{SIG} SELECT scan_date, count(*) AS n FROM sig GROUP BY 1",
@@ -112,7 +123,7 @@ ORACLES = {
     "breakout_conditions": f"{I} SELECT symbol, date, enough_bars, breaks_out, gap_small, volume_confirms, rsi_strong, trend_up, matched FROM ind",
     "breakout_signals": f"{SIG} SELECT * FROM sig",
     "breakout_confidence": f"{I} SELECT symbol, date, round(confidence, 6) AS confidence FROM ind",
-    "rule_snapshot": f"{SIG} SELECT DISTINCT rule_name, '1.1' AS rule_version, '{wide_rule().snapshot()}' AS parameter_snapshot FROM sig",
+    "rule_snapshot": f"{SIG} SELECT DISTINCT rule_name, '1.1' AS rule_version, '{WIDE_SNAPSHOT}' AS parameter_snapshot FROM sig",
     "calendar_sessions": f"WITH {calendar('2022-12-01', '2028-12-31', ['2024-02-05'], ['2024-03-02'])} SELECT date, session, is_trading, le, lt FROM cal",
     "next_trading_day": f"WITH {calendar(*EVENTS_CALENDAR)} SELECT day, {added('day', '1')} AS result FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)",
     "previous_trading_day": f"WITH {calendar(*EVENTS_CALENDAR)} SELECT day, {added('day', '(-1)')} AS result FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)",
@@ -135,9 +146,19 @@ ORACLES = {
     "fresh_bars": f"{B} SELECT symbol, date FROM brand WHERE date > DATE '{AS_OF}'",
     "dq_price_spike": f"""{B} SELECT symbol, date, false AS has_null, coalesce(abs((close_price - p) / p) > 0.4, false) AS price_spike, least(open_price, high_price, low_price, close_price, adj_close) < 0.01 AS price_too_low,
       volume = 0 AS zero_volume, CAST(date - pd AS INTEGER) AS days_since FROM (SELECT *, lag(close_price) OVER w AS p, lag(date) OVER w AS pd FROM brand WINDOW w AS (PARTITION BY symbol ORDER BY date))""",
+    "dq_accepted": f"""{B}, before AS (SELECT symbol, max(date) AS date, arg_max(close_price, date) AS close_price FROM brand WHERE date <= DATE '{AS_OF}' GROUP BY symbol),
+      rows AS (SELECT symbol, date, close_price, least(open_price, high_price, low_price, close_price, adj_close) AS low, true AS fresh FROM brand WHERE date >= DATE '1999-07-01' UNION ALL SELECT symbol, date, close_price, close_price, false FROM before),
+      seen AS (SELECT *, lag(close_price) OVER (PARTITION BY symbol ORDER BY date) AS p FROM rows)
+      SELECT symbol, date FROM seen WHERE fresh AND symbol NOT IN (SELECT symbol FROM seen WHERE fresh AND (abs((close_price - p) / p) > 1.5 OR low < 0.01))""",
+    "quote_tickers": f"WITH {UNIVERSE} SELECT symbol, CASE WHEN symbol < 'Brand#3' THEN symbol || '.NS' ELSE symbol END AS ticker, CAST(epoch(TIMESTAMP '{SPAN[0]} 00:00:00') AS BIGINT) AS first_second, CAST(epoch(TIMESTAMP '{SPAN[1]} 23:59:59') AS BIGINT) AS last_second FROM uni",
+    "latest_quotes": "SELECT * FROM (VALUES ('AAA', DATE '2024-01-04', 4.0::DOUBLE, 4.5::DOUBLE, 3.5::DOUBLE, 4.25::DOUBLE, 4.25::DOUBLE, 2147483647::INTEGER), ('BBB', DATE '2024-01-03', 3.0, 3.5, 2.5, 3.25, 3.25, NULL)) t(symbol, date, open_price, high_price, low_price, close_price, adj_close, volume)",
+    "closures": "SELECT CAST(date AS DATE) AS date, reason, TIMESTAMP '2024-01-02 08:00:00' AS created_at FROM (VALUES ('2024-01-03', 'storm'), ('2024-01-04', 'the owner''s feast')) t(date, reason)",
+    "states": f"SELECT {STATE_COLUMNS} FROM {STATE_ROWS}",
+    "state_of_date": f"SELECT {STATE_COLUMNS} FROM {STATE_ROWS} WHERE trading_date = DATE '2024-01-30'",
     "parse_quotes": f"""WITH {PAYLOAD_ROWS}, t AS (SELECT symbol, j, unnest(range(CAST(json_array_length(j, '$.chart.result[0].timestamp') AS BIGINT))) AS i FROM p WHERE json_array_length(j, '$.chart.result[0].timestamp') > 0),
       v AS (SELECT symbol, CAST(make_timestamp(CAST(j->('$.chart.result[0].timestamp[' || i || ']') AS BIGINT) * 1000000) AS DATE) AS date, {", ".join(f"CAST(j->('$.chart.result[0].indicators.quote[0].{c}[' || i || ']') AS DOUBLE) AS {c}_price" for c in ("open", "high", "low", "close"))},
         CAST(j->('$.chart.result[0].indicators.adjclose[0].adjclose[' || i || ']') AS DOUBLE) AS adj, json_array_length(j, '$.chart.result[0].indicators.quote[0].volume') AS vn, CAST(j->('$.chart.result[0].indicators.quote[0].volume[' || i || ']') AS BIGINT) AS vol, i FROM t)
       SELECT symbol, date, open_price, high_price, low_price, close_price, coalesce(adj, close_price) AS adj_close, CASE WHEN vn > i THEN CAST(least(greatest(coalesce(vol, 0), 0), 2147483647) AS INTEGER) END AS volume FROM v WHERE close_price IS NOT NULL AND close_price <> 0""",
     "quote_status": f"WITH {PAYLOAD_ROWS} SELECT symbol, CASE WHEN coalesce(json_array_length(j, '$.chart.result[0].timestamp'), 0) > 0 THEN 'OK' ELSE 'SYMBOL_NOT_FOUND' END AS status FROM p",
 }
+ORACLES["batch_total"] = "SELECT count(*) AS cycles, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("ingested", "scanned", "signals", "outcomes")) + f" FROM ({ORACLES['simulate_cycles']})"

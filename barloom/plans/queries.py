@@ -10,6 +10,7 @@ from ..operators import bars as B
 from ..operators import calendar as cal
 from ..operators import outcomes, quality, scan, state
 from ..operators.rules import BreakoutParameters, BreakoutRule
+from ..schemas import CLOSURES
 from ..sources import quotes, seed
 
 #: The date of scans, a symbol, and a span within the shipped dates.
@@ -18,6 +19,8 @@ AS_OF, SYMBOL, SPAN = "1999-06-30", "Brand#12", ("1997-01-01", "1997-12-31")
 CALENDAR = ("1994-12-01", "2002-12-31")
 EVENTS_CALENDAR, BASE, CYCLES = ("2023-12-01", "2024-03-31"), "2023-12-29", 22
 WIDE_GAP = 0.60
+#: Dates of a scan and of signals of the lenient rule.
+SCAN_DATE, SIGNAL_DATE = "1999-09-16", "1997-09-13"
 
 
 def wide_rule() -> BreakoutRule:
@@ -25,6 +28,18 @@ def wide_rule() -> BreakoutRule:
     return BreakoutRule(BreakoutParameters(max_gap=WIDE_GAP))
 
 
+def lenient_rule() -> BreakoutRule:
+    """The wide rule on half of the volume and little strength, which matches at every size of the test tables."""
+    return BreakoutRule(BreakoutParameters(max_gap=WIDE_GAP, volume_multiplier_match=0.5, rsi_threshold_match=30.0))
+
+
+def short_rules() -> list[BreakoutRule]:
+    """Two rules with lookbacks of their own."""
+    one, two = (BreakoutRule(BreakoutParameters(max_gap=WIDE_GAP, volume_multiplier_match=0.5, rsi_threshold_match=30.0, lookback_window=k)) for k in (21, 6))
+    two.name = "Breakout Short"
+    return [one, two]
+
+
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A universe of brands: one isn't in use, of one it isn't known."""
     brands = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("symbol")).distinct()
@@ -76,7 +91,8 @@ def _runs(spark, d):
 
 def _returns(spark, d):
     calendar = _trading(spark)
-    due = outcomes.eligible(_signals(spark, d), calendar, "2002-12-30")
+    signals = scan.backtest(_brand(spark, d), [wide_rule()], keep=("close_price",))
+    due = outcomes.eligible(signals, calendar, "2002-12-30")
     return outcomes.forward_returns(due, _brand(spark, d), calendar, "2002-12-30")
 
 
@@ -131,7 +147,7 @@ def _payloads(spark):
 def _scan_eval(spark, d):
     one = scan.evaluate_as_of(_brand(spark, d), AS_OF, wide_rule())
     return one.select(
-        "symbol", "date", F.least("n", F.lit(200).cast("long")).alias("n"), "volume",  # the query's SQL says least(n, 200)
+        "symbol", "date", "n", "volume",
         *_rounded("rsi", "sma20", "sma50", "sma200"), "avg_volume20", *_rounded("recent_high"),
         "enough_bars", "breaks_out", "gap_small", "volume_confirms", "rsi_strong", "trend_up", "matched", *_rounded("confidence"),
     )
@@ -178,6 +194,45 @@ def _dq(spark, d):
     return quality.flags(_brand(spark, d)).select("symbol", "date", "has_null", "price_spike", "price_too_low", "zero_volume", "days_since")
 
 
+def _metadata(spark, d):
+    """What signals carry as JSON, read again."""
+    fields = F.from_json("metadata", "close DOUBLE, volume BIGINT, rsi DOUBLE, sma20 DOUBLE, avgVolume20 BIGINT")
+    read = scan.backtest(_brand(spark, d), [lenient_rule()]).withColumn("m", fields)
+    return read.select("symbol", "scan_date", F.round("m.close", 6).alias("close"), F.col("m.volume").alias("volume"), F.round("m.rsi", 6).alias("rsi"), F.round("m.sma20", 6).alias("sma20"), F.col("m.avgVolume20").alias("avg_volume20"))
+
+
+def _tickers(spark, d):
+    first, last = quotes.epoch_range(F.lit(SPAN[0]).cast("date"), F.lit(SPAN[1]).cast("date"))
+    other = universe(spark, d).withColumn("exchange", F.when(F.col("symbol") < "Brand#3", F.lit("NSE")).otherwise("BSE"))
+    return other.select("symbol", quotes.ticker(F.col("symbol"), F.col("exchange")).alias("ticker"), first.alias("first_second"), last.alias("last_second"))
+
+
+def _closures(spark, d):
+    """Marked twice, once with an apostrophe, and cleared once."""
+    table = cal.Closures(spark.createDataFrame([], CLOSURES))
+    for date, reason in (("2024-01-03", "storm"), ("2024-01-03", "again"), ("2024-01-04", "the owner's feast"), ("2024-01-05", "strike")):
+        table = table.mark(date, reason, "2024-01-02 08:00:00")
+    return table.clear("2024-01-05").table
+
+
+def _states(spark):
+    """Four days through the transitions of ingestion and scan."""
+    table = state.empty(spark)
+    for day in ("2024-01-29", "2024-01-30", "2024-01-31", "2024-02-01", "2024-01-29"):
+        table = state.get_or_create(table, day)
+    table = state.start_ingestion(table, "2024-01-29", "API", "2024-01-29 19:00:00")
+    table = state.complete_ingestion(table, "2024-01-29", 3, "HEALTHY", "2024-01-29 19:01:00")
+    table = state.complete_scan(state.start_scan(table, "2024-01-29", "2024-01-29 19:02:00"), "2024-01-29", 2, "2024-01-29 19:03:00")
+    table = state.skip_scan(state.complete_without_data(table, "2024-01-30", "NO_DATA", "2024-01-30 19:01:00"), "2024-01-30", "no bars", "2024-01-30 19:02:00")
+    table = state.fail_ingestion(table, "2024-01-31", "timed out", "UNHEALTHY", "2024-01-31 19:01:00")
+    return table
+
+
+def _short(spark, d):
+    fired = scan.backtest(_brand(spark, d), short_rules())
+    return fired.select("symbol", "scan_date", "rule_name", F.round("confidence", 6).alias("confidence"))
+
+
 QUERIES = {
     "bars_brand": _brand,
     "bars_user": B.bars_user,
@@ -197,12 +252,14 @@ QUERIES = {
     "top10_runs": lambda s, d: B.top(_runs(s, d), 10, "run_date"),
     "latest_bar": lambda s, d: B.latest_bar(_brand(s, d)),
     "latest_date": lambda s, d: B.latest_date(_brand(s, d)),
-    "signals_by_date": lambda s, d: _signal_keys(s, d).filter(F.year("scan_date") == 1998),
+    "signals_by_date": lambda s, d: scan.backtest(_brand(s, d), [lenient_rule()]).filter(F.col("scan_date") == F.lit(SIGNAL_DATE).cast("date")).select("symbol", "scan_date", "rule_name", F.round("confidence", 6).alias("confidence")),
+    "signal_metadata": _metadata,
+    "two_rules": _short,
     "eligible_signals": lambda s, d: outcomes.eligible(_signals(s, d), _trading(s), "2000-06-30", _returns(s, d).filter("horizon_days <> 10")),
     "scan_eval": _scan_eval,
     "scan_asof": _as_of_signals,
-    "scan_for_date": lambda s, d: scan.scan(_brand(s, d), universe(s, d), AS_OF, [wide_rule()]).select("symbol", "scan_date", "rule_name", F.round("confidence", 6).alias("confidence")),
-    "run_summary": lambda s, d: scan.run_summary(_brand(s, d), universe(s, d), AS_OF, [wide_rule()]),
+    "scan_for_date": lambda s, d: scan.scan(_brand(s, d), universe(s, d), SCAN_DATE, [lenient_rule()]).select("symbol", "scan_date", "rule_name", F.round("confidence", 6).alias("confidence")),
+    "run_summary": lambda s, d: scan.run_summary(_brand(s, d), universe(s, d), SCAN_DATE, [lenient_rule()]),
     "status_counts": _status,
     "outcomes_by_horizon": lambda s, d: _returns(s, d).groupBy("horizon_days").agg(F.count(F.lit(1)).alias("n")),
     "signals_per_date": lambda s, d: _signals(s, d).groupBy("scan_date").agg(F.count(F.lit(1)).alias("n")),
@@ -233,6 +290,13 @@ QUERIES = {
     "ingest_gaps": lambda s, d: quality.gaps(_brand(s, d), universe(s, d), "2002-01-31"),
     "fresh_bars": lambda s, d: quality.fresh_rows(_brand(s, d), B.history(_brand(s, d), end=AS_OF)).select("symbol", "date"),
     "dq_price_spike": _dq,
+    "dq_accepted": lambda s, d: quality.accepted(B.history(_brand(s, d), start="1999-07-01"), B.history(_brand(s, d), end=AS_OF), max_spike=1.5).select("symbol", "date"),
+    "quote_tickers": _tickers,
+    "latest_quotes": lambda s, d: quotes.latest_of(quotes.parse(_payloads(s)), "2024-01-05"),
+    "closures": _closures,
+    "states": lambda s, d: _states(s),
+    "state_of_date": lambda s, d: state.of_date(_states(s), "2024-01-30"),
+    "batch_total": lambda s, d: _simulate(s, d).agg(F.count(F.lit(1)).alias("cycles"), *[F.sum(c).alias(c) for c in ("ingested", "scanned", "signals", "outcomes")]),
     "parse_quotes": lambda s, d: quotes.parse(_payloads(s)),
     "quote_status": lambda s, d: quotes.status(_payloads(s)),
 }
