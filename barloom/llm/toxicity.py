@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, text_of
+from .common import crc_mod, cut, text_of
 from .words import batches as in_batches
 
 # Letters of other scripts that look like Latin ones.
@@ -34,8 +34,10 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 # Phrases in which a listed word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "idiot proof", "sore loser rule", "pond scum", "stupid simple")
 
-#: Labelled rows that a lexicon is learned from at most (about), its entries, and the lengths of word beginnings.
-MOST_LABELLED, MOST_ENTRIES, STEMS = 20_000, 5000, (3, 4, 5, 6, 7)
+#: Labelled rows that a lexicon is learned from at most (about), and the lengths of word beginnings.
+MOST_LABELLED, STEMS = 20_000, (3, 4, 5, 6, 7)
+#: What an entry needs: evidence (log-likelihood ratio; by chance alone a few of a million entries show as much) and weight (e to it: how much more often it stands in toxic text).
+EVIDENCE, WEIGHT = 15.0, 3.0
 #: The residue of crc32(doc_id) mod 5 that is held out.
 FOLDS = 5
 
@@ -123,27 +125,39 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
     return docs.select(F.col(id_col).alias("_id"), text_of(docs).alias("_body")).join(F.broadcast(chosen), "_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "toxic", most: int = MOST_LABELLED) -> Lexicon:
-    """A lexicon from labelled documents; without labels of both kinds it is empty and every score is low."""
-    rows = training_rows(docs, labels, id_col, label, most)
+def folded_rows(rows: DataFrame) -> DataFrame:
+    """``_y`` and the folded text of a bounded number of rows, as a written table, so that texts are folded once."""
+
+    def fold_all(parts):
+        for batch in parts:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fold(b.as_py()).encode("latin-1") for b in batch.column(1)], pa.binary())], names=["_y", "_folded"])
+
+    return cut(rows.select("_y", "_body").mapInArrow(fold_all, "_y int, _folded binary"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "toxic", most: int = MOST_LABELLED, evidence: float = EVIDENCE, weight: float = WEIGHT) -> Lexicon:
+    """A lexicon from labelled documents; without labels of both kinds it is empty and every score is low.
+
+    The lexicon holds every word and beginning of a word with enough evidence
+    and weight; their number follows from the bounded number of labelled rows.
+    """
+    rows = folded_rows(training_rows(docs, labels, id_col, label, most))
 
     def count(parts):
-        counts: dict[str, list] = {"": [0, 0, 0, 0]}  # documents and places, by label
+        counts: dict[str, list] = {"": [0, 0, 0.0, 0.0]}  # documents and places, by label
         for batch in parts:
             for y, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = features(fold(body.as_py()))
-                words = sum(n for f, n in found.items() if f[-1] == " ")
-                found[""] = words
-                most = 1 + words // 50  # a line that a document repeats shouldn't stand for many documents
+                found = features(body.as_py().decode("latin-1"))
+                found[""] = sum(n for f, n in found.items() if f[-1] == " ")
                 for f, n in found.items():
-                    c = counts.setdefault(f, [0, 0, 0, 0])
+                    c = counts.setdefault(f, [0, 0, 0.0, 0.0])
                     c[y] += 1
-                    c[2 + y] += min(n, most) if f else n
+                    c[2 + y] += 1 + math.log(n) if f else n  # what a document repeats counts less each time
         for part in in_batches((f.encode("latin-1"), *c) for f, c in counts.items()):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), [pa.binary()] + [pa.int64()] * 4, strict=True)], names=["entry", "n0", "n1", "w0", "w1"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)], names=["entry", "n0", "n1", "w0", "w1"])
 
-    partial = rows.select("_y", "_body").mapInArrow(count, "entry binary, n0 long, n1 long, w0 long, w1 long")
-    counts = partial.groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "w0", "w1")])
+    partial = rows.mapInArrow(count, "entry binary, n0 long, n1 long, w0 double, w1 double")
+    counts = cut(partial.groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "w0", "w1")]))
     totals = counts.filter(F.length("entry") == 0).collect()
     if not totals or not totals[0]["n0"] or not totals[0]["n1"]:
         return Lexicon({}, bias=-2.0)
@@ -151,24 +165,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str
     base = all1 / (all0 + all1)
     n, hit = F.col("n0") + F.col("n1"), F.col("n1")
     log = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
-    evidence = log(hit, n * base) + log(F.col("n0"), n * (1 - base))
-    # by chance alone, a few of a million entries would show as much evidence as this
-    weight = F.log((F.col("w1") + 0.5) / (words1 + 1)) - F.log((F.col("w0") + 0.5) / (words0 + 1))
-    chosen = counts.filter((F.length("entry") > 0) & (hit > n * base) & (evidence > 15) & (weight > 3)).select("entry", weight.alias("weight"), evidence.alias("evidence"))
-    top = chosen.orderBy(F.desc("evidence"), "entry").limit(MOST_ENTRIES).collect()
-    return calibrate(rows, Lexicon({bytes(e).decode("latin-1"): float(w) for e, w, _ in top}))
+    shown = log(hit, n * base) + log(F.col("n0"), n * (1 - base))
+    heavy = F.log((F.col("w1") + 0.5) / (words1 + 1)) - F.log((F.col("w0") + 0.5) / (words0 + 1))
+    chosen = counts.filter((F.length("entry") > 0) & (hit > n * base) & (shown > evidence) & (heavy > weight)).select("entry", heavy.alias("weight"))
+    return calibrate(rows, Lexicon({bytes(r["entry"]).decode("latin-1"): float(r["weight"]) for r in chosen.collect()}))
 
 
 def calibrate(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
-    """Fit the rate of hits, bias and slope to the same bounded rows."""
+    """Fit the rate of hits, bias and slope to the same bounded rows (``folded_rows``)."""
 
     def hits(parts):
         matcher = lexicon.matcher()
         for batch in parts:
-            found = [lexicon.hits(matcher, fold(b.as_py())) for b in batch.column(1)]
+            found = [lexicon.hits(matcher, b.as_py().decode("latin-1")) for b in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([float(x[i]) for x in found], pa.float64()) for i in range(3)]], names=["y", "total", "hits", "words"])
 
-    got = rows.select("_y", "_body").mapInArrow(hits, "y int, total double, hits double, words double").collect()  # four numbers for each of about MOST_LABELLED rows
+    got = rows.mapInArrow(hits, "y int, total double, hits double, words double").collect()  # four numbers for each of about MOST_LABELLED rows
     y, total, hit, words = (np.array([r[i] for r in got], float) for i in range(4))
     share = [hit[y == c].sum() / max(1.0, words[y == c].sum()) for c in (0, 1)]
     lexicon.rate = float(max(0.0, share[1] - share[0]))
@@ -189,8 +201,11 @@ def calibrate(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
 def judge(docs: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns of every row with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).  A null text is empty and scores like a text without hits.
 
-    ``keep`` must not hold the two names.  Each row stands alone: no shuffle.
+    Result columns replace kept ones of the same name.  Each row stands alone:
+    no shuffle; repeated rows are judged each, null ids stay null, an empty
+    table gives no rows.
     """
+    keep = [c for c in keep if c not in ("score", "predicted")]
     rows = docs.select(text_of(docs, text).alias("_body"), *keep)
     kept = rows.schema[1:].fieldNames() if keep else []
 
