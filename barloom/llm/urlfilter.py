@@ -114,8 +114,8 @@ def probability(grams: Column, weights: list[float]) -> Column:
 
 
 def rule_verdicts(host: Column, path: Column, rules=RULES) -> Column:
-    """struct<rule, verdict> of the longest fitting rule, else null.  Longest by its host and path together; then the longer host."""
-    out = None
+    """struct<rule, verdict> of the longest fitting rule, else null, also without any rules.  Longest by its host and path together; then the longer host."""
+    out = None if rules else F.lit(None).cast("struct<rule:string,verdict:string>")
     for h, p, verdict in sorted(rules, key=lambda r: (-len(r[0] + r[1]), -len(r[0]), r)):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         value = F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))
