@@ -84,3 +84,12 @@ def test_clock(spark, calendar):
             clock.advance(days)
     with pytest.raises(ValueError):
         state.Clock(calendar, "2024-02-18")
+
+
+def test_simulated_cycles_count_up_and_are_timed(spark, calendar):
+    days = [dt.date(2024, 1, 29) + dt.timedelta(days=i) for i in range(4)]
+    frame = spark.createDataFrame([("A", d, *[1.0] * 5, 10) for d in days] + [("B", days[2], *[1.0] * 5, 10), ("C", dt.date(2020, 1, 1), *[1.0] * 5, 10)], BARS)
+    universe = spark.createDataFrame([(s, True) for s in "ABC"], "symbol string, is_active boolean")
+    rows, took = state.timed(state.simulate(frame, universe, calendar, "2024-01-29", 4))
+    assert [(r["cycle"], str(r["trading_date"]), r["ingested"], r["scanned"]) for r in rows] == [(1, "2024-01-30", 1, 2), (2, "2024-01-31", 2, 3), (3, "2024-02-01", 1, 3), (4, "2024-02-02", 0, 0)]
+    assert took >= 0 and sum(r["ingested"] for r in rows) == 4
