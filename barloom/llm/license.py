@@ -63,8 +63,14 @@ K, NEAR, COVER, SHORT = 3, 2, 0.8, 30
 
 
 def normal_text(text: Column) -> Column:
-    """The words, A-Z lower-cased, one blank between them."""
-    return F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), SEPARATORS, " "))
+    """The words, A-Z lower-cased, one blank between them.
+
+    ``lower`` also folds letters beyond ASCII.  Two of these become letters of
+    ASCII (the sign for Kelvin, the capital i with a dot), so they are taken
+    out of the way first; no word of a phrase or template can arise from others.
+    """
+    apart = F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u0138")), F.lit("\u0130"), F.lit("\u0131"))
+    return F.trim(F.regexp_replace(F.lower(apart), SEPARATORS, " "))
 
 
 def _words(normal: Column) -> Column:
