@@ -27,7 +27,7 @@ from .common import cut, text_of
 from .words import SPACED, Powers, grams, mix, suffix_array, text_chunks, word_bounds, word_hashes
 
 #: Words of a window and of a minimiser; words of an index and the places of which it keeps one; segments of one minimiser beyond which windows are dealt one by one.
-WINDOW, MINIMISER, INDEX_WORDS, SAMPLE, HOT = 20, 8, 150_000, 8, 20_000
+WINDOW, MINIMISER, INDEX_WORDS, SAMPLE, HOT = 20, 8, 150_000, 8, 2000
 
 
 def segments_of(h: np.ndarray, first: np.ndarray, window: int = WINDOW, m: int = MINIMISER):
