@@ -76,24 +76,24 @@ def _block_rows(batch, most: int, scale: float):
             yield int(n), part.column(0).to_numpy(), _floored(part.column(1), int(n), scale)
 
 
-def _needed(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
-    """Of rows with equal vectors, which have equal scores, those with the k + 1 smallest ids: ties go to these, and one may be a query's own."""
-    equal = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, max(1, v.itemsize * v.shape[1])))).ravel(), return_inverse=True)[1] if v.shape[1] else np.zeros(len(v), np.int64)
-    order = np.lexsort((ids, equal))
-    order = order[np.concatenate([[True], (np.diff(equal[order]) != 0) | (np.diff(ids[order]) != 0)])]
-    head = np.concatenate([[True], np.diff(equal[order]) != 0])
-    place = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-    return np.sort(order[place <= k])
-
-
-def approximation_file(rows: DataFrame, scale: float, k: int, size: int = CELLS) -> DataFrame:
+def that_ties_can_reach(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` (id, v), but of more than k + 1 equal vectors, which have equal scores, only those with the k + 1 smallest ids: ties go to these, and one may be a query's own."""
+    keyed = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), "v")})
+    hot = cut(keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1).select("h1", "h2"))
+    if hot.isEmpty():
+        return rows
+    order = Window.partitionBy("h1", "h2").orderBy("id")
+    first = keyed.select("id", "h1", "h2").join(hot, ["h1", "h2"]).withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= k + 1)
+    last = cut(first.groupBy("h1", "h2").agg(F.max("id").alias("last")))
+    return keyed.join(last, ["h1", "h2"], "left").filter(F.col("last").isNull() | (F.col("id") <= F.col("last"))).select("id", "v")
+
+
+def approximation_file(rows: DataFrame, scale: float, size: int = CELLS) -> DataFrame:
     """Blocks of cells of ``rows`` (id, v): length, ids, cells, corners, steps, as a written table without any exact vector."""
 
     def approximate(batches):
         for batch in batches:
             for n, ids, v in _block_rows(batch, size, scale):
-                kept = _needed(ids, v, k)
-                ids, v = ids[kept], v[kept]
                 yield pa.RecordBatch.from_arrays([pa.array([n]), *[pa.array([x.tobytes()], pa.binary()) for x in (ids, *quantise(v))]], names=["length", "ids", "cells", "corners", "steps"])
 
     return cut(rows.select("id", "v").mapInArrow(approximate, "length long, ids binary, cells binary, corners binary, steps binary"))
@@ -193,7 +193,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     asked = rows.filter("is_query").select("id", "v").distinct()
     # Every share has all query blocks and its part of the cells; each task scans a share.
     shares = shuffle_width(spark)
-    file = approximation_file(rows, float(scale), k, cells).withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)))
+    file = approximation_file(that_ties_can_reach(rows.select("id", "v"), k), float(scale), cells).withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)))
     asked_blocks = cut(query_blocks(asked.coalesce(max(1, shares // 8)), float(scale), queries)).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
     pairs = asked_blocks.join(file.hint("merge"), ["share", "length"])
     found = scan_cells(pairs, k).groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.max("high").alias("high"))
