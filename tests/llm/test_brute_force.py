@@ -368,6 +368,19 @@ def test_top_k_of_large_components(spark):
     assert got == {q: [(i, -s) for s, i in sorted((-int(whole[q] @ whole[i]), i) for i in range(400) if i != q)[:5]] for q in range(0, 400, 100)}
 
 
+def test_ties_of_a_very_common_vector(spark):
+    """A third of all rows are one vector; the smallest ids win, also for its own queries."""
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-9, 10, (300, 4)) / 8
+    vectors[::3] = [0.5, -0.25, 1.0, 0.0]
+    rows = [(i, v) for i, v in enumerate(vectors.tolist())] + [(3, vectors[3].tolist()), (300, vectors[0].tolist())]
+    whole = {i: np.floor(np.array(v) * 1024).astype(np.int64) for i, v in rows}
+    got = collections.defaultdict(list)
+    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=5, cells=16, queries=2).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == {q: [(i, -s) for s, i in sorted((-int(whole[q] @ whole[i]), i) for i in whole if i != q)[:5]] for q in range(0, 301, 100)}
+
+
 def test_index_matches_and_places():
     rng = np.random.default_rng(0)
     for n, k in ((2, 2), (60, 3), (400, 4)):
