@@ -32,9 +32,9 @@ from .common import crc_mod, cut, text_of
 from .words import FOLDED, Powers, mix, text_chunks, word_bounds, word_hashes
 
 #: The model's dimension, noise samples of a batch's classes and of a token's word, tokens of a batch, AdaGrad's rate and first sum.
-DIM, NOISE, WORD_NOISE, BATCH, RATE, FIRST_SUM = 16, 32, 5, 2048, 0.05, 1e-3
+DIM, NOISE, WORD_NOISE, BATCH, RATE, FIRST_SUM = 12, 32, 2, 4096, 0.05, 1e-3
 #: Occurrences in training, and one part of all tokens in how many, from which on a token is a word of its own; the words that all others share (as bits).
-LEAST, SHARE, RARE_BITS = 20, 500_000, 14
+LEAST, SHARE, RARE_BITS = 20, 200_000, 14
 #: Tokens of a training shard, and the rounds of shards.
 SHARD, ROUNDS = 2_000_000, 2
 #: Rows of parameters that travel as one value.
@@ -187,7 +187,8 @@ class Trainer:
         self.rng, self.noise, self.rate = np.random.default_rng(seed), noise, rate
 
     def _step(self, name: str, rows: np.ndarray, grads: np.ndarray):
-        order = np.argsort(rows, kind="stable")
+        # small numbers are sorted by their digits, much faster
+        order = np.argsort(rows.astype(np.uint16) if len(self.p[name]) <= 1 << 16 else rows, kind="stable")
         rows = rows[order]
         fresh = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         g, at = np.add.reduceat(grads[order], fresh, axis=0), rows[fresh]
@@ -339,7 +340,7 @@ def train(words: DataFrame, sent, rounds: int = ROUNDS) -> dict:
         tables = [t.copy() for t in tables]
         for part, block, rows, data in zip(*(found.column(c) for c in ("part", "block", "rows", "data")), strict=True):
             k, at = part.as_py(), block.as_py() * BLOCK
-            tables[k][at + np.frombuffer(rows.as_py(), np.int16)] = np.frombuffer(data.as_py(), np.float16).reshape(-1, DIM + (k > 1))
+            tables[k][at + np.frombuffer(rows.as_py(), np.int16).astype(np.int64)] = np.frombuffer(data.as_py(), np.float16).reshape(-1, DIM + (k > 1))
         start.destroy()
     for k in (0, 1):
         for at in range(0, len(tables[k]), 4096):  # starts repeat
@@ -349,14 +350,16 @@ def train(words: DataFrame, sent, rounds: int = ROUNDS) -> dict:
 
 
 def _log_sums(made: np.ndarray, q: np.ndarray, rows: int = 1024) -> np.ndarray:
-    """For each row of ``made`` the log of the sum of exp over all rows of ``q``, whose last column is a bias."""
+    """For each row of ``made``, which ends in 1, the log of the sum of exp over all rows of ``q``, which end in a bias."""
     out = np.empty(len(made), np.float32)
-    vectors, bias = np.ascontiguousarray(q[:, :-1].T), q[:, -1]
+    vectors = np.ascontiguousarray(q.T)
+    # exponents of single precision reach to 88; most models stay far below
+    far = np.einsum("ij,ij->i", made, made).max(initial=0) * np.einsum("ij,ij->j", vectors, vectors).max() > 60**2
     for at in range(0, len(made), rows):
         s = made[at : at + rows] @ vectors
-        s += bias
-        most = s.max(axis=1)
-        s -= most[:, None]
+        most = s.max(axis=1) if far else 0.0
+        if far:
+            s -= most[:, None]
         out[at : at + rows] = np.log(np.exp(s, out=s).sum(axis=1)) + most
     return out
 
@@ -366,10 +369,11 @@ def log_probabilities(p: dict, w: np.ndarray, one: np.ndarray, two: np.ndarray,
     out = np.empty(len(w), np.float32)
     for a in range(0, len(w), most):
         words = w[a : a + most]
-        made = p["r1"][one[a : a + most]].astype(np.float32) + p["r2"][two[a : a + most]]
+        made = np.ones((len(words), p["r1"].shape[1] + 1), np.float32)
+        made[:, :-1] = p["r1"][one[a : a + most]]
+        made[:, :-1] += p["r2"][two[a : a + most]]
         of = words // p["width"]
-        q = p["classes"][of]
-        logs = np.einsum("ij,ij->i", made, q[:, :-1]) + q[:, -1] - _log_sums(made, p["classes"])
+        logs = np.einsum("ij,ij->i", made, p["classes"][of]) - _log_sums(made, p["classes"])
         order = np.argsort(of, kind="stable")
         cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(of[order]) != 0])), len(order))
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
@@ -377,8 +381,8 @@ def log_probabilities(p: dict, w: np.ndarray, one: np.ndarray, two: np.ndarray,
             low = int(of[at[0]]) * p["width"]
             q = p["q"][low : low + p["width"]].astype(np.float32)
             q[:, -1] += p["bias"][low : low + p["width"]]
-            h, mine = made[at], q[words[at] - low]
-            logs[at] += np.einsum("ij,ij->i", h, mine[:, :-1]) + mine[:, -1] - _log_sums(h, q)
+            h = made[at]
+            logs[at] += np.einsum("ij,ij->i", h, q[words[at] - low]) - _log_sums(h, q)
         out[a : a + most] = logs
     return out
 
