@@ -149,7 +149,7 @@ ORACLES = {
     "dq_accepted": f"""{B}, before AS (SELECT symbol, max(date) AS date, arg_max(close_price, date) AS close_price FROM brand WHERE date <= DATE '{AS_OF}' GROUP BY symbol),
       rows AS (SELECT symbol, date, close_price, least(open_price, high_price, low_price, close_price, adj_close) AS low, true AS fresh FROM brand WHERE date >= DATE '1999-07-01' UNION ALL SELECT symbol, date, close_price, close_price, false FROM before),
       seen AS (SELECT *, lag(close_price) OVER (PARTITION BY symbol ORDER BY date) AS p FROM rows)
-      SELECT symbol, date FROM seen WHERE fresh AND symbol NOT IN (SELECT symbol FROM seen WHERE fresh AND (abs((close_price - p) / p) > 1.5 OR low < 0.01))""",
+      SELECT symbol, date FROM seen WHERE fresh AND symbol NOT IN (SELECT symbol FROM seen WHERE fresh AND (abs((close_price - p) / p) > 400 OR low < 0.01))""",
     "quote_tickers": f"WITH {UNIVERSE} SELECT symbol, CASE WHEN symbol < 'Brand#3' THEN symbol || '.NS' ELSE symbol END AS ticker, CAST(epoch(TIMESTAMP '{SPAN[0]} 00:00:00') AS BIGINT) AS first_second, CAST(epoch(TIMESTAMP '{SPAN[1]} 23:59:59') AS BIGINT) AS last_second FROM uni",
     "latest_quotes": "SELECT * FROM (VALUES ('AAA', DATE '2024-01-04', 4.0::DOUBLE, 4.5::DOUBLE, 3.5::DOUBLE, 4.25::DOUBLE, 4.25::DOUBLE, 2147483647::INTEGER), ('BBB', DATE '2024-01-03', 3.0, 3.5, 2.5, 3.25, 3.25, NULL)) t(symbol, date, open_price, high_price, low_price, close_price, adj_close, volume)",
     "closures": "SELECT CAST(date AS DATE) AS date, reason, TIMESTAMP '2024-01-02 08:00:00' AS created_at FROM (VALUES ('2024-01-03', 'storm'), ('2024-01-04', 'the owner''s feast')) t(date, reason)",

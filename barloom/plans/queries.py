@@ -290,7 +290,7 @@ QUERIES = {
     "ingest_gaps": lambda s, d: quality.gaps(_brand(s, d), universe(s, d), "2002-01-31"),
     "fresh_bars": lambda s, d: quality.fresh_rows(_brand(s, d), B.history(_brand(s, d), end=AS_OF)).select("symbol", "date"),
     "dq_price_spike": _dq,
-    "dq_accepted": lambda s, d: quality.accepted(B.history(_brand(s, d), start="1999-07-01"), B.history(_brand(s, d), end=AS_OF), max_spike=1.5).select("symbol", "date"),
+    "dq_accepted": lambda s, d: quality.accepted(B.history(_brand(s, d), start="1999-07-01"), B.history(_brand(s, d), end=AS_OF), max_spike=400.0).select("symbol", "date"),
     "quote_tickers": _tickers,
     "latest_quotes": lambda s, d: quotes.latest_of(quotes.parse(_payloads(s)), "2024-01-05"),
     "closures": _closures,
