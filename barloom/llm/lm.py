@@ -112,8 +112,8 @@ class Lookup:
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         top = (h >> self.shift).astype(np.int64)
-        at, stop = self.start[top], self.start[top + 1]
-        out = np.where((at < stop) & (self.keys[at] == h), at, -1)
+        at, stop = self.start.take(top), self.start.take(top + 1)
+        out = np.where((at < stop) & (self.keys.take(at) == h), at, -1)
         left = np.flatnonzero((out < 0) & (at + 1 < stop))
         step = 1
         while len(left):
@@ -189,12 +189,17 @@ class Trainer:
     def _step(self, name: str, rows: np.ndarray, grads: np.ndarray):
         # small numbers are sorted by their digits, much faster
         order = np.argsort(rows.astype(np.uint16) if len(self.p[name]) <= 1 << 16 else rows, kind="stable")
-        rows = rows[order]
+        rows = rows.take(order)
         fresh = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        g, at = np.add.reduceat(grads[order], fresh, axis=0), rows[fresh]
-        sums = self.sums[name][at] + g * g
+        g, at = np.add.reduceat(grads.take(order, axis=0), fresh, axis=0), rows.take(fresh)
+        sums = self.sums[name].take(at, axis=0)
+        sums += g * g
         self.sums[name][at] = sums
-        self.p[name][at] += self.rate * g / np.sqrt(sums + np.float32(FIRST_SUM))
+        sums += np.float32(FIRST_SUM)
+        g *= np.float32(self.rate)
+        g /= np.sqrt(sums, out=sums)
+        g += self.p[name].take(at, axis=0)
+        self.p[name][at] = g
         self.steps[name][at] += 1
 
     def _draw(self, low, high):
@@ -204,12 +209,14 @@ class Trainer:
     def learn(self, w, h1, h2):
         dim, k = DIM, WORD_NOISE
         of = w // self.width
-        made = self.p["r1"][h1] + _STARTS[0][h1 & 4095] + self.p["r2"][h2] + _STARTS[1][h2 & 4095]
+        made = self.p["r1"].take(h1, axis=0)
+        for more, at in ((_STARTS[0], h1 & 4095), (self.p["r2"], h2), (_STARTS[1], h2 & 4095)):
+            made += more.take(at, axis=0)
         scale = np.float32(1 / len(w) ** 0.5)
         # the classes against classes that the batch shares
         noise = self._draw(np.zeros(self.noise), np.full(self.noise, self.cumulated[-1])) // self.width
         q = self.p["classes"] + self.first
-        qw, qn = q[of], q[noise]
+        qw, qn = q.take(of, axis=0), q.take(noise, axis=0)
         real = np.einsum("ij,ij->i", made, qw[:, :dim]) + qw[:, dim] - self.log_noise[of]
         fake = made @ qn[:, :dim].T + qn[:, dim] - self.log_noise[noise]
         g = 1 / (1 + np.exp(np.clip(real, -30, 30)))
@@ -219,12 +226,12 @@ class Trainer:
         self._step("classes", np.concatenate([of, noise]), (grads * scale).astype(np.float32))
         # each word against words of its class
         tries = np.column_stack([w, np.minimum(np.maximum(self._draw(np.repeat(self.ends[of][:, None], k, 1), np.repeat(self.ends[of + 1][:, None], k, 1)), of[:, None] * self.width), (of[:, None] + 1) * self.width - 1)])
-        qt = self.p["q"][tries]
+        qt = self.p["q"].take(tries, axis=0)
         # the start is the noise's own distribution, so it falls out of the odds
-        odds = np.matmul(qt[:, :, :dim], made[:, :, None])[:, :, 0] + qt[:, :, dim] - np.float32(np.log(k))
+        odds = np.einsum("bkd,bd->bk", qt[:, :, :dim], made) + qt[:, :, dim] - np.float32(np.log(k))
         g = -1 / (1 + np.exp(np.clip(-odds, -30, 30)))
         g[:, 0] += 1
-        d_made += np.matmul(g[:, None, :], qt[:, :, :dim])[:, 0]
+        d_made += np.einsum("bk,bkd->bd", g, qt[:, :, :dim])
         grads = np.concatenate([g[:, :, None] * made[:, None, :], g[:, :, None]], axis=2).reshape(-1, dim + 1)
         self._step("q", tries.ravel(), (grads * scale).astype(np.float32))
         d_made = (d_made * scale).astype(np.float32)
@@ -370,10 +377,10 @@ def log_probabilities(p: dict, w: np.ndarray, one: np.ndarray, two: np.ndarray,
     for a in range(0, len(w), most):
         words = w[a : a + most]
         made = np.ones((len(words), p["r1"].shape[1] + 1), np.float32)
-        made[:, :-1] = p["r1"][one[a : a + most]]
-        made[:, :-1] += p["r2"][two[a : a + most]]
+        made[:, :-1] = p["r1"].take(one[a : a + most], axis=0)
+        made[:, :-1] += p["r2"].take(two[a : a + most], axis=0)
         of = words // p["width"]
-        logs = np.einsum("ij,ij->i", made, p["classes"][of]) - _log_sums(made, p["classes"])
+        logs = np.einsum("ij,ij->i", made, p["classes"].take(of, axis=0)) - _log_sums(made, p["classes"])
         order = np.argsort(of, kind="stable")
         cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(of[order]) != 0])), len(order))
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
@@ -381,8 +388,8 @@ def log_probabilities(p: dict, w: np.ndarray, one: np.ndarray, two: np.ndarray,
             low = int(of[at[0]]) * p["width"]
             q = p["q"][low : low + p["width"]].astype(np.float32)
             q[:, -1] += p["bias"][low : low + p["width"]]
-            h = made[at]
-            logs[at] += np.einsum("ij,ij->i", h, q[words[at] - low]) - _log_sums(h, q)
+            h = made.take(at, axis=0)
+            logs[at] += np.einsum("ij,ij->i", h, q.take(words[at] - low, axis=0)) - _log_sums(h, q)
         out[a : a + most] = logs
     return out
 
