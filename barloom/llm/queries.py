@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, license, lm, minhash, packing, secrets, substring, topk, toxicity, urlfilter
+from . import bpe, decontam, license, lm, minhash, packing, phrases, secrets, substring, topk, toxicity, urlfilter, whiten
 from .common import crc_mod, table
 
 
@@ -59,5 +59,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (crc_mod(F.col("doc_id"), toxicity.FOLDS) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_secret_scan, op3_decontamination, op4_exact_top_k, op5_language_model, op6_url_filter, op7_substring_dedup, op8_best_fit_packing, op9_license_scan, op10_toxicity)}
-ORACLES = {"op2_secret_scan": secrets.oracle(), "op3_decontamination": decontam.oracle(), "op4_exact_top_k": topk.ORACLE, "op7_substring_dedup": substring.oracle()}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whiten.apply(vectors, whiten.fit(vectors)).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def word_vocabulary() -> str:
+    """Path of the public vocabulary of words."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = word_vocabulary()
+    read = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_secret_scan, op3_decontamination, op4_exact_top_k, op5_language_model, op6_url_filter, op7_substring_dedup, op8_best_fit_packing, op9_license_scan, op10_toxicity, op11_embedding_whitening, op12_bpe_tokens, op13_phrases)}
+ORACLES = {"op2_secret_scan": secrets.oracle(), "op3_decontamination": decontam.oracle(), "op4_exact_top_k": topk.ORACLE, "op7_substring_dedup": substring.oracle(), "op13_phrases": phrases.oracle()}
