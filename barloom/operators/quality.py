@@ -19,8 +19,26 @@ def gaps(bars: DataFrame, symbols: DataFrame, end: str) -> DataFrame:
     return symbols.select("symbol").join(latest, "symbol", "left").withColumn("days", F.datediff(F.lit(end).cast("date"), F.col("latest_date")))
 
 
+def missing_days(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+    """symbol, first_missing, last_missing, days: the runs of trading days between two bars of a symbol on which it has none.
+
+    Gaps and islands by the calendar's index: the trading days between two bars
+    are a difference of two numbers, so no symbol is spread into days.  Days
+    before a symbol's first bar and after its last aren't missing; bars outside
+    the calendar, without a date or a symbol are passed over.
+    """
+    days = calendar.select(F.col("date").alias("_date"), "le", "lt")
+    placed = bars.select("symbol", "date").filter("symbol IS NOT NULL").join(F.broadcast(days), F.col("date") == F.col("_date"))  # a calendar's years are bounded
+    following = F.lead("lt").over(Window.partitionBy("symbol").orderBy("date"))
+    gaps_ = placed.withColumn("_to", following).filter(F.col("_to") > F.col("le")).select("symbol", (F.col("le") + 1).alias("_first"), F.col("_to").alias("_last"))
+    trading = calendar.filter("is_trading")
+    name = lambda index, out: F.broadcast(trading.select(F.col("le").alias(index), F.col("date").alias(out)))
+    named = gaps_.join(name("_first", "first_missing"), "_first").join(name("_last", "last_missing"), "_last")
+    return named.select("symbol", "first_missing", "last_missing", (F.col("_last") - F.col("_first") + 1).cast("int").alias("days"))
+
+
 def flags(bars: DataFrame, max_spike: float = MAX_SPIKE, min_price: float = MIN_PRICE) -> DataFrame:
-    """Bars with flags: nulls, a jump of the close against the bar before, a price below the least, no volume, and days since the bar before."""
+    """Bars with flags: nulls, a jump of the close against the bar before (none after a close of 0), a price below the least, no volume, and days since the bar before."""
     order = Window.partitionBy("symbol").orderBy("date")
     before = F.lag("close_price").over(order)
     prices = [F.col(c) for c in ("open_price", "high_price", "low_price", "close_price", "adj_close")]

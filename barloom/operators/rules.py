@@ -126,14 +126,15 @@ def evaluate(frame: DataFrame, rules: list, scanner_version: str = "1.0", keep:
     return hits.select("symbol", F.col("date").alias("scan_date"), "r.rule_name", "r.confidence", F.lit(scanner_version).alias("scanner_version"), "r.rule_version", "r.parameter_snapshot", "r.metadata", *keep)
 
 
-def evaluate_bars(frame: DataFrame, rule: BarsRule, scanner_version: str = "1.0") -> DataFrame:
-    """Signals of a rule in plain Python; one symbol's bars, some thousands, are in memory at a time."""
+def one_symbol(rule: BarsRule, scanner_version: str, bars: pd.DataFrame) -> pd.DataFrame:
+    """The signals of one symbol's bars in the shape of the signals table."""
+    found = rule.signals(bars.sort_values("date"))
+    return pd.DataFrame({
+        "symbol": found["symbol"], "scan_date": found["date"], "rule_name": rule.name, "confidence": found["confidence"].astype(float),
+        "scanner_version": scanner_version, "rule_version": rule.version, "parameter_snapshot": rule.snapshot(), "metadata": found["metadata"],
+    })
 
-    def one_symbol(bars: pd.DataFrame) -> pd.DataFrame:
-        found = rule.signals(bars.sort_values("date"))
-        return pd.DataFrame({
-            "symbol": found["symbol"], "scan_date": found["date"], "rule_name": rule.name, "confidence": found["confidence"].astype(float),
-            "scanner_version": scanner_version, "rule_version": rule.version, "parameter_snapshot": rule.snapshot(), "metadata": found["metadata"],
-        })
 
-    return frame.groupBy("symbol").applyInPandas(one_symbol, SIGNALS)
+def evaluate_bars(frame: DataFrame, rule: BarsRule, scanner_version: str = "1.0") -> DataFrame:
+    """Signals of a rule in plain Python; one symbol's bars, some thousands, are in memory at a time.  A rule that raises ends the job; ``isolation`` has one that goes on."""
+    return frame.groupBy("symbol").applyInPandas(lambda bars: one_symbol(rule, scanner_version, bars), SIGNALS)

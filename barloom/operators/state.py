@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import STATES
+from ..storage import work_folder
 from .calendar import add_trading_days
 from .outcomes import HORIZONS
 from .rules import BreakoutRule
-from .scan import backtest_as_of, bars_of_active
+from .scan import bars_of_active, next_bar, spread_over_days, with_rules
 
 PENDING, IN_PROGRESS, SUCCESS, NO_DATA, FAILED, SKIPPED = "PENDING", "IN_PROGRESS", "SUCCESS", "SUCCESS_NO_DATA", "FAILED", "SKIPPED"
 #: Most cycles of one advance.
@@ -115,31 +116,39 @@ def timed(cycles: DataFrame) -> tuple[list, int]:
 def simulate(bars: DataFrame, universe: DataFrame, calendar: DataFrame, base: str, days: int, rules: list | None = None, horizons: tuple = HORIZONS) -> DataFrame:
     """One row per simulated trading day: bars of the day, symbols scanned, signals and outcomes.
 
-    All cycles are one plan.  A day without bars is not scanned; an outcome is
-    found on the day of its horizon, if that day has a bar.
+    The bars are gone through once, for their indicators; what the cycles need
+    of each is written, and all cycles are one plan over that.  A day without
+    bars is not scanned; an outcome is found on the day of its horizon, if that
+    day has a bar.
     """
-    rules = rules or [BreakoutRule()]
-    own = bars_of_active(bars, universe)
+    spark, rules = bars.sparkSession, rules or [BreakoutRule()]
+    begin, last = calendar.agg(F.min("date"), F.max("date")).first()
+    frame, rules = with_rules(bars_of_active(bars, universe), rules)
+    names = F.filter(F.array(*[F.when(r.matches(), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+    narrow = frame.select("symbol", "date", "close_price", (F.col("n") == 1).alias("first"), names.alias("rules"), next_bar(str(last)).alias("_next"))
+    folder = work_folder(spark, "cycles")
+    narrow.write.parquet(folder)
+    own = spark.read.schema(narrow.schema).parquet(folder)
     start = calendar.filter(F.col("date") == F.lit(base).cast("date")).select(F.col("le").alias("_base"))
     cycles = calendar.filter("is_trading").join(F.broadcast(start), (F.col("le") > F.col("_base")) & (F.col("le") <= F.col("_base") + checked_cycles(days)))
     cycles = cycles.select((F.col("le") - F.col("_base")).cast("int").alias("cycle"), F.col("date").alias("trading_date"))
-    counts = own.groupBy(F.col("date").alias("trading_date")).agg(F.count(F.lit(1)).alias("ingested"))
-    first = own.groupBy("symbol").agg(F.min("date").alias("_first")).groupBy("_first").agg(F.count(F.lit(1)).alias("_new"))
-    # a running sum over the calendar's days; what began before it counts from its first day on
-    begin, last = calendar.agg(F.min("date"), F.max("date")).first()
-    new = first.groupBy(F.greatest("_first", F.lit(begin)).alias("date")).agg(F.sum("_new").alias("_new"))
+    # bars of a day, and symbols that have begun by then: a running sum over the calendar's days, what began before it on its first one
+    daily = own.groupBy("date").agg(F.count(F.lit(1)).alias("ingested"), F.count(F.when(F.col("first"), 1)).alias("_new"))
+    by_day = daily.groupBy(F.greatest("date", F.lit(begin)).alias("date")).agg(F.sum(F.when(F.col("date") >= F.lit(begin), F.col("ingested"))).alias("ingested"), F.sum("_new").alias("_new"))
     so_far = F.sum(F.coalesce("_new", F.lit(0))).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
-    known = calendar.select("date").join(new, "date", "left").select(F.col("date").alias("trading_date"), so_far.alias("known"))
-    fired = backtest_as_of(own, calendar, str(last), rules).join(cycles.select(F.col("trading_date").alias("scan_date")), "scan_date", "left_semi")
-    fired = fired.join(counts.select(F.col("trading_date").alias("scan_date")), "scan_date", "left_semi").select("symbol", "scan_date", "rule_name")
+    counts = calendar.select("date").join(by_day, "date", "left").select(F.col("date").alias("trading_date"), "ingested", so_far.alias("known"))
+    open_days = cycles.join(counts.filter("ingested > 0"), "trading_date", "left_semi").select(F.col("trading_date").alias("scan_date"))
+    hits = own.filter(F.size("rules") > 0).select("symbol", F.col("date").alias("scan_date"), "_next", F.explode("rules").alias("rule_name"))
+    fired = spread_over_days(hits, calendar).join(open_days, "scan_date", "left_semi")
     signals = fired.groupBy(F.col("scan_date").alias("trading_date")).agg(F.count(F.lit(1)).alias("signals"))
-    spread = add_trading_days(fired.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))), calendar, "scan_date", F.col("horizon"), "trading_date")
+    # an outcome needs a close on both of its days, so both are looked up at once
+    dated = add_trading_days(fired.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))), calendar, "scan_date", F.col("horizon"), "trading_date").filter("trading_date IS NOT NULL")
+    ends = dated.withColumn("_id", F.struct("symbol", "scan_date", "rule_name", "horizon")).select("_id", "symbol", "trading_date", F.explode(F.array(F.struct(F.col("scan_date").alias("on"), F.lit(True).alias("entry")), F.struct(F.col("trading_date").alias("on"), F.lit(False).alias("entry")))).alias("e"))
     closes = own.filter("close_price IS NOT NULL").select("symbol", F.col("date").alias("_on"), F.col("close_price").alias("_close"))
-    entered = spread.join(closes.withColumnRenamed("_on", "scan_date"), ["symbol", "scan_date"]).filter("_close <> 0").drop("_close")
-    left = entered.join(closes.select("symbol", F.col("_on").alias("trading_date")), ["symbol", "trading_date"])
-    outcomes = left.groupBy("trading_date").agg(F.count(F.lit(1)).alias("outcomes"))
+    met = ends.select("_id", "symbol", "trading_date", F.col("e.on").alias("_on"), F.col("e.entry").alias("entry")).join(closes, ["symbol", "_on"]).filter("NOT entry OR _close <> 0")
+    outcomes = met.groupBy("_id", "trading_date").agg(F.count(F.lit(1)).alias("_ends")).filter("_ends = 2").groupBy("trading_date").agg(F.count(F.lit(1)).alias("outcomes"))
     wide = cycles
-    for part in (counts, known, signals, outcomes):
+    for part in (counts, signals, outcomes):
         wide = wide.join(part, "trading_date", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return wide.select("cycle", "trading_date", zero("ingested").alias("ingested"), zero(F.when(F.col("ingested") > 0, F.col("known"))).alias("scanned"), zero("signals").alias("signals"), zero("outcomes").alias("outcomes"))

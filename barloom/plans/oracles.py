@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from ..operators.calendar import HOLIDAYS
 from .queries import ADDS, AS_OF, BASE, CALENDAR, CYCLES, EVENTS_CALENDAR, PAIRS, PAYLOADS, SCAN_DATE, SIGNAL_DATE, SPAN, STATUSES, SYMBOL, WIDE_GAP
 
+# Exchange holidays, written out apart from the library's.
+HOLIDAYS = (
+    "2023-01-26", "2023-03-07", "2023-03-30", "2023-04-04", "2023-04-07", "2023-04-14", "2023-05-01", "2023-06-28", "2023-08-15", "2023-09-19", "2023-10-02", "2023-10-24", "2023-11-14", "2023-11-27", "2023-12-25",
+    "2024-01-26", "2024-03-08", "2024-03-25", "2024-03-29", "2024-04-11", "2024-04-17", "2024-05-01", "2024-06-17", "2024-07-17", "2024-08-15", "2024-10-02", "2024-11-01", "2024-11-15", "2024-12-25",
+    "2025-02-26", "2025-03-14", "2025-03-31", "2025-04-10", "2025-04-14", "2025-04-18", "2025-05-01", "2025-08-15", "2025-08-27", "2025-10-02", "2025-10-21", "2025-10-22", "2025-11-05", "2025-12-25",
+    "2026-01-26", "2026-03-03", "2026-03-26", "2026-03-31", "2026-04-03", "2026-04-14", "2026-05-01", "2026-06-26", "2026-10-02", "2026-10-12", "2026-11-09", "2026-11-27", "2026-12-25",
+)
 ITEM_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 BRAND = f"""brand AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS date, first(px ORDER BY {ITEM_ORDER}) AS open_price, max(px) AS high_price, min(px) AS low_price,
     last(px ORDER BY {ITEM_ORDER}) AS close_price, last(px ORDER BY {ITEM_ORDER}) AS adj_close, CAST(sum(l_quantity) AS INTEGER) AS volume
@@ -161,4 +167,24 @@ ORACLES = {
       SELECT symbol, date, open_price, high_price, low_price, close_price, coalesce(adj, close_price) AS adj_close, CASE WHEN vn > i THEN CAST(least(greatest(coalesce(vol, 0), 0), 2147483647) AS INTEGER) END AS volume FROM v WHERE close_price IS NOT NULL AND close_price <> 0""",
     "quote_status": f"WITH {PAYLOAD_ROWS} SELECT symbol, CASE WHEN coalesce(json_array_length(j, '$.chart.result[0].timestamp'), 0) > 0 THEN 'OK' ELSE 'SYMBOL_NOT_FOUND' END AS status FROM p",
 }
+ORACLES["quotes_source"] = f"{B} SELECT * FROM brand WHERE date BETWEEN DATE '{SPAN[0]}' AND DATE '{SPAN[1]}'"
+ORACLES["atomic_append"] = ORACLES["bars_brand"]
+ETYPE = f"etype AS ({ORACLES['bars_etype']})"
+ORACLES["asof_events"] = f"""WITH {ETYPE} SELECT e.event_id, e.event_type AS symbol, b.known_at, b.close_price FROM events e
+  ASOF LEFT JOIN (SELECT symbol, close_price, date + INTERVAL 1 HOUR AS known_at FROM etype) b ON e.event_type = b.symbol AND e.ts >= b.known_at"""
+ORACLES["indicators_sliced"] = f"WITH {ETYPE}, {frame('etype')} SELECT symbol, date, n, {R6('rsi', 'sma20', 'sma50', 'sma200', 'atr14', 'recent_high')}, avg_volume20, above_sma20, above_sma50, above_sma200 FROM ind"
+ORACLES["scan_incremental"] = f"SELECT symbol, date, n, volume, rsi, sma20, sma50, sma200, avg_volume20, recent_high, matched FROM ({ORACLES['scan_eval']})"
+ORACLES["isolated_signals"] = f"""{LENIENT} SELECT symbol, date AS scan_date, 'Plain Breakout' AS rule_name, CAST(NULL AS VARCHAR) AS error FROM ind WHERE matched AND symbol <> 'Brand#22'
+  UNION ALL SELECT symbol, max(date), 'Plain Breakout', 'ValueError' FROM brand WHERE symbol = 'Brand#22' GROUP BY symbol"""
+ORACLES["scan_run"] = f"SELECT run_date, CAST(stocks_scanned AS BIGINT) AS stocks_scanned, CAST(stocks_flagged AS BIGINT) AS stocks_flagged, CAST(stocks_flagged AS BIGINT) AS signals_stored, status, true AS timed FROM ({ORACLES['run_summary']})"
+ORACLES["trailing_stop"] = f"""WITH RECURSIVE {BRAND}, s AS (SELECT symbol, date, adj_close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM brand),
+  r(symbol, i, date, peak, action, value) AS (SELECT symbol, i, date, adj_close, 'enter', adj_close FROM s WHERE i = 1
+    UNION ALL SELECT s.symbol, s.i, s.date, CASE WHEN r.peak IS NULL THEN s.adj_close WHEN s.adj_close < greatest(r.peak, s.adj_close) * 5e-1 THEN NULL ELSE greatest(r.peak, s.adj_close) END,
+      CASE WHEN r.peak IS NULL THEN 'enter' WHEN s.adj_close < greatest(r.peak, s.adj_close) * 5e-1 THEN 'leave' END,
+      CASE WHEN r.peak IS NULL THEN s.adj_close WHEN s.adj_close < greatest(r.peak, s.adj_close) * 5e-1 THEN greatest(r.peak, s.adj_close) END FROM r JOIN s ON s.symbol = r.symbol AND s.i = r.i + 1)
+  SELECT symbol, date, action, value FROM r WHERE action IS NOT NULL"""
+ORACLES["missing_trading_days"] = f"""WITH {BRAND}, {calendar(*CALENDAR)}, spans AS (SELECT symbol, date, lead(date) OVER (PARTITION BY symbol ORDER BY date) AS nxt FROM brand WHERE date BETWEEN DATE '{CALENDAR[0]}' AND DATE '{CALENDAR[1]}')
+  SELECT symbol, min(c.date) AS first_missing, max(c.date) AS last_missing, CAST(count(*) AS INTEGER) AS days FROM spans JOIN cal c ON c.is_trading AND c.date > spans.date AND c.date < spans.nxt GROUP BY symbol, spans.date"""
+ORACLES["bucketed_bundle"] = ORACLES["indicator_bundle"]
+ORACLES["bucketed_latest"] = ORACLES["latest_bar"]
 ORACLES["batch_total"] = "SELECT count(*) AS cycles, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("ingested", "scanned", "signals", "outcomes")) + f" FROM ({ORACLES['simulate_cycles']})"

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
+from ..operators import asof, isolation, outcomes, quality, scan, slices, state, steps, summary
 from ..operators import bars as B
 from ..operators import calendar as cal
-from ..operators import outcomes, quality, scan, state
 from ..operators.rules import BreakoutParameters, BreakoutRule
-from ..schemas import CLOSURES
-from ..sources import quotes, seed
+from ..schemas import BARS, CLOSURES, RUN_FIGURES, SIGNALS
+from ..sources import bucketed, manifest, payload_source, quotes, seed
+from ..sources.sink import KEYS
+from ..storage import work_folder
 
 #: The date of scans, a symbol, and a span within the shipped dates.
 AS_OF, SYMBOL, SPAN = "1999-06-30", "Brand#12", ("1997-01-01", "1997-12-31")
@@ -233,7 +238,98 @@ def _short(spark, d):
     return fired.select("symbol", "scan_date", "rule_name", F.round("confidence", 6).alias("confidence"))
 
 
+def _quotes_source(spark, d):
+    """Payload files of all bars, read again as a source; a year's filter chooses the files."""
+    path = work_folder(spark, "payloads")
+    payload_source.write_payloads(_brand(spark, d), path)
+    payload_source.register(spark)
+    bars = spark.read.format("quotes").option("path", path).load()
+    return bars.filter(F.col("date").between(*[F.lit(x).cast("date") for x in SPAN]))
+
+
+def _atomic_append(spark, d):
+    """What two writers with overlapping bars leave that append at once."""
+    path, bars = work_folder(spark, "prices"), _brand(spark, d).select(*BARS.names)
+    parts = [B.history(bars, end="1999-12-31"), B.history(bars, start="1996-01-01")]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda part: manifest.Table(spark, path, KEYS["stock_prices"], BARS).append(part), parts))
+    return manifest.Table(spark, path, KEYS["stock_prices"], BARS).read()
+
+
+def _asof_events(spark, d):
+    """Each event with the latest bar of its type that was over by then."""
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").cast("timestamp_ntz").alias("ts"))
+    bars = B.bars_etype(spark, d).select("symbol", (F.col("date") + F.expr("INTERVAL 1 HOUR")).alias("known_at"), "close_price")
+    return asof.as_of_join(events, bars, ["symbol"], "ts", "known_at").select("event_id", "symbol", "known_at", "close_price")
+
+
+def _sliced(spark, d):
+    """Five long histories in slices of about 300 bars."""
+    frame = slices.with_indicators(B.bars_etype(spark, d), stretch=2 * 86_400, size=300)
+    return frame.select("symbol", "date", "n", *_rounded("rsi", "sma20", "sma50", "sma200", "atr14", "recent_high"), "avg_volume20", "above_sma20", "above_sma50", "above_sma200")
+
+
+def _incremental(spark, d):
+    """A scan that reads a summary: one of the bars up to a year before, with the year's months added one after another."""
+    bars, rule = B.history(_brand(spark, d), end=AS_OF), wide_rule()
+    held = summary.summarise(B.history(bars, end="1998-06-30"))
+    for first, last in (("1998-07-01", "1998-12-31"), ("1998-12-01", "1999-04-30"), ("1999-05-01", AS_OF)):
+        held = summary.update(held, B.history(bars, start=first, end=last))
+    frame, rules = summary.last_bars(held, [rule])
+    return frame.select("symbol", "date", "n", "volume", *_rounded("rsi", "sma20", "sma50", "sma200"), "avg_volume20", *_rounded("recent_high"), rules[0].matches().alias("matched"))
+
+
+class PlainBreakout:
+    """The lenient rule in plain Python; it fails for one symbol."""
+
+    name, version = "Plain Breakout", "1.0"
+    fails = "Brand#22"
+
+    def snapshot(self) -> str:
+        return "{}"
+
+    def signals(self, bars: pd.DataFrame) -> pd.DataFrame:
+        if (bars["symbol"] == self.fails).any():
+            raise ValueError("these bars can't be read")
+        close, high = bars["adj_close"], bars["recent_high"]
+        hit = (bars["n"] >= 21) & (close > high) & ((close - high) / high < WIDE_GAP) & (bars["volume"] > bars["avg_volume20"].astype(float) * 0.5) & (bars["rsi"] > 30) & (close > bars["sma20"])
+        return bars[hit].assign(confidence=0.5, metadata=None)
+
+
+def _isolated(spark, d):
+    """Signals of a rule that fails for one symbol, and that symbol's error."""
+    return isolation.evaluate_each(_frame(spark, d), PlainBreakout()).select("symbol", "scan_date", "rule_name", "error")
+
+
+def _scan_run(spark, d):
+    """The row of a run that has stored its signals."""
+    path = work_folder(spark, "run")
+    signals, runs = manifest.Table(spark, f"{path}/signals", KEYS["scan_results"], SIGNALS), manifest.Table(spark, f"{path}/runs", ["run_id", "run_date"], RUN_FIGURES)
+    scan.run(_brand(spark, d), universe(spark, d), SCAN_DATE, signals, runs, [lenient_rule()])
+    return runs.read().select("run_date", "stocks_scanned", "stocks_flagged", "signals_stored", "status", (F.col("duration_ms") > 0).alias("timed"))
+
+
+def _trailing_stop(spark, d):
+    steps.register(spark, steps.TrailingStop(0.5))
+    return spark.sql("SELECT * FROM trailing_stop(TABLE({bars}) PARTITION BY symbol ORDER BY date)", bars=_brand(spark, d).select("symbol", "date", "adj_close"))
+
+
+def _bucketed(spark, d):
+    return bucketed.temporary_bars(_brand(spark, d), 8)
+
+
 QUERIES = {
+    "quotes_source": _quotes_source,
+    "atomic_append": _atomic_append,
+    "asof_events": _asof_events,
+    "indicators_sliced": _sliced,
+    "scan_incremental": _incremental,
+    "isolated_signals": _isolated,
+    "scan_run": _scan_run,
+    "trailing_stop": _trailing_stop,
+    "missing_trading_days": lambda s, d: quality.missing_days(_brand(s, d), _trading(s)),
+    "bucketed_bundle": lambda s, d: ind.with_indicators(_bucketed(s, d)).select("symbol", "date", *_rounded("rsi", "sma20", "sma50", "sma200"), "avg_volume20", "above_sma20", "above_sma50", "above_sma200"),
+    "bucketed_latest": lambda s, d: bucketed.latest(_bucketed(s, d)),
     "bars_brand": _brand,
     "bars_user": B.bars_user,
     "bars_etype": B.bars_etype,

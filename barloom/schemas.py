@@ -3,7 +3,7 @@
 Keys are natural: surrogate numbers aren't reproducible in a distributed write.
 """
 
-from pyspark.sql.types import BooleanType, DateType, DoubleType, IntegerType, StringType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import BooleanType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 
 def _table(**columns) -> StructType:
@@ -24,6 +24,9 @@ OUTCOMES = _table(
     exit_price=DoubleType(), forward_return=DoubleType(), computed_at=TimestampNTZType(),
 )
 RUNS = _table(run_date=DateType(), stocks_scanned=IntegerType(), stocks_flagged=IntegerType(), status=StringType(), error_message=StringType())
+RUN_FIGURES = _table(
+    run_id=StringType(), run_date=DateType(), stocks_scanned=LongType(), stocks_flagged=LongType(), signals_stored=LongType(), status=StringType(), error_message=StringType(), duration_ms=LongType(),
+)
 STATES = _table(
     trading_date=DateType(), ingestion_status=StringType(), scan_status=StringType(), data_source_status=StringType(), execution_mode=StringType(),
     last_ingestion_time=TimestampNTZType(), last_scan_time=TimestampNTZType(), stocks_ingested=IntegerType(), signals_generated=IntegerType(), error_message=StringType(),
