@@ -29,7 +29,7 @@ from .common import cut, text_of
 from .words import text_chunks
 
 #: Most words that are sent to the tasks, and the most bytes of each.
-COMMON, COMMON_BYTES = 1 << 19, 64
+COMMON, COMMON_BYTES = 1 << 18, 64
 #: Distinct words that a task counts before it hands them on, and words of documents that are put together at once.
 COUNTED, TOGETHER = 1 << 19, 1 << 20
 #: Parts of texts whose words a worker keeps, and bytes of texts that are looked at together.
@@ -194,7 +194,9 @@ class Numbers(dict):
         ends = np.concatenate([[0], part_ends])[np.cumsum(lists.value_lengths().to_numpy())]
         strange = np.flatnonzero(numbers < 0)
         text = np.searchsorted(ends, strange, "right")
-        names, word = np.unique([self.others[-1 - n] for n in numbers[strange].tolist()], return_inverse=True) if len(strange) else (np.zeros(0, str), np.zeros(0, np.int64))
+        known: dict[str, int] = {}  # several parts may have one word
+        word = np.array([known.setdefault(self.others[-1 - n], len(known)) for n in numbers[strange].tolist()], np.int64)
+        names = list(known)
         _, first, again = np.unique(text * max(1, len(names)) + word, return_index=True, return_inverse=True)
         order = np.argsort(first)
         first = first[order]
@@ -203,14 +205,14 @@ class Numbers(dict):
         ranked = np.empty(len(first), np.int64)
         ranked[order] = place
         numbers[strange] = -1 - ranked[again]
-        return numbers.astype(np.int32), ends, text[first], place, [str(n) for n in names[word[first]]]
+        return numbers.astype(np.int32), ends, text[first], place, [names[w] for w in word[first].tolist()]
 
 
 def _numbers(path: str, common: Broadcast) -> Numbers:
     """One for each worker; the last broadcast's."""
     words, _, _, name = common.value
     if _HELD.get("name") != name:
-        _HELD["name"], _HELD["numbers"] = name, Numbers(path, words)
+        _HELD["name"], _HELD["numbers"] = name, Numbers(path, words.split("\n") if words else [])
     return _HELD["numbers"]
 
 
@@ -292,9 +294,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
     short = F.octet_length("word") <= COMMON_BYTES
     least = _least_count(table.filter(short), most)
     # at most ``most`` rows of a bounded length
-    held = table.filter(short & (F.col("n") >= least)).orderBy(F.desc("n")).select("word", "ids").collect()
-    common = spark.sparkContext.broadcast(([r["word"] for r in held], np.array([len(r["ids"]) for r in held], np.int64), np.array([i for r in held for i in r["ids"]], np.int32), uuid.uuid4().hex))
-    del held
+    held = table.filter(short & (F.col("n") >= least)).select("n", "word", "ids").toArrow().combine_chunks()
+    held = held.take(pa.array(np.argsort(-held.column("n").to_numpy(), kind="stable")))
+    ids = held.column("ids")
+    lengths = pc.list_value_length(ids).to_numpy().astype(np.int64) if len(held) else np.zeros(0, np.int64)
+    flat = pc.list_flatten(ids).to_numpy() if len(held) else np.zeros(0, np.int32)
+    # words hold no spaces
+    common = spark.sparkContext.broadcast(("\n".join(held.column("word").to_pylist()), lengths, flat, uuid.uuid4().hex))
+    del held, ids, lengths, flat
 
     def uncommon(batches):
         numbers = _numbers(path, common)
