@@ -116,35 +116,35 @@ def _seed(name: str) -> np.ndarray:
     return word_hashes(data, np.zeros(1, np.int64), np.array([len(data)]), _POWERS)
 
 
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The words' hashes, a run of words at a time."""
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), 1 << 20)), len(starts)))
+    return np.concatenate([np.zeros(0, np.uint64), *[word_hashes(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i], _POWERS) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]])
+
+
 class Grams:
-    """All n-grams of a chunk: 64-bit hashes, by length and then by place."""
+    """The n-grams of a chunk, one length at a time: 64-bit hashes that begin with two bits of the length."""
 
     def __init__(self, lang: str, words: int, body: bytes):
-        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
-        separates = (self.data == 32) | (self.data == 10)
-        self.ends = np.flatnonzero(separates)
+        self.data, self.words = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8), words
+        self.ends = np.flatnonzero((self.data == 32) | (self.data == 10))
         self.starts = np.concatenate([[0], self.ends[:-1] + 1])
-        seed = _seed(lang)
-        h = word_hashes(self.data, self.starts, self.ends, _POWERS)
-        piece = np.concatenate([[0], np.cumsum(self.data[self.ends] == 10)])
-        hashes, self.firsts = [], []
-        for k in range(1, LONGEST + 1):
-            n = max(0, min(words, len(h) - k + 1))
-            first = np.flatnonzero(piece[:n] == piece[k - 1 : k - 1 + n])
-            hashes.append(mix(grams(h, k)[first] + seed * np.uint64(2 * k + 1)))
-            self.firsts.append(first)
-        self.bounds = np.cumsum([0, *map(len, hashes)])
-        self.hashes = np.concatenate(hashes)
-
-    def phrases(self, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        """(words joined by spaces, number of words) of the n-grams at some places."""
-        k = np.searchsorted(self.bounds, at, "right")
-        first = np.concatenate(self.firsts)[at]
+        self.seed, self.hashes = _seed(lang), _hashed(self.data, self.starts, self.ends)
+        self.piece = np.concatenate([[0], np.cumsum(self.data[self.ends] == 10, dtype=np.int32)])
+
+    def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the n-grams of k words, their first words)."""
+        n = max(0, min(self.words, len(self.hashes) - k + 1))
+        first = np.flatnonzero(self.piece[:n] == self.piece[k - 1 : k - 1 + n])
+        return (mix(grams(self.hashes, k)[first] + self.seed) >> np.uint64(2)) | np.uint64(k - 1 << 62), first
+
+    def phrases(self, first: np.ndarray, k: int) -> pa.Array:
+        """The phrases of k words from some first words on."""
         begin, end = self.starts[first], self.ends[first + k - 1]
         to = np.cumsum(end - begin)
         raw = self.data[np.repeat(begin - (to - (end - begin)), end - begin) + np.arange(to[-1] if len(to) else 0)]
         offsets = np.concatenate([[0], to]).astype(np.int32)
-        return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())), k
+        return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes()))
 
 
 def _runs(ordered: np.ndarray) -> np.ndarray:
@@ -204,17 +204,19 @@ def survivors(table: DataFrame, bits: int, splits: int, threshold: int) -> DataF
     def summarise(batches):
         for batch in batches:
             for chunk, lang, words, body in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                ordered = np.sort(Grams(lang, words, body).hashes >> narrow)
-                at = _runs(ordered)
-                counts = np.diff(np.append(at, len(ordered)))
-                values = ordered[at]
-                parts = values >> part_shift
-                cuts = _runs(parts)
-                pairs = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(values)], strict=True))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(parts[cuts].astype(np.int64)), pa.array([chunk] * len(cuts), pa.int64()), pa.array([int(counts[a:b].sum()) for a, b in pairs], pa.int64()),
-                    pa.array([packed(values[a:b], counts[a:b]) for a, b in pairs], pa.binary()),
-                ], names=["part", "chunk", "mass", "summary"])
+                found = Grams(lang, words, body)
+                for k in range(1, LONGEST + 1):
+                    ordered = np.sort(found.of(k)[0] >> narrow)
+                    at = _runs(ordered)
+                    counts = np.diff(np.append(at, len(ordered)))
+                    values = ordered[at]
+                    parts = values >> part_shift
+                    cuts = _runs(parts)
+                    pairs = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(values)], strict=True)) if len(cuts) else []
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(parts[cuts].astype(np.int64)), pa.array([chunk] * len(cuts), pa.int64()), pa.array([int(counts[a:b].sum()) for a, b in pairs], pa.int64()),
+                        pa.array([packed(values[a:b], counts[a:b]) for a, b in pairs], pa.binary()),
+                    ], names=["part", "chunk", "mass", "summary"])
 
     def merge(batches):
         part, held = None, []
@@ -244,8 +246,8 @@ def frequencies(docs: DataFrame, threshold: int = THRESHOLD, lang: str = "lang",
     table = chunks(docs, lang, text, chunk_bytes)
     totals = cut(table.groupBy("lang").agg(F.sum("words").alias("n")))
     whole = LONGEST * (totals.agg(F.sum("n")).first()[0] or 0)
-    # partitions by leading bits; hashes wide enough that few values share one, as those are counted together until the second pass
-    splits = max(0, (-(-whole // mass) - 1).bit_length())
+    # partitions by leading bits, the first two of which are the length's, so none holds two lengths; hashes wide enough that few values share one, as those are counted together until the second pass
+    splits = max(2, (-(-whole // mass) - 1).bit_length())
     bits = min(64, max(splits + 8, whole.bit_length() + 3))
     kept = survivors(table, bits, splits, threshold).groupBy("chunk").agg(F.collect_list(F.struct("part", "kept")).alias("kept"))
     narrow, part_shift = np.uint64(64 - bits), np.uint64(bits - splits)
@@ -253,23 +255,26 @@ def frequencies(docs: DataFrame, threshold: int = THRESHOLD, lang: str = "lang",
     def count(batches):
         for batch in batches:
             for name, words, body, bitmaps in zip(*[batch.column(i) for i in range(4)], strict=True):
-                found = Grams(name.as_py(), words.as_py(), body.as_py())
-                order = np.argsort(found.hashes)
-                ordered = found.hashes[order]
-                narrowed = ordered >> narrow
-                at = _runs(narrowed)
-                parts = (narrowed[at] >> part_shift).astype(np.int64)
-                alive = np.zeros(len(at), bool)
-                for r in bitmaps.as_py():
-                    a, b = np.searchsorted(parts, [r["part"], r["part"] + 1])
-                    alive[a:b] = np.unpackbits(np.frombuffer(r["kept"], np.uint8), count=b - a).astype(bool)
-                live = np.repeat(alive, np.diff(np.append(at, len(ordered))))
-                order, ordered = order[live], ordered[live]
-                at = _runs(ordered)
-                counts = np.diff(np.append(at, len(ordered)))
-                for i in range(0, len(at), 50_000):
-                    phrase, k = found.phrases(order[at[i : i + 50_000]])
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(k), pa.string()), phrase, pa.array(k, pa.int32()), pa.array(counts[i : i + 50_000])], names=["lang", "phrase", "k", "f"])
+                found, maps = Grams(name.as_py(), words.as_py(), body.as_py()), bitmaps.as_py()
+                for k in range(1, LONGEST + 1):
+                    hashes, first = found.of(k)
+                    order = np.argsort(hashes)
+                    ordered = hashes[order]
+                    narrowed = ordered >> narrow
+                    at = _runs(narrowed)
+                    parts = (narrowed[at] >> part_shift).astype(np.int64)
+                    alive = np.zeros(len(at), bool)
+                    for r in maps:
+                        a, b = np.searchsorted(parts, [r["part"], r["part"] + 1])
+                        if a < b:  # the partition has n-grams of this length
+                            alive[a:b] = np.unpackbits(np.frombuffer(r["kept"], np.uint8), count=b - a)
+                    live = np.repeat(alive, np.diff(np.append(at, len(ordered))))
+                    order, ordered = order[live], ordered[live]
+                    at = _runs(ordered)
+                    counts = np.diff(np.append(at, len(ordered)))
+                    for i in range(0, len(at), 50_000):
+                        phrase = found.phrases(first[order[at[i : i + 50_000]]], k)
+                        yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(phrase), pa.string()), phrase, pa.array([k] * len(phrase), pa.int32()), pa.array(counts[i : i + 50_000])], names=["lang", "phrase", "k", "f"])
 
     rows = table.join(kept, "chunk").select("lang", "words", "body", "kept").mapInArrow(count, "lang string, phrase string, k int, f long")
     exact = rows.groupBy("lang", "phrase").agg(F.first("k").alias("k"), F.sum("f").alias("f")).filter(F.col("f") >= threshold)
