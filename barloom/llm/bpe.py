@@ -31,9 +31,9 @@ from .words import text_chunks
 #: Most words that are sent to the tasks, and the most bytes of each.
 COMMON, COMMON_BYTES = 1 << 18, 64
 #: Distinct words that a task counts before it hands them on, and words of documents that are put together at once.
-COUNTED, TOGETHER = 1 << 19, 1 << 20
+COUNTED, TOGETHER = 1 << 18, 1 << 19
 #: Parts of texts whose words a worker keeps, and bytes of texts that are looked at together.
-KEPT, TEXT_BYTES = 1 << 20, 8 << 20
+KEPT, TEXT_BYTES = 1 << 18, 4 << 20
 
 # The steps of the vocabulary before its merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
