@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.manifest import Table
 from ..sources.quotes import Connector
 from ..sources.sink import KEYS, append
 from . import state
@@ -20,7 +21,7 @@ def safe_end_date(now: dt.datetime, close: dt.time, delay_hours: int = 3) -> dt.
     return now.date() if now > settled else now.date() - dt.timedelta(days=1)
 
 
-def historical(connector: Connector, universe: DataFrame, path: str, today: str, years: int, max_spike: float | None = None) -> int:
+def historical(connector: Connector, universe: DataFrame, path: str | Table, today: str, years: int, max_spike: float | None = None) -> int:
     """Append the bars of the last ``years`` years of all symbols in use; the number of new bars.  With ``max_spike`` those of symbols with errors among them are left out."""
     end = dt.date.fromisoformat(today)
     start = end.replace(year=end.year - years, day=min(end.day, 28))
@@ -28,7 +29,7 @@ def historical(connector: Connector, universe: DataFrame, path: str, today: str,
     return append(bars if max_spike is None else accepted(bars, bars.limit(0), max_spike), path, KEYS["stock_prices"])
 
 
-def daily(connector: Connector, universe: DataFrame, stored: DataFrame, path: str, today: str, years: int, max_spike: float | None = None) -> int:
+def daily(connector: Connector, universe: DataFrame, stored: DataFrame, path: str | Table, today: str, years: int, max_spike: float | None = None) -> int:
     """Append the bars after each symbol's last one; a symbol without bars gets its whole history.
 
     Known symbols are asked only for days since the earliest of their last

@@ -43,7 +43,7 @@ def update(summary: DataFrame, days: DataFrame, kept: int = KEPT) -> DataFrame:
     new = _gathered(days.dropDuplicates(["symbol", "date"])).withColumnsRenamed({"symbol": "_symbol", "bars": "_new"})
     both = summary.join(new, summary["symbol"].eqNullSafe(new["_symbol"]), "full_outer")
     none = F.array().cast(dict(summary.dtypes)["bars"])
-    last = F.element_at("bars", -1)["date"]
+    last = F.try_element_at("bars", F.lit(-1))["date"]
     fresh = F.filter(F.coalesce("_new", none), lambda b: last.isNull() | (b["date"] > last))
     whole = both.select(F.coalesce("symbol", "_symbol").alias("symbol"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bars", none).alias("bars"), fresh.alias("_fresh"))
     return whole.select("symbol", (F.col("n") + F.size("_fresh")).alias("n"), _tail(F.concat("bars", "_fresh"), kept).alias("bars"))

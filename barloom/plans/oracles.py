@@ -185,6 +185,7 @@ ORACLES["trailing_stop"] = f"""WITH RECURSIVE {BRAND}, s AS (SELECT symbol, date
   SELECT symbol, date, action, value FROM r WHERE action IS NOT NULL"""
 ORACLES["missing_trading_days"] = f"""WITH {BRAND}, {calendar(*CALENDAR)}, spans AS (SELECT symbol, date, lead(date) OVER (PARTITION BY symbol ORDER BY date) AS nxt FROM brand WHERE date BETWEEN DATE '{CALENDAR[0]}' AND DATE '{CALENDAR[1]}')
   SELECT symbol, min(c.date) AS first_missing, max(c.date) AS last_missing, CAST(count(*) AS INTEGER) AS days FROM spans JOIN cal c ON c.is_trading AND c.date > spans.date AND c.date < spans.nxt GROUP BY symbol, spans.date"""
+ORACLES["streamed_signals"] = ORACLES["scan_asof"]
 ORACLES["bucketed_bundle"] = ORACLES["indicator_bundle"]
 ORACLES["bucketed_latest"] = ORACLES["latest_bar"]
 ORACLES["batch_total"] = "SELECT count(*) AS cycles, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("ingested", "scanned", "signals", "outcomes")) + f" FROM ({ORACLES['simulate_cycles']})"

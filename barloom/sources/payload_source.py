@@ -79,12 +79,13 @@ def bars_of(symbol: str, body: str) -> list[tuple]:
     out = []
     for i, second in enumerate(one.get("timestamp") or []):
         close = at(quote.get("close"), i)
-        if second is None or not close:
+        if not close:
             continue
+        date = None if second is None else dt.date(1970, 1, 1) + dt.timedelta(days=second // 86400)
         volumes = quote.get("volume")
         volume = min(max(volumes[i] or 0, 0), MOST_INT) if volumes is not None and i < len(volumes) else None
         adj = at(adjusted.get("adjclose"), i)
-        out.append((symbol, dt.date(1970, 1, 1) + dt.timedelta(days=second // 86400), *(at(quote.get(c), i) for c in _PRICES), close if adj is None else adj, volume))
+        out.append((symbol, date, *(at(quote.get(c), i) for c in _PRICES), close if adj is None else adj, volume))
     return out
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from .manifest import Table
+
 KEYS = {
     "stock_prices": ["symbol", "date"],
     "scan_results": ["symbol", "scan_date", "rule_name"],
@@ -13,14 +15,18 @@ KEYS = {
 }
 
 
-def append(rows: DataFrame, path: str, keys: list[str], partition_by: str | None = None) -> int:
+def append(rows: DataFrame, path: str | Table, keys: list[str], partition_by: str | None = None) -> int:
     """Append the rows whose key isn't stored yet and return how many there were.  Writing the same rows twice changes nothing.
 
+    A plain folder is for one writer at a time; a ``Table`` takes several.
+
     Of the stored rows only those between the first and last date of the new
     ones are read: each append holds a few days, so the files' own statistics
     (or the partitions, if the table has any by date) leave out the others.
     Null keys are keys of their own and stored each time.
     """
+    if isinstance(path, Table):
+        return path.append(rows)
     once = rows.dropDuplicates(keys).persist()
     fresh = once
     try:

@@ -8,16 +8,20 @@ from pyspark.sql.utils import AnalysisException
 
 from ..operators.quality import accepted
 from ..schemas import BARS
+from ..sources.manifest import Table
 from ..sources.sink import KEYS, append
 
 
-def ingest_available(spark: SparkSession, incoming: str, bars: str, checkpoint: str, max_spike: float | None = None) -> StreamingQuery:
+def ingest_available(spark: SparkSession, incoming: str, bars: str | Table, checkpoint: str, max_spike: float | None = None) -> StreamingQuery:
     """Append the bars of all files that have come since the last run, and stop; with ``max_spike`` without symbols that have errors.  Files are taken once; a bar stored already isn't stored again."""
 
     def store(batch: DataFrame, _: int) -> None:
         if max_spike is None:
             append(batch, bars, KEYS["stock_prices"])
             return
+        if isinstance(bars, Table):
+            append(accepted(batch, bars.read(), max_spike), bars, KEYS["stock_prices"])
+            return
         try:
             stored = spark.read.schema(BARS).parquet(bars)
         except AnalysisException as e:
