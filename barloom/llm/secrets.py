@@ -24,6 +24,10 @@ from .common import cut, text_of
 MOST_SENT = 100_000
 
 
+#: Matches of a text that are gone through together.
+BLOCK = 256
+
+
 @dataclass(frozen=True)
 class Kind:
     """A pattern; ``value`` is the group that holds the secret, of ``least`` characters or more."""
@@ -69,14 +73,35 @@ class Rules:
         return varied & ((size >= self.word) | value.rlike("[^A-Za-z]"))
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """An array as an array of arrays of up to ``BLOCK`` items; one empty block, if there are none."""
+    last = F.greatest(F.floor((F.size(items) - 1) / BLOCK), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * BLOCK + 1, BLOCK))
+
+
+def _running(values: Column, add) -> Column:
+    """What ``add`` makes of all values before each one, from 0 on."""
+    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, seed, lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
 def _found(text: Column, kind: Kind, order: int) -> Column:
-    """array<struct<start, ord, kind, end, vstart, value>> of a kind's matches that are long enough."""
+    """array<struct<start, ord, kind, end, vstart, value>> of a kind's matches that are long enough.
+
+    A list grows by copying, so matches are gone through in blocks, each from
+    its own beginning: the work grows with the number of matches.
+    """
     # a run of hex digits is ended by any other sign, so short ones need not be cut out at all
     pattern = f"[0-9a-f]{{{kind.least},}}" if kind.pattern == "[0-9a-f]+" else kind.pattern
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern)
     pairs = F.arrays_zip(gaps.alias("gap"), whole.alias("hit"))
-    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,kind:string,end:int,value:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int,value:string>>")
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
@@ -85,9 +110,11 @@ def _found(text: Column, kind: Kind, order: int) -> Column:
         one = F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(kind.name).alias("kind"), end.alias("end"), value.alias("value"))
         return F.struct(F.coalesce(end, start).alias("at"), F.when(x["hit"].isNotNull() & (F.length(value) >= kind.least), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    none = seed["out"]
+    length = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)))
+    places = lambda blocks, begin: F.transform(blocks, lambda b, i: F.aggregate(b, F.struct(F.get(begin, i).alias("at"), none.alias("out")), step, lambda acc: acc["out"]))
+    spans = _let(pairs, lambda all_: _let(_blocks(all_), lambda blocks: _let(_running(F.transform(blocks, length), lambda at, n: at + n), lambda begin: F.flatten(places(blocks, begin)))))
     may = text.rlike(pattern) if kind.hint is None else text.contains(kind.hint)
-    return F.when(may, F.aggregate(pairs, seed, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(may, spans).otherwise(none)
 
 
 def candidates(docs: DataFrame, text: str = "text", kinds=BASE + FURTHER) -> Column:
@@ -162,6 +189,29 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def _marked(body: Column, spans: Column, mark: str) -> Column:
+    """``body`` with a mark in place of each span, or of several that overlap.  Each block of spans has its own stretch of the text, as finding a place takes time with the length before it."""
+
+    def pieces(block, begin, until):
+        stretch = F.substring(body, begin + 1, F.greatest(until - begin, F.lit(0)))
+
+        def step(part):
+            def one(acc, s):
+                gap = F.substring(part, acc["at"] - begin + 1, s["start"] - acc["at"])
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
+
+            return one
+
+        seed = F.struct(begin.alias("at"), F.array().cast("array<string>").alias("out"))
+        return _let(stretch, lambda part: F.aggregate(block, seed, step(part), lambda acc: acc["out"]))
+
+    last = lambda block: F.coalesce(F.array_max(F.transform(block, lambda s: s["end"])), F.lit(0))
+    joined = lambda blocks, ends, begin: F.concat(
+        F.array_join(F.flatten(F.transform(blocks, lambda b, i: pieces(b, F.get(begin, i), F.get(ends, i)))), ""), F.substring(body, F.array_max(ends) + 1, F.length(body))
+    )
+    return _let(_blocks(spans), lambda blocks: _let(F.transform(blocks, last), lambda ends: _let(_running(ends, F.greatest), lambda begin: joined(blocks, ends, begin))))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """``docs`` with every owner-specific, live-looking span replaced by ``mark``; widely copied examples and all other text stay.
 
@@ -182,14 +232,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
     keyed = renamed.withColumn("_h", F.xxhash64(text_of(renamed, text)))
     joined = keyed.join(found, keyed[inner[id_col]].eqNullSafe(found["_lid"]) & (keyed["_h"] == found["_text"]), "left")
     body = F.col(text)
-    seed = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(body, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("live", seed, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    done = _marked(body, F.col("live"), mark)
     fixed = F.when(F.col("live").isNull() | body.isNull(), body).otherwise(done)
     cols = [(fixed if v == text else F.col(v)).alias(k) for k, v in inner.items()]
     return joined.select(*cols)
