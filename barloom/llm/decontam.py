@@ -32,7 +32,7 @@ class Tests:
     def __init__(self, items: list[str], words: list[np.ndarray], window: int = WINDOW):
         self.names = sorted(set(items))
         number = {name: i for i, name in enumerate(self.names)}
-        lengths = np.array([len(w) for w in words], np.int64)
+        self.items, self.lengths = items, (lengths := np.array([len(w) for w in words], np.int64))
         self.words = np.concatenate([*words, np.zeros(window, np.uint64)])
         size = np.minimum(lengths, window)
         counts = np.where(lengths > 0, lengths - size + 1, 0)
@@ -116,6 +116,84 @@ def find(h: np.ndarray, first: np.ndarray, tests: Tests):
     return flags, pairs // (len(tests.names) + 1), pairs % (len(tests.names) + 1), longest
 
 
+#: Test suffixes that are searched together.
+_SLAB = 50_000
+
+
+def longest_of_suffixes(h: np.ndarray, first: np.ndarray, tests: Tests):
+    """(row, place, words, document, place there) of every test suffix with a match in one shard: its longest one, the first of several in the shard."""
+    n_docs = len(first) - 1
+    bounds = first + np.arange(n_docs + 1)
+    words = np.zeros(len(h) + n_docs, np.uint64)
+    mine = np.ones(len(words), bool)
+    mine[bounds[1:] - 1] = False
+    words[mine] = np.maximum(h, 1)
+    order = suffix_array(words)
+    padded = np.append(words, np.zeros(tests.window, np.uint64))
+    depth = np.arange(tests.window)
+    rows = np.repeat(np.arange(len(tests.lengths)), tests.lengths)
+    starts = np.arange(len(rows))
+    places = starts - np.repeat(np.cumsum(tests.lengths) - tests.lengths, tests.lengths)
+    left = tests.lengths[rows] - places
+    best, at = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    for a in range(0, len(rows), _SLAB):
+        part = slice(a, a + _SLAB)
+        within = depth < left[part, None]
+        wanted = tests.words[np.minimum(starts[part, None] + depth, len(tests.words) - 1)]
+        low = Tests._bound(padded, order, wanted, within, depth, False)
+        # the longest common beginning is with a neighbour of the place where the suffix would stand
+        for near in (np.maximum(low - 1, 0), np.minimum(low, len(order) - 1)):
+            same = (padded[order[near][:, None] + depth] == wanted) & within
+            long = np.where(same.all(axis=1), tests.window, same.argmin(axis=1))
+            better = (long > best[part]) | ((long == best[part]) & (long > 0) & (order[near] < at[part]))
+            best[part], at[part] = np.where(better, long, best[part]), np.where(better, order[near], at[part])
+    # of windows all places are known, and with them how far each goes on
+    place, which = tests.search(words)
+    if len(place):
+        diagonal = place - tests.place[which]
+        by_run = np.lexsort((place, diagonal, tests.row[which]))
+        p, d, r = place[by_run], diagonal[by_run], tests.row[which][by_run]
+        fresh = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1] + 1) | (d[1:] != d[:-1]) | (r[1:] != r[:-1])]))
+        sizes = np.diff(np.append(fresh, len(p)))
+        goes_on = np.repeat(sizes, sizes) - (np.arange(len(p)) - np.repeat(fresh, sizes)) - 1 + tests.size[which[by_run]]
+        suffix = tests.start[which[by_run]]
+        for i in np.lexsort((p, -goes_on, suffix)):
+            if goes_on[i] > best[suffix[i]] or (goes_on[i] == best[suffix[i]] and p[i] < at[suffix[i]]):
+                best[suffix[i]], at[suffix[i]] = goes_on[i], p[i]
+    some = np.flatnonzero(best > 0)
+    doc = np.searchsorted(bounds, at[some], "right") - 1
+    return rows[some], places[some], best[some], doc, at[some] - bounds[doc]
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 1, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """item, item_at, words, doc_id, doc_at: the longest verbatim match of every test suffix with ``least`` words or more in the corpus, and where it stands.
+
+    Each shard is searched for every suffix of every item, and the best of all
+    shards is kept: of several the one with the smallest id (null last), then place.
+    Suffixes without a match have no row.  A null item id counts as the empty
+    string; of items with one id the best match of each place is given.
+    """
+    spark, names, whole = docs.sparkSession, ["item", "item_at", "words", "doc_id", "doc_at"], None
+    rows = docs.select(text_of(docs, text).alias("_body"), F.col(id_col).cast("long").alias("_id"))
+    for _, tests in _blocks(benchmark, item_col, item_text, block_bytes, window):
+        sent = spark.sparkContext.broadcast(tests)
+
+        def search(batches, sent=sent):
+            powers, tests = Powers(), sent.value
+            for batch in batches:
+                for at, data, offsets in text_chunks(batch.column(0), SHARD_BYTES):
+                    t, starts, ends, first = word_bounds(data, offsets, ALNUM)
+                    row, place, words, doc, there = longest_of_suffixes(word_hashes(t, starts, ends, powers), first, tests)
+                    good = words >= least
+                    ids = batch.column(1).take(pa.array(doc[good] + at))
+                    yield pa.RecordBatch.from_arrays([pa.array([tests.items[r] for r in row[good].tolist()], pa.string()), pa.array(place[good]), pa.array(words[good]), ids, pa.array(there[good])], names=names)
+
+        found = rows.mapInArrow(search, "item string, item_at long, words long, doc_id long, doc_at long")
+        whole = found if whole is None else whole.unionByName(found)
+    best = F.min(F.struct((-F.col("words")).alias("less"), F.col("doc_id").isNull().alias("nameless"), "doc_id", "doc_at")).alias("b")
+    return whole.groupBy("item", "item_at").agg(best).select("item", "item_at", (-F.col("b.less")).alias("words"), "b.doc_id", "b.doc_at")
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text: str, limit: int, window: int):
     """Items with their words, hashed in tasks, in blocks of about ``limit`` bytes of text; null texts have no words."""
 
@@ -186,7 +264,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "t
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_hit", "longest_at", "longest_item", "longest_item_at"]
     keep = [c for c in keep if c not in names]
     spark, found, others = docs.sparkSession, None, []
-    columns = [F.to_json(F.struct(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    columns = [F.to_json(F.struct(f"`{c}`")) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
     rows = docs.select(text_of(docs, text).alias("_body"), *[F.col(f"`{c}`") for c in keep])
     keyed = docs.select(text_of(docs, text).alias("_body"), *[F.col(f"`{c}`") for c in keep], F.xxhash64(*columns).alias("_h1"), F.xxhash64(F.lit("second"), *columns).alias("_h2"))
     for n, tests in _blocks(benchmark, item_col, item_text, block_bytes, window):
