@@ -336,11 +336,12 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row: words covered by a window that also starts earlier are removed.
 
-    A null text has no words; a null id stands before all others.  Rows with
-    one id and one text are at one place, so neither removes the other's words.
+    A null text has no words; a null id stands before all others, at one place
+    with the smallest id that there can be.  Rows with one id and one text are
+    at one place, so neither removes the other's words.
     """
     lowest = F.lit(-(2**63)).cast("long")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("_id"), F.xxhash64(text_of(docs, text)).alias("_h"), text_of(docs, text).alias("_body"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("_id"), F.xxhash64(text_of(docs, text)).alias("_h"), text_of(docs, text).alias("_body"), docs[id_col].isNull().alias("_nameless"))
     runs = repeated_intervals(rows, window).groupBy("_id", "_h").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     # Copies of a text: all but the smallest id's.  Their group may be huge, so its rows go to many tasks.
     salts = 16
@@ -349,7 +350,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
     spread = groups.select("_h", "_h2", "_first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salted = narrow.withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
     copies = salted.join(spread, ["_h", "_h2", "salt"]).filter("_id > _first").select("_id", "_h").distinct().withColumn("copy", F.lit(True))
-    marked = rows.join(runs, ["_id", "_h"], "left").join(copies, ["_id", "_h"], "left").select("_id", "_body", "runs", F.coalesce("copy", F.lit(False)).alias("copy"))
+    marked = rows.join(runs, ["_id", "_h"], "left").join(copies, ["_id", "_h"], "left").select("_id", "_body", "runs", F.coalesce("copy", F.lit(False)).alias("copy"), "_nameless")
 
     def keep(batches):
         for batch in batches:
@@ -371,10 +372,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
                 out.append((i, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["_id", "n_words", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["_id", "n_words", "n_removed", "kept_sha256"]).append_column("_nameless", batch.column(4))
 
-    done = marked.mapInArrow(keep, "_id long, n_words long, n_removed long, kept_sha256 string")
-    return done.select(F.when(F.col("_id") != lowest, F.col("_id")).alias(id_col), "n_words", "n_removed", "kept_sha256")
+    done = marked.mapInArrow(keep, "_id long, n_words long, n_removed long, kept_sha256 string, _nameless boolean")
+    return done.select(F.when(~F.col("_nameless"), F.col("_id")).alias(id_col), "n_words", "n_removed", "kept_sha256")
 
 
 def oracle(window: int = WINDOW) -> str:
