@@ -22,6 +22,8 @@ from .words import Powers, grams, mix, text_chunks, word_bounds, word_hashes
 
 #: Bytes of a chunk, and the mass (n-grams with repetition) of a hash partition at most.  Larger ones make fewer and longer summaries: a matter of the executors' memory.
 CHUNK_BYTES, MASS = 8 << 20, 1 << 20
+#: Phrases of several chunks whose counts a task adds up before it hands them on.
+WAITING = 1 << 20
 LONGEST = 4
 THRESHOLD, MOST, SCALE, SHARE = 30, 2000, 2_000_000, 80
 
@@ -253,6 +255,23 @@ def frequencies(docs: DataFrame, threshold: int = THRESHOLD, lang: str = "lang",
     narrow, part_shift = np.uint64(64 - bits), np.uint64(bits - splits)
 
     def count(batches):
+        held, waiting = [], 0  # lang, k, phrases, hashes and counts of each chunk
+
+        def summed():
+            """What is held, each phrase of several chunks once."""
+            names, lengths, texts, hashes, counts = zip(*held, strict=True)
+            hashes, counts = np.concatenate(hashes), np.concatenate(counts)
+            order = np.argsort(hashes, kind="stable")
+            at = _runs(hashes[order])
+            first, total = order[at], np.add.reduceat(counts[order], at) if len(at) else counts
+            sizes = [len(t) for t in texts]
+            lang = pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+            k = np.repeat(np.array(lengths, np.int32), sizes)
+            text = pa.concat_arrays(texts)
+            for i in range(0, len(first), 50_000):
+                some = pa.array(first[i : i + 50_000])
+                yield pa.RecordBatch.from_arrays([lang.take(some), text.take(some), pa.array(k[first[i : i + 50_000]]), pa.array(total[i : i + 50_000])], names=["lang", "phrase", "k", "f"])
+
         for batch in batches:
             for name, words, body, bitmaps in zip(*[batch.column(i) for i in range(4)], strict=True):
                 found, maps = Grams(name.as_py(), words.as_py(), body.as_py()), bitmaps.as_py()
@@ -271,10 +290,13 @@ def frequencies(docs: DataFrame, threshold: int = THRESHOLD, lang: str = "lang",
                     live = np.repeat(alive, np.diff(np.append(at, len(ordered))))
                     order, ordered = order[live], ordered[live]
                     at = _runs(ordered)
-                    counts = np.diff(np.append(at, len(ordered)))
-                    for i in range(0, len(at), 50_000):
-                        phrase = found.phrases(first[order[at[i : i + 50_000]]], k)
-                        yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(phrase), pa.string()), phrase, pa.array([k] * len(phrase), pa.int32()), pa.array(counts[i : i + 50_000])], names=["lang", "phrase", "k", "f"])
+                    held.append((name.as_py(), k, found.phrases(first[order[at]], k), ordered[at], np.diff(np.append(at, len(ordered)))))
+                    waiting += len(at)
+                if waiting >= WAITING:
+                    yield from summed()
+                    held, waiting = [], 0
+        if held:
+            yield from summed()
 
     rows = table.join(kept, "chunk").select("lang", "words", "body", "kept").mapInArrow(count, "lang string, phrase string, k int, f long")
     exact = rows.groupBy("lang", "phrase").agg(F.first("k").alias("k"), F.sum("f").alias("f")).filter(F.col("f") >= threshold)
