@@ -35,21 +35,6 @@ def test_near_copies_among_boilerplate(spark, pairs, shared, edits):
     assert all(i // 2 == c // 2 for i, c in got.items())
 
 
-def test_pairs_of_words_that_aligned_texts_share():
-    rng = np.random.default_rng(3)
-    for _ in range(3000):
-        a = rng.integers(0, 30, rng.integers(2, 40)).tolist()
-        b = list(a)
-        for _ in range(rng.integers(0, 5)):
-            i = int(rng.integers(0, len(b) + 1))
-            b[i : i + int(rng.integers(0, 2))] = rng.integers(0, 30, rng.integers(0, 2)).tolist()
-        m = minhash.common_words(a, b)
-        if len(b) > 1 and m >= minhash.SIMILAR * (len(a) + len(b)) / (1 + minhash.SIMILAR):
-            tokens = [minhash.shingles(np.array(x, np.uint64) + np.uint64(7), np.array([0, len(x)]), 2)[0] for x in (a, b)]
-            both = len(np.intersect1d(*tokens))
-            assert both >= minhash.shared_pairs(len(a) + len(b)) and all(both >= minhash._least(len(t)) for t in tokens)
-
-
 def test_long_texts_without_anchors():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 50_000, 12_000).astype(np.uint32)
