@@ -11,6 +11,7 @@ vocabulary's pieces.
 from __future__ import annotations
 
 import collections
+import functools
 import itertools
 import json
 import re
@@ -29,11 +30,11 @@ from .common import cut, text_of
 from .words import text_chunks
 
 #: Most words that are sent to the tasks, and the most bytes of each.
-COMMON, COMMON_BYTES = 1 << 18, 64
+COMMON, COMMON_BYTES = 1 << 17, 64
 #: Distinct words that a task counts before it hands them on, and words of documents that are put together at once.
-COUNTED, TOGETHER = 1 << 18, 1 << 19
+COUNTED, TOGETHER = 1 << 17, 1 << 18
 #: Parts of texts whose words a worker keeps, and bytes of texts that are looked at together.
-KEPT, TEXT_BYTES = 1 << 18, 4 << 20
+KEPT, TEXT_BYTES = 1 << 16, 2 << 20
 
 # The steps of the vocabulary before its merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -57,7 +58,7 @@ class Splitter:
     """Words of texts, as the tokenizer's normalizer and splitting give them; a special token in a text is a word of its own."""
 
     def __init__(self, path: str):
-        from tokenizers import Regex, Tokenizer, pre_tokenizers
+        from tokenizers import Regex, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
@@ -67,7 +68,7 @@ class Splitter:
         special = [t for t in config["added_tokens"] if t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])]
         if len(special) != len(config["added_tokens"]):
             raise ValueError("added tokens must be special ones without options")
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.config = path, {k: v for k, v in config.items() if k != "model"}
         self.special = {t["content"]: t["id"] for t in special}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if special else None
         self.pattern = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
@@ -83,8 +84,19 @@ class Splitter:
             while r[1] + 1 in have:
                 r[1] += 1
         self.odd = "|".join(["[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]", *(re.escape(t) for t in self.special)])
-        # words are normal already, and none of them is special
-        self.words_only = Tokenizer.from_str(json.dumps(config | {"normalizer": None, "added_tokens": []}))
+
+    @functools.cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @functools.cached_property
+    def words_only(self):
+        """The tokenizer for words, which are normal already, and none of which is special."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(json.dumps(self.config | {"model": json.load(open(self.path, encoding="utf-8"))["model"], "normalizer": None, "added_tokens": []}))
 
     def _exact(self, text: str) -> list[str]:
         return [w for w, _ in self.pattern.pre_tokenize_str(self.whole.normalizer.normalize_str(text))]
