@@ -258,19 +258,24 @@ def frequencies(docs: DataFrame, threshold: int = THRESHOLD, lang: str = "lang",
         held, waiting = [], 0  # lang, k, phrases, hashes and counts of each chunk
 
         def summed():
-            """What is held, each phrase of several chunks once."""
+            """What is held, each phrase of several chunks once: a row for each hash partition and language."""
             names, lengths, texts, hashes, counts = zip(*held, strict=True)
-            hashes, counts = np.concatenate(hashes), np.concatenate(counts)
-            order = np.argsort(hashes, kind="stable")
-            at = _runs(hashes[order])
-            first, total = order[at], np.add.reduceat(counts[order], at) if len(at) else counts
             sizes = [len(t) for t in texts]
-            lang = pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+            known = sorted(set(names))
+            lang = np.repeat(np.array([known.index(n) for n in names]), sizes)
             k = np.repeat(np.array(lengths, np.int32), sizes)
-            text = pa.concat_arrays(texts)
-            for i in range(0, len(first), 50_000):
-                some = pa.array(first[i : i + 50_000])
-                yield pa.RecordBatch.from_arrays([lang.take(some), text.take(some), pa.array(k[first[i : i + 50_000]]), pa.array(total[i : i + 50_000])], names=["lang", "phrase", "k", "f"])
+            hashes, counts, text = np.concatenate(hashes), np.concatenate(counts), pa.concat_arrays(texts)
+            parts = (hashes >> narrow >> part_shift).astype(np.int64)
+            order = np.lexsort((hashes, lang, parts))
+            at = _runs(hashes[order])
+            first, total = order[at], np.add.reduceat(counts[order], at) if len(at) else counts
+            cuts = _runs(parts[first] * len(known) + lang[first])
+            offsets = pa.array(np.append(cuts, len(first)), pa.int32())
+            own = first[cuts]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(parts[own]), pa.array([known[n] for n in lang[own].tolist()], pa.string()), pa.array(k[own]),
+                pa.ListArray.from_arrays(offsets, text.take(pa.array(first))), pa.ListArray.from_arrays(offsets, pa.array(total)),
+            ], names=["part", "lang", "k", "phrases", "counts"])
 
         for batch in batches:
             for name, words, body, bitmaps in zip(*[batch.column(i) for i in range(4)], strict=True):
@@ -298,9 +303,33 @@ def frequencies(docs: DataFrame, threshold: int = THRESHOLD, lang: str = "lang",
         if held:
             yield from summed()
 
-    rows = table.join(kept, "chunk").select("lang", "words", "body", "kept").mapInArrow(count, "lang string, phrase string, k int, f long")
-    exact = rows.groupBy("lang", "phrase").agg(F.first("k").alias("k"), F.sum("f").alias("f")).filter(F.col("f") >= threshold)
-    return cut(exact), totals
+    def add_up(batches):
+        """The phrases of one hash partition and language after another that are frequent."""
+        key, held = None, []
+
+        def frequent():
+            part, lang, k = key
+            phrases, counts = (pa.concat_arrays(x) for x in zip(*held, strict=True))
+            encoded = phrases.dictionary_encode()
+            at = encoded.indices.to_numpy()
+            total = np.zeros(len(encoded.dictionary), np.int64)
+            np.add.at(total, at, counts.to_numpy())
+            good = np.flatnonzero(total >= threshold)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(good), pa.string()), encoded.dictionary.take(pa.array(good)), pa.array([k] * len(good), pa.int32()), pa.array(total[good])], names=["lang", "phrase", "k", "f"])
+
+        for batch in batches:
+            for i, own in enumerate(zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True)):
+                if own != key:
+                    if held:
+                        yield frequent()
+                    key, held = own, []
+                held.append((batch.column(3)[i].values, batch.column(4)[i].values))
+        if held:
+            yield frequent()
+
+    rows = table.join(kept, "chunk").select("lang", "words", "body", "kept").mapInArrow(count, "part long, lang string, k int, phrases array<string>, counts array<long>")
+    dealt = rows.repartition(F.col("part")).sortWithinPartitions("part", "lang")
+    return cut(dealt.mapInArrow(add_up, "lang string, phrase string, k int, f long")), totals
 
 
 def _contained(candidates: DataFrame) -> DataFrame:
