@@ -12,13 +12,12 @@ Rows of buckets are dealt by ranges of (bucket, words, text), so a bucket of any
 size spreads over as many tasks as it needs, and a task goes through them in
 this order.  A text is compared with the first of its bucket of no less than
 0.8 of its length and with the ``BACK`` texts before it: pairs grow as the
-rows.  Where this leaves pairs of such lengths out and the bucket is still in
-several components, these texts go through an exact join: texts whose shingles
-are as similar as asked for share one of the rarest fifth of them, early enough
-in both for the rest to suffice.  Every other sketch is looked at for that: two
-such texts differ in all twelve once in 200,000 times.  Texts whose edits lie so close that they share
-fewer shingles meet once more, by their rarest pairs of words: what is
-common to many texts of a bucket takes no part in that.
+rows.  In a bucket of up to ``BACK`` + 2 texts these are all pairs.  Where a
+larger one is still in several components, whatever its sketch, all of its
+texts go through an exact join: aligned texts of that similarity have as many
+of their words in common, so they share one of the rarest fifth of them, early
+enough in both for the rest to suffice.  No pair of these texts that alignment
+would link is left out, however large the bucket.
 
 Texts are nodes by 128 bits of their words, links by the first 64 of these; ids
 only name what is found.
@@ -43,10 +42,10 @@ SHINGLE, SIMILAR, SKETCHES, ORDER = 5, 0.8, 24, 2
 BACK = 3
 #: Words of two texts up to which they are aligned in one piece; beyond, common shingles anchor pieces, and only what fails then is aligned as a whole.
 WHOLE = 8192
-#: Words of the shingles by which texts of large buckets meet once more, hash functions of these, and the share of a text's that counts as rare.
-PAIR_OF_WORDS, RARE_SKETCHES, RARE = 2, 6, 0.4
-#: Slots of the table that tells which shingles may stand in several components, and orders them by rarity.
+#: Slots of the table that tells which words may stand in several components, and orders them by rarity.
 SLOTS, SLOT_BLOCK = 1 << 22, 1 << 14
+#: Longs of parities by which texts are told apart before they are aligned.
+PARITIES = 8
 _BIG = np.uint64(2**64 - 1)
 _MIXER = np.uint64(0xD1342543DE82EF95)
 
@@ -76,7 +75,7 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int = SHINGLE):
 
 
 def sketch(labelled: np.ndarray, bounds: np.ndarray, sketches: int = SKETCHES, order: int = ORDER) -> np.ndarray:
-    """Order MinHash of each text (rows of ``sketches`` numbers, odd ones for every other sketch); texts without shingles must not be among them."""
+    """Order MinHash of each text (rows of ``sketches`` numbers); texts without shingles must not be among them."""
     start, counts = bounds[:-1], np.diff(bounds)
     place = np.arange(len(labelled))
     out = np.empty((len(counts), sketches), np.uint64)
@@ -93,7 +92,7 @@ def sketch(labelled: np.ndarray, bounds: np.ndarray, sketches: int = SKETCHES, o
         made = np.full(len(counts), s + 1, np.uint64)
         for spot in np.sort(np.array(chosen), axis=0):
             made = mix(made * _MIXER + padded[spot])
-        out[:, s] = made & ~np.uint64(1) | np.uint64(s & 1)
+        out[:, s] = made
     return out
 
 
@@ -213,7 +212,7 @@ def _signed(rows: DataFrame, sketches: int) -> DataFrame:
     return rows.mapInArrow(sign, ", ".join(f"{x} {'binary' if x == 'seq' else 'long'}" for x in names))
 
 
-#: What ``_meet`` reports: a pair to be aligned, a text at the edge of a task's range, a text that isn't compared with all others of its length in a bucket.
+#: What ``_meet`` reports: a pair to be aligned, a text at the edge of a task's range, a text of a bucket with more than ``BACK`` + 2 texts, up to which all pairs are compared.
 PAIR, EDGE, MANY = 0, 1, 2
 
 
@@ -225,7 +224,7 @@ def _meet(dealt: DataFrame, edges: bool) -> DataFrame:
     only its own range, so with ``edges`` it reports the leader and the outer
     texts of its first and last bucket, which meet once more.
     """
-    names = ["what", "bucket", "a", "b", "n"]
+    names, few = ["what", "bucket", "a", "b", "n"], BACK + 2
 
     def report(*parts):
         cols = [np.concatenate(c) for c in zip(*[(np.full(len(p[0]), what, np.int32), *p) for what, p in parts], strict=True)]
@@ -267,17 +266,15 @@ def _meet(dealt: DataFrame, edges: bool) -> DataFrame:
                 if step:
                     good &= mate != leader
                 pairs.append((bucket[good], node[mate[good]], node[good], n[good]))
-            # texts that are as long as another of their bucket that they don't meet
-            far = at - BACK - 1
-            apart = lambda j: (j >= start) & (n[np.maximum(j, 0)] >= SIMILAR * n) & (j != leader)
-            back = new & apart(far)
-            out = np.concatenate([np.flatnonzero(back | (new & (far == leader) & apart(far - 1))), far[back]])
-            out = out[bucket[out] & 1 == 1]
-            rows = [(PAIR, tuple(np.concatenate(c) for c in zip(*pairs, strict=True))), (MANY, (bucket[out], node[out], node[out], n[out]))]
+            rows = [(PAIR, tuple(np.concatenate(c) for c in zip(*pairs, strict=True)))]
             if edges:
+                # the first texts of a bucket are told once it is known to have more
+                past = np.flatnonzero(new & (place == few))
+                out = np.concatenate([np.flatnonzero(new & (place >= few)), *[past - step for step in range(1, few + 1)]])
+                rows.append((MANY, (bucket[out], node[out], node[out], n[out])))
                 if first_bucket is None:
                     first_bucket = bucket[0]
-                e = np.flatnonzero(new & (bucket == first_bucket) & (place <= BACK))
+                e = np.flatnonzero(new & (bucket == first_bucket) & (place < few))
                 rows.append((EDGE, (bucket[e], node[e], node[e], n[e])))
             yield report(*rows)
             last = np.unique(np.concatenate([[leader[-1]], at[max(start[-1], size - BACK - 2) :]]))
@@ -301,7 +298,8 @@ def _met(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = _meet(edge.repartition("bucket").sortWithinPartitions(*order), False)
     both = met.unionByName(again)
     pairs = both.filter(F.col("what") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    return pairs, both.filter(F.col("what") == MANY).select("bucket", F.col("a").alias("node"))
+    # a task sees a bucket at the edge of its range in part, so its size is counted over all tasks
+    return pairs, met.filter(F.col("what") != PAIR).select("bucket", F.col("a").alias("node"))
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -336,7 +334,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _joined_up(comps: DataFrame, found: DataFrame) -> DataFrame:
     """``comps`` with further links: they join whole components, so only the components' names are gone through anew."""
-    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
     known = comps.unionByName(ends.join(comps, "node", "left_anti").withColumn("comp", F.col("node")))
     name = lambda end, out: known.select(F.col("node").alias(end), F.col("comp").alias(out))
     between = found.join(name("a", "ca"), "a").join(name("b", "cb"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
@@ -361,8 +359,8 @@ def _summed(slot, low, high, times) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(blocks[cuts[:-1]], pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names=["block", "slot", "low", "high", "times"])
 
 
-def _slot_table(texts: DataFrame, k: int = SHINGLE) -> np.ndarray:
-    """For each of ``SLOTS`` slots of shingles of k words, a table of fixed size: how many of ``texts`` (node, comp, seq) have one, 0 where all of these are of one component.
+def _slot_table(texts: DataFrame) -> np.ndarray:
+    """For each of ``SLOTS`` slots of labelled words, a table of fixed size: how many of ``texts`` (node, comp, seq) have one, 0 where all of these are of one component.
 
     Tasks' tables are packed by blocks of slots and summed in two steps, 64 of
     them together and then these, so no step holds more than some MB of a task.
@@ -372,7 +370,7 @@ def _slot_table(texts: DataFrame, k: int = SHINGLE) -> np.ndarray:
         held, size = [], 0
         for batch in batches:
             comps = batch.column(1).to_numpy()
-            for i, tok in _labelled(batch.column(2), k):
+            for i, tok in _labelled(batch.column(2)):
                 comp = np.full(len(tok), comps[i])
                 held.append(((tok % np.uint64(SLOTS)).astype(np.int64), comp, comp, np.ones(len(tok), np.int64)))
                 size += len(tok)
@@ -403,91 +401,74 @@ def _slot_table(texts: DataFrame, k: int = SHINGLE) -> np.ndarray:
 
 
 def _enough(times: np.ndarray) -> bool:
-    """Whether so many of a text's shingles may stand in texts of other components that it can be as similar to one as ``SIMILAR``."""
+    """Whether so many of a text's words may stand in texts of other components that it can be as similar to one as ``SIMILAR``."""
     return np.count_nonzero(times) >= math.ceil(len(times) * SIMILAR - 1e-6)
 
 
-def _labelled(column, k: int = SHINGLE):
-    """(row, its labelled shingles of k words) of a column of word sequences."""
+def _labelled(column):
+    """(row, its labelled words) of a column of word sequences."""
     for i, seq in enumerate(column):
         h = np.frombuffer(seq.as_buffer(), "<u4").astype(np.uint64)
-        yield i, shingles(h, np.array([0, len(h)]), k)[0]
+        yield i, shingles(h, np.array([0, len(h)]), 1)[0]
+
+
+def _parities(words: np.ndarray) -> np.ndarray:
+    """Whether the number of labelled words in each of 64 x ``PARITIES`` slots is odd, as longs: a word that only one of two texts has changes one bit."""
+    odd = np.bincount((words >> np.uint64(22)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _left_over(texts: DataFrame) -> DataFrame:
-    """a, b: every pair of ``texts`` (node, comp, seq) of different components whose shingles may be as similar as ``SIMILAR``.
-
-    Shingles are put in one order, those of rare slots first; any order is
-    right, this one keeps common passages out of the way.  If two texts have
-    enough shingles in common, then the first one of these stands among the
-    first fifth of either, and what follows it suffices for the overlap.
-    Shingles of one component alone meet nothing, so a text with too few others
-    can't be in such a pair and is left out first.
+    """a, b: every pair of ``texts`` (node, comp, seq) of different components whose alignment may reach ``SIMILAR``.
+
+    Such texts have that share of their words, labelled by their occurrence, in
+    common.  Words are put in one order, those of rare slots first; any order is
+    right, this one keeps common passages out of the way.  The first word in
+    common stands among the first fifth of either, and what follows it suffices
+    for the overlap.  Words of one component alone meet nothing, so a text with
+    too few others can't be in such a pair and is left out first.  Pairs whose
+    parities differ in more bits than they may in words are left out, too.
     """
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(_slot_table(texts))
-    times_of = lambda tok: sent.value[(tok % np.uint64(SLOTS)).astype(np.int64)]
+    times_of = lambda words: sent.value[(words % np.uint64(SLOTS)).astype(np.int64)]
 
     def possible(batches):
         for batch in batches:
             good = np.zeros(len(batch), bool)
-            for i, tok in _labelled(batch.column(2)):
-                good[i] = _enough(times_of(tok))
+            for i, words in _labelled(batch.column(2)):
+                good[i] = _enough(times_of(words))
             yield batch.filter(pa.array(good))
 
     texts = cut(texts.select("node", "comp", "seq").mapInArrow(possible, "node long, comp long, seq binary"))
     # those that are left out may have been all that others had in common with other components
     sent = spark.sparkContext.broadcast(_slot_table(texts))
+    own = ["node", "comp", "n", "rest", *[f"p{i}" for i in range(PARITIES)]]
 
     def first_fifth(batches):
         for batch in batches:
-            for i, tok in _labelled(batch.column(2)):
-                n, times = len(tok), times_of(tok)
+            rows, found = [], []
+            for i, words in _labelled(batch.column(2)):
+                n, times = len(words), times_of(words)
                 if not _enough(times):
                     continue
-                early = np.lexsort((tok, times))[: n - math.ceil(n * SIMILAR - 1e-6) + 1]
+                early = np.lexsort((words, times))[: n - math.ceil(n * SIMILAR - 1e-6) + 1]
                 met = np.flatnonzero(times[early])
-                node, comp = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(tok[early[met]].view(np.int64)), *[pa.array(np.full(len(met), x, np.int64)) for x in (node, comp, n)], pa.array(n - met)], names=["tok", "node", "comp", "n", "rest"])
-
-    early = cut(texts.select("node", "comp", "seq").mapInArrow(first_fifth, "tok long, node long, comp long, n long, rest long"))
-    one, other = (early.select("tok", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "comp", "n", "rest")]) for end in "ab")
-    enough = F.least("rest_a", "rest_b") * (1 + SIMILAR) >= SIMILAR * (F.col("n_a") + F.col("n_b")) - 1e-6
-    # the tests stand in the join itself, so that a common shingle makes no rows of texts that can't be alike
-    near = one.join(other.withColumnRenamed("tok", "tok_b"), (F.col("tok") == F.col("tok_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & enough)
-    return near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-
-
-def _rare_meetings(texts: DataFrame) -> DataFrame:
-    """a, b: pairs of ``texts`` (node, comp, n, seq) of different components that agree in the least of their rare pairs of words under one of ``RARE_SKETCHES`` hash functions.
-
-    What many texts share says little of two of them, so only pairs of words
-    that stand in several components are looked at, and of these the rarest,
-    two fifths of the text's or fewer.  Near copies among boilerplate share most of
-    them, also where few shingles of five words are left.  Buckets are gone through as the first ones
-    are: pairs grow as the rows.
-    """
-    sent = texts.sparkSession.sparkContext.broadcast(_slot_table(texts.select("node", "comp", "seq"), PAIR_OF_WORDS))
-    salts = [np.uint64((s + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)) for s in range(RARE_SKETCHES)]
-
-    def rarest(batches):
-        for batch in batches:
-            rows, buckets = [], []
-            for i, tok in _labelled(batch.column(2), PAIR_OF_WORDS):
-                times = sent.value[(tok % np.uint64(SLOTS)).astype(np.int64)]
-                met = np.flatnonzero(times)
-                if len(met):
-                    rare = tok[met[np.lexsort((tok[met], times[met]))[: max(1, math.ceil(len(tok) * RARE))]]]
-                    rows.append(i)
-                    buckets.append([int(mix(mix(rare ^ salt).min() ^ salt)) for salt in salts])
+                rows.append(np.full(len(met), i))
+                found.append((words[early[met]].view(np.int64), np.full(len(met), n), n - met, np.tile(_parities(words), (len(met), 1))))
             if rows:
-                at = np.repeat(np.array(rows), RARE_SKETCHES)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(buckets, np.uint64).ravel().view(np.int64)), *[batch.column(c).take(pa.array(at)) for c in (0, 1, 3)]], names=["bucket", "node", "n", "comp"])
+                at, (word, n, rest, parities) = pa.array(np.concatenate(rows)), (np.concatenate(x) for x in zip(*found, strict=True))
+                numbers = [n, rest, *(np.ascontiguousarray(parities[:, i]) for i in range(PARITIES))]
+                yield pa.RecordBatch.from_arrays([pa.array(word), batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, numbers)], names=["word", *own])
 
-    rows = cut(texts.select("node", "n", "seq", "comp").mapInArrow(rarest, "bucket long, node long, n long, comp long"))
-    # buckets of one component have nothing to link
-    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
-    return _met(rows.join(cut(mixed), "bucket", "left_semi").select("bucket", "node", "n"))[0]
+    early = cut(texts.mapInArrow(first_fifth, ", ".join(f"{c} long" for c in ("word", *own))))
+    one, other = (early.select("word", *[F.col(c).alias(f"{c}_{end}") for c in own]) for end in "ab")
+    need = F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    apart = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITIES)), F.lit(0))
+    near = (F.least("rest_a", "rest_b") >= need) & (apart <= F.col("n_a") + F.col("n_b") - 2 * need)
+    # the tests stand in the join itself, so that a common word makes no rows of texts that can't be alike
+    pairs = one.join(other.withColumnRenamed("word", "word_b"), (F.col("word") == F.col("word_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & near)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _hashable(docs: DataFrame) -> list[Column]:
@@ -495,13 +476,6 @@ def _hashable(docs: DataFrame) -> list[Column]:
     return [F.to_json(F.struct(f"`{c}`")) if "map<" in kind or kind == "variant" else F.col(f"`{c}`") for c, kind in docs.dtypes]
 
 
-def _rarely(texts: DataFrame) -> DataFrame:
-    """``_rare_meetings`` of different components."""
-    texts = cut(texts.select("node", "comp", (F.octet_length("seq") / 4).cast("long").alias("n"), "seq"))
-    comp = lambda end: texts.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))
-    return _rare_meetings(texts).join(comp("a"), "a").join(comp("b"), "b").filter("ca <> cb").select("a", "b")
-
-
 def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sketches: int = SKETCHES) -> DataFrame:
     """_id, h1, h2 (hashes of the whole row), class_id, kept of every row; see ``classes``."""
     columns = _hashable(docs)
@@ -510,18 +484,16 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sketches
     sketch_cols = [f"s{i}" for i in range(sketches)]
     nodes = signed.filter("n > 0").groupBy("k1", "k2", "n").agg(*[F.min(c).alias(c) for c in sketch_cols])
     pairs, many = _candidates(nodes, sketches)
-    pairs, many = cut(pairs), cut(many)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(many.select("node")).distinct()
+    pairs, many = cut(pairs), cut(many.distinct())
+    asked = pairs.select("a").union(pairs.select("b")).union(many.select("node")).distinct().withColumnRenamed("a", "node")
     sequences = cut(signed.filter("n > 0").groupBy(F.col("k1").alias("node")).agg(F.first("seq").alias("seq")).join(asked, "node", "left_semi"))
     comps = components(cut(_verified(pairs, sequences)))
-    # Large buckets whose texts are in several components yet: first the exact join, then rare pairs of words.
-    for again in (_left_over, _rarely):
-        wide = cut(many.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-        mixed = cut(wide.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket"))
-        rest = cut(wide.join(mixed, "bucket", "left_semi").select("node", "comp").distinct())
-        if rest.isEmpty():
-            break
-        more = cut(_verified(again(rest.join(sequences, "node")), sequences))
+    # Large buckets whose texts are in several components yet: the exact join.
+    wide = cut(many.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    mixed = cut(wide.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).filter(f"low <> high AND size > {BACK + 2}").select("bucket"))
+    rest = cut(wide.join(mixed, "bucket", "left_semi").select("node", "comp").distinct())
+    if not rest.isEmpty():
+        more = cut(_verified(_left_over(rest.join(sequences, "node")), sequences))
         if not more.isEmpty():
             comps = _joined_up(comps, more)
     # A text without links is a class of its own, known by all of its key.

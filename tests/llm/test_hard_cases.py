@@ -35,6 +35,38 @@ def test_near_copies_among_boilerplate(spark, pairs, shared, edits):
     assert all(i // 2 == c // 2 for i, c in got.items())
 
 
+def test_every_text_of_a_large_bucket_is_told(spark):
+    """Whatever the bucket's number, its texts' lengths and the edges of tasks: a pair that isn't compared is of two such texts."""
+    rng = np.random.default_rng(9)
+    sizes = [1, 2, 3, 5, 6, 40, 900]
+    rows = [(b, 1000 * b + i, int(n)) for b, size in enumerate(sizes) for i, n in enumerate(rng.integers(80, 110, size))]
+    pairs, many = minhash._met(spark.createDataFrame(rows, "bucket long, node long, n long").repartition(3))
+    sized = many.distinct().groupBy("bucket").count().filter(f"count > {minhash.BACK + 2}").collect()
+    assert {r["bucket"]: r["count"] for r in sized} == {4: 6, 5: 40, 6: 900}
+    # small buckets are compared whole
+    met = {(r["a"], r["b"]) for r in pairs.collect()}
+    small = [r for r in rows if sizes[r[0]] <= minhash.BACK + 2]
+    assert all((x[1], y[1]) in met for x in small for y in small if x[0] == y[0] and x[1] < y[1] and min(x[2], y[2]) >= 0.8 * max(x[2], y[2]))
+
+
+def test_the_exact_join_finds_every_alignment(spark):
+    """Links of scattered edits, which have few shingles and no rare pairs of words in common, among texts of one vocabulary."""
+    rng = np.random.default_rng(10)
+    texts = []
+    for _ in range(60):
+        text = rng.integers(0, 60, 90)
+        texts.append(text)
+        for edits in (6, 9, 12):
+            copy = text.copy()
+            copy[rng.choice(90, edits, replace=False)] = rng.integers(0, 60, edits)
+            texts.append(np.delete(copy, rng.integers(0, 90, edits // 3)))
+    texts = [t.astype("<u4") for t in texts]
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if minhash.alignment(texts[a], texts[b])}
+    frame = spark.createDataFrame([(i, i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "node long, comp long, seq binary")
+    got = {(r["a"], r["b"]) for r in minhash._left_over(frame).collect()}
+    assert len(want) > 60 and want <= got and len(got) < 20 * len(want)
+
+
 def test_long_texts_without_anchors():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 50_000, 12_000).astype(np.uint32)
