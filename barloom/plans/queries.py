@@ -320,13 +320,13 @@ def _bucketed(spark, d):
 
 
 def _streamed_signals(spark, d):
-    """Signals of a stream of events' bars that is stopped and started again for each of its files."""
+    """Signals of a stream of events' bars that is stopped and started again for each of its parts."""
     path, days = work_folder(spark, "cycle"), cal.build(spark, *EVENTS_CALENDAR)
     tables, bars = cycle.Tables(spark, path), B.bars_user(spark, d).select(*BARS.names)
     late = spark.createDataFrame([(None, "2024-02-10")], "symbol string, day string").select("symbol", F.col("day").cast("date").alias("date"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in BARS.fields[2:]])
     for part in (B.history(bars, end="2024-01-15"), B.history(bars, start="2024-01-16"), late):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/incoming")
-        cycle.start(spark, f"{path}/incoming", tables, days, f"{path}/checkpoint", [wide_rule()]).awaitTermination()
+        part.write.mode("append").parquet(f"{path}/incoming")
+        cycle.start(spark, f"{path}/incoming", tables, days, f"{path}/checkpoint", [wide_rule()], files_at_once=100_000).awaitTermination()
     return tables.signals.read().select("symbol", "scan_date", F.round("confidence", 6).alias("confidence"))
 
 

@@ -2,8 +2,8 @@
 
 Each symbol's state is the number of its bars, the last 200 of them and the day
 up to which it has been scanned; Spark keeps it in the state store, so a
-query that stops goes on from its checkpoint.  A new bar gives a window of bars
-to be evaluated on its day; days without a bar are scanned with the last one,
+query that stops goes on from its checkpoint.  New bars of a symbol give one window,
+the bars held and the new ones, of which the new are evaluated on their days; days without a bar are scanned with the last one,
 once the watermark has passed them or the next bar comes.  Windows of a
 micro-batch are evaluated by the same Columns as any other scan, and signals,
 bars and due outcomes are appended by their natural keys: a batch
@@ -12,8 +12,7 @@ that runs twice stores nothing twice.
 
 from __future__ import annotations
 
-import datetime as dt
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,67 +28,81 @@ from ..sources.manifest import Table
 from ..sources.sink import KEYS
 
 _VALUES = [c for c in BARS.names if c not in ("symbol", "date")]
-_STATE = "day int, " + ", ".join(f"{c} {BARS[c].dataType.simpleString()}" for c in _VALUES)
-#: A bar of a window: its number in the symbol's history, and of the window's last bar the days that it is to be scanned on.
+#: A bar of a window: its number in the symbol's history, and of the bars that are to be scanned (_last of their days) the first and the last day.
 WINDOWS = "symbol string, date date, " + ", ".join(f"{c} {BARS[c].dataType.simpleString()}" for c in _VALUES) + ", _slice long, _number long, _last boolean, _from date, _until date"
-_EPOCH = dt.date(1970, 1, 1)
 _DAY_MS = 86_400_000
+#: A day that isn't there: numpy's NaT.
+_NONE = np.iinfo(np.int64).min
 #: The symbol of a row that only tells the time.
 HEARTBEAT = ""
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _plain(value):
-    return None if value is None or value != value else value.item() if hasattr(value, "item") else value
+def _dates(days: np.ndarray) -> pd.Series:
+    """Dates of days since 1970."""
+    return pd.Series(days.astype("datetime64[D]").astype("datetime64[s]"))
 
 
 class Held(StatefulProcessor):
-    """The last bars of a symbol, and the windows that new bars and passing days give."""
+    """The last bars of a symbol, and the bars that new ones and passing days ask for: each once, whatever their number."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.bars = handle.getListState("bars", _STATE)
-        self.place = handle.getValueState("place", "n long, upto int")
+        # one value, so a symbol costs one look at the store; bars are doubles (the day and the values), NaN for null
+        self.held = handle.getValueState("held", "n long, upto int, bars binary")
+
+    def _get(self):
+        n, upto, bars = self.held.get() or (0, None, b"")
+        return n, upto, np.frombuffer(bars).reshape(-1, 1 + len(_VALUES))
+
+    def _put(self, n: int, upto: int, bars: np.ndarray, before: int | None) -> None:
+        if before is not None:
+            self.handle.deleteTimer((before + 1) * _DAY_MS)
+        self.held.update((n, upto, bars[-KEPT:].tobytes()))
+        self.handle.registerTimer((upto + 1) * _DAY_MS)
 
-    def _window(self, symbol: str, held: list, n: int, first: int, until: int) -> pd.DataFrame:
-        frame = pd.DataFrame([tuple(b) for b in held], columns=["day", *_VALUES])
-        frame["date"] = [_EPOCH + dt.timedelta(days=int(d)) for d in frame.pop("day")]
-        frame["volume"] = frame["volume"].astype("Int32")
-        last = len(held) - 1
-        marks = {"symbol": symbol, "_slice": first, "_number": range(n - last, n + 1), "_last": [i == last for i in range(len(held))], "_from": _EPOCH + dt.timedelta(days=first), "_until": _EPOCH + dt.timedelta(days=until)}
-        return frame.assign(**marks)[["symbol", "date", *_VALUES, "_slice", "_number", "_last", "_from", "_until"]]
+    def _window(self, symbol: str, bars: np.ndarray, n: int, first: np.ndarray, until: np.ndarray) -> pd.DataFrame:
+        """Bars up to the n-th one; those with a first day to be scanned on are evaluated."""
+        columns = {"symbol": np.full(len(bars), symbol, object), "date": _dates(bars[:, 0].astype(np.int64))}
+        columns |= {c: bars[:, 1 + i] for i, c in enumerate(_VALUES)}
+        columns["volume"] = pd.array(columns["volume"], "Int32")
+        marks = {"_slice": np.full(len(bars), first[first != _NONE].min()), "_number": np.arange(n - len(bars) + 1, n + 1), "_last": first != _NONE, "_from": _dates(first), "_until": _dates(until)}
+        return pd.DataFrame(columns | marks)
 
     def handleInputRows(self, key, rows, timerValues):
         (symbol,) = key
         new = pd.concat(list(rows))
         if symbol == HEARTBEAT:
             return
-        held = [tuple(b) for b in self.bars.get()] if self.bars.exists() else []
-        n, upto = self.place.get() if self.place.exists() else (0, None)
-        for bar in new.drop_duplicates("date").sort_values("date").to_dict("records"):
-            day = (pd.Timestamp(bar["date"]).date() - _EPOCH).days
-            if held and day <= upto:
-                continue  # of a day that has been scanned
-            if held and upto + 1 < day:
-                yield self._window(symbol, held, n, upto + 1, day - 1)
-            held = [*held, (day, *(_plain(bar[c]) for c in _VALUES))][-KEPT:]
-            n, upto = n + 1, day
-            yield self._window(symbol, held, n, day, day)
-        self.bars.put(held)
-        self.place.update((n, upto))
-        self.handle.registerTimer((upto + 1) * _DAY_MS)
+        n, upto, held = self._get()
+        days, at = np.unique(np.array(new["date"].tolist(), "datetime64[D]").astype(np.int64), return_index=True)
+        if len(held):
+            at, days = at[days > upto], days[days > upto]  # the others are of days that have been scanned
+        if not len(days):
+            return
+        bars = np.column_stack([days, new[_VALUES].iloc[at].to_numpy(float, na_value=np.nan)])
+        bars = np.concatenate([held, bars])
+        # a bar is scanned on its day and on those before the next one
+        first, until = np.full(len(bars), _NONE), np.full(len(bars), _NONE)
+        first[len(held) :], until[len(held) :] = days, np.append(days[1:] - 1, days[-1])
+        if len(held) and upto + 1 < days[0]:
+            first[len(held) - 1], until[len(held) - 1] = upto + 1, days[0] - 1
+        n += len(days)
+        yield self._window(symbol, bars, n, first, until)
+        self._put(n, int(days[-1]), bars, upto)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         (symbol,) = key
-        if not self.place.exists():
+        n, upto, held = self._get()
+        if not len(held):
             return
-        n, upto = self.place.get()
         passed = timerValues.getCurrentWatermarkInMs() // _DAY_MS
         if upto < passed:
-            yield self._window(symbol, [tuple(b) for b in self.bars.get()], n, upto + 1, passed)
+            first, until = np.full(len(held), _NONE), np.full(len(held), _NONE)
+            first[-1], until[-1] = upto + 1, passed
+            yield self._window(symbol, held, n, first, until)
             upto = passed
-            self.place.update((n, upto))
-        self.handle.registerTimer((upto + 1) * _DAY_MS)
+        self._put(n, upto, held, None)
 
     def close(self) -> None:
         pass
@@ -102,7 +115,7 @@ def windows(bars: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def signals_of(found: DataFrame, calendar: DataFrame, rules: list) -> DataFrame:
-    """Signals of the windows of a batch: those of each window's last bar, on the trading days that it is scanned on."""
+    """Signals of the windows of a batch: those of each window's bars to be scanned, on their trading days."""
     frame, rules = with_rules(found, rules, by=SLICED)
     hits = evaluate(frame.filter("_last"), rules, keep=("_from", "_until"))
     days = calendar.filter("is_trading").select(F.col("date").alias("_day"))
