@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, rewritten, text_of
 from .words import ALNUM, Powers, grams, mix, text_chunks, word_bounds, word_hashes
 
 #: Words of a shingle, least similarity, sketches, shingles of a sketch.
@@ -316,30 +316,60 @@ def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(align, "a long, b long")
 
 
+def _roots(edges: DataFrame) -> DataFrame:
+    """node, comp of all ends of ``edges`` (a < b): a node goes to the smallest of its neighbours before it, on to that one's, and so to one without any."""
+    up = rewritten(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp")))
+    tops = edges.select(F.col("a").alias("node")).distinct().join(up, "node", "left_anti").withColumn("comp", F.col("node"))
+    while True:
+        jump = up.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+        after = rewritten(up.join(jump, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"), F.col("root").isNotNull().alias("moved")))
+        up = after.select("node", "comp")
+        if after.filter("moved").isEmpty():
+            return rewritten(up.unionByName(tops))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest node of its component): labels pass along edges and then jump to their labels' labels."""
-    around = F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("a", "b"), ("b", "a"), ("a", "a"), ("b", "b"))]))
-    both = cut(edges.select(around.alias("e")).select("e.a", "e.b"))
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")))
+    """node, comp (the smallest node of its component) of all ends of ``edges`` (a < b).
+
+    Each edge is gone through once for the trees that its nodes are in, and once
+    for the trees that it joins: these are few, however many links a large group
+    of near copies has.
+    """
+    return _merged(_roots(edges), edges)
+
+
+def _passed(edges: DataFrame) -> DataFrame:
+    """As ``components``: labels pass along edges and then jump to their labels' labels."""
+    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    ends = edges.select("a").union(back.select("a")).distinct()
+    # every node hears its own label, too
+    both = rewritten(edges.select("a", "b").union(back).union(ends.select("a", F.col("a").alias("b"))))
+    labels = rewritten(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")))
     while True:
-        # every node hears its own label, too
         own = F.min(F.when(F.col("a") == F.col("b"), F.col("comp")))
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("comp"), own.alias("was"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        after = cut(heard.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("root", "comp")).alias("comp")))
+        after = rewritten(heard.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("root", "comp")).alias("comp")))
         labels = after.select("node", "comp")
         if after.filter("was <> comp").isEmpty():
             return labels
 
 
+def _merged(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """``comps``, which name all ends of ``found``, with these links: they join whole components, so only the components' names are gone through anew."""
+    name = lambda end, out: comps.select(F.col("node").alias(end), F.col("comp").alias(out))
+    between = found.join(name("a", "ca"), "a").join(name("b", "cb"), "b").filter("ca <> cb")
+    between = cut(between.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+    if between.isEmpty():
+        return comps
+    merged = _passed(between).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return cut(comps.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+
+
 def _joined_up(comps: DataFrame, found: DataFrame) -> DataFrame:
-    """``comps`` with further links: they join whole components, so only the components' names are gone through anew."""
+    """``comps`` with further links, whose ends may be new."""
     ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    known = comps.unionByName(ends.join(comps, "node", "left_anti").withColumn("comp", F.col("node")))
-    name = lambda end, out: known.select(F.col("node").alias(end), F.col("comp").alias(out))
-    between = found.join(name("a", "ca"), "a").join(name("b", "cb"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    merged = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return cut(known.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+    return _merged(cut(comps.unionByName(ends.join(comps, "node", "left_anti").withColumn("comp", F.col("node")))), found)
 
 
 _SLOT_KINDS = (("slot", np.int32), ("low", np.int64), ("high", np.int64), ("times", np.int32))

@@ -49,6 +49,50 @@ def test_every_text_of_a_large_bucket_is_told(spark):
     assert all((x[1], y[1]) in met for x in small for y in small if x[0] == y[0] and x[1] < y[1] and min(x[2], y[2]) >= 0.8 * max(x[2], y[2]))
 
 
+def test_components_of_a_large_group_go_through_its_links_once(spark, monkeypatch):
+    """Paths, stars, pairs and a group with many links: what is kept grows with the nodes, not with four rows for each link."""
+    rng = np.random.default_rng(12)
+    names = rng.permutation(10**6)[:3000].tolist()
+    path = [(i, i + 1) for i in range(200)]
+    star = [(300, i) for i in range(301, 500)]
+    pairs = [(i, i + 1) for i in range(600, 1000, 2)]
+    group = {tuple(sorted(x)) for x in rng.integers(1000, 3000, (30_000, 2)).tolist() if x[0] != x[1]}
+    edges = [tuple(sorted((names[a], names[b]))) for a, b in [*path, *star, *pairs, *group]]
+    comp = {x: x for e in edges for x in e}
+
+    def root(x):
+        while comp[x] != x:
+            comp[x] = x = comp[comp[x]]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        comp[max(a, b)] = min(a, b)
+    kept = []
+
+    def counted(keep):
+        def of(df):
+            out = keep(df)
+            kept.append(out.count())
+            return out
+
+        return of
+
+    monkeypatch.setattr(minhash, "cut", counted(minhash.cut))
+    monkeypatch.setattr(minhash, "rewritten", counted(minhash.rewritten))
+    got = {r["node"]: r["comp"] for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in comp}
+    assert max(kept) < len(edges) / 2
+    # further links, of which some have new ends
+    more = [(names[200], names[300]), (names[2999], names[601]), (names[999], names[250]), (names[251], names[252])]
+    for a, b in more:
+        comp.setdefault(a, a), comp.setdefault(b, b)
+        a, b = root(a), root(b)
+        comp[max(a, b)] = min(a, b)
+    comps = spark.createDataFrame(list(got.items()), "node long, comp long")
+    assert {r["node"]: r["comp"] for r in minhash._joined_up(comps, spark.createDataFrame(more, "a long, b long")).collect()} == {x: root(x) for x in comp}
+
+
 def test_the_exact_join_finds_every_alignment(spark):
     """Links of scattered edits, which have few shingles and no rare pairs of words in common, among texts of one vocabulary."""
     rng = np.random.default_rng(10)
