@@ -11,9 +11,10 @@ components of all links.
 Rows of buckets are dealt by ranges of (bucket, words, text), so a bucket of any
 size spreads over as many tasks as it needs, and a task goes through them in
 this order.  A text is compared with the first of its bucket of no less than
-0.8 of its length and with the ``BACK`` texts before it: pairs grow as the
-rows.  In a bucket of up to ``BACK`` + 2 texts these are all pairs.  Where a
-larger one is still in several components, whatever its sketch, all of its
+0.8 of its length and with the ``BACK`` texts before it, from the ``BACK`` + 3rd
+of a bucket on with one: pairs grow as the rows.  In a bucket of up to ``BACK``
++ 2 texts these are all pairs.  Where a larger one is still in several
+components, whatever its sketch, all of its
 texts go through an exact join: aligned texts of that similarity have as many
 of their words in common, so they share one of the rarest fifth of them, early
 enough in both for the rest to suffice.  No pair of these texts that alignment
@@ -38,7 +39,7 @@ from .words import ALNUM, Powers, grams, mix, text_chunks, word_bounds, word_has
 
 #: Words of a shingle, least similarity, sketches, shingles of a sketch.
 SHINGLE, SIMILAR, SKETCHES, ORDER = 5, 0.8, 24, 2
-#: Texts before it that a text of a bucket is compared with.
+#: Texts before it that one of the first texts of a bucket is compared with; later ones have the exact join.
 BACK = 3
 #: Words of two texts up to which they are aligned in one piece; beyond, common shingles anchor pieces, and only what fails then is aligned as a whole.
 WHOLE = 8192
@@ -220,9 +221,12 @@ def _meet(dealt: DataFrame, edges: bool) -> DataFrame:
     """what, bucket, a, b, n from rows (bucket, node, n) in order of (bucket, n, node).
 
     Each text meets the leader, the first of its bucket of no less than
-    ``SIMILAR`` of its length, and the ``BACK`` texts before it.  A task knows
-    only its own range, so with ``edges`` it reports the leader and the outer
-    texts of its first and last bucket, which meet once more.
+    ``SIMILAR`` of its length, and the ``BACK`` texts before it, from the
+    ``BACK`` + 3rd on the one before it.  This drops no link: ``MANY`` tells of
+    every text of such a bucket, and ``judged`` joins them exactly where they
+    aren't of one component.  A task knows only its own range, so with ``edges``
+    it reports the leader and the outer texts of its first and last bucket,
+    which meet once more.
     """
     names, few = ["what", "bucket", "a", "b", "n"], BACK + 2
 
@@ -265,6 +269,8 @@ def _meet(dealt: DataFrame, edges: bool) -> DataFrame:
                 good = new & (mate < at) & (n[mate] >= SIMILAR * n)
                 if step:
                     good &= mate != leader
+                if step > 1:
+                    good &= place < few
                 pairs.append((bucket[good], node[mate[good]], node[good], n[good]))
             rows = [(PAIR, tuple(np.concatenate(c) for c in zip(*pairs, strict=True)))]
             if edges:

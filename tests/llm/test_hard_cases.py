@@ -49,6 +49,12 @@ def test_every_text_of_a_large_bucket_is_told(spark):
     assert all((x[1], y[1]) in met for x in small for y in small if x[0] == y[0] and x[1] < y[1] and min(x[2], y[2]) >= 0.8 * max(x[2], y[2]))
 
 
+def test_texts_of_a_large_bucket_meet_two_others(spark):
+    """The leader and the text before it: the exact join, which all of them are told to, has the rest."""
+    pairs, many = minhash._met(spark.createDataFrame([(1, i, 100) for i in range(2000)], "bucket long, node long, n long").repartition(3))
+    assert many.distinct().count() == 2000 and 2000 <= pairs.count() < 2.1 * 2000
+
+
 def test_components_of_a_large_group_go_through_its_links_once(spark, monkeypatch):
     """Paths, stars, pairs and a group with many links: what is kept grows with the nodes, not with four rows for each link."""
     rng = np.random.default_rng(12)
