@@ -2,16 +2,16 @@
 
 Texts are split into words as the tokenizer splits them.  Spark counts the
 distinct words, and each of them is encoded once; the table is written.  The
-commonest words, a bounded number of short ones, are sent to the tasks.  All
-other words of a document travel as (document, place, word), meet the table in
-a join, and their ids go back to their places.  Decoding joins ids to the
-vocabulary's pieces.
+commonest words, a bounded number of short ones, are sent to the tasks.  Some
+MB of documents are a chunk, one row of word numbers; its other words travel as
+(chunk, place, word), meet the table in a join, and their ids go back to the
+chunk.  Decoding joins ids to the vocabulary's pieces.
 """
 
 from __future__ import annotations
 
-import collections
 import functools
+import hashlib
 import itertools
 import json
 import re
@@ -26,15 +26,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import rewritten, text_of
 from .words import text_chunks
 
 #: Most words that are sent to the tasks, and the most bytes of each.
 COMMON, COMMON_BYTES = 1 << 18, 64
-#: Distinct words that a task counts before it hands them on, and words of documents that are put together at once.
-COUNTED, TOGETHER = 1 << 17, 1 << 18
-#: Parts of texts whose words a worker keeps, and bytes of texts that are looked at together.
-KEPT, TEXT_BYTES = 1 << 16, 2 << 20
+#: Distinct words that a task counts before it hands them on, and bytes of texts that are looked at together.
+COUNTED, TEXT_BYTES = 1 << 19, 4 << 20
 
 # The steps of the vocabulary before its merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -54,6 +52,18 @@ def _plain_characters() -> dict[str, str]:
     return {k: "".join(map(re.escape, sorted(set(v)))) for k, v in kinds.items()}
 
 
+def _ranges(escaped: str) -> str:
+    """Escaped characters as ranges of a class that Arrow's patterns know."""
+    codes = sorted({ord(c) for c in re.sub(r"\\(.)", r"\1", escaped, flags=re.DOTALL)})
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+
+
 class Splitter:
     """Words of texts, as the tokenizer's normalizer and splitting give them; a special token in a text is a word of its own."""
 
@@ -78,12 +88,10 @@ class Splitter:
         self.rare = re.compile(f"[^{''.join(kinds.values())}]").search
         self.spaces = re.compile(f"[{kinds['space']}]+").split
         # the same for Arrow, whose patterns know fewer escapes
-        known = sorted({ord(c) for v in kinds.values() for c in re.sub(r"\\(.)", r"\1", v, flags=re.DOTALL)})
-        runs = [[c, c] for c in known if c - 1 not in (have := set(known))]
-        for r in runs:
-            while r[1] + 1 in have:
-                r[1] += 1
-        self.odd = "|".join(["[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]", *(re.escape(t) for t in self.special)])
+        ranges = {k: _ranges(v) for k, v in kinds.items()}
+        self.odd = "|".join([f"[^{''.join(ranges.values())}]", *(re.escape(t) for t in self.special)])
+        self.not_letters = f"[^{ranges['letter']}]"
+        self.each = f"('s|'t|'re|'ve|'m|'ll|'d|[{ranges['letter']}]+|[{ranges['number']}]|[{ranges['other']}]+)"
 
     @functools.cached_property
     def whole(self):
@@ -133,6 +141,34 @@ class Splitter:
         place = np.where(mask, np.cumsum(mask) - 1 + len(plain), np.cumsum(~mask) - 1)
         return pa.concat_arrays([plain, others]).take(pa.array(place))
 
+    def _words_of(self, parts: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+        """(words, where each part's begin, how many they are): plain parts by Arrow, others one by one."""
+        odd = pc.match_substring_regex(parts, self.odd).to_numpy(zero_copy_only=False) if self.plain else np.ones(len(parts), bool)
+        full = pc.not_equal(parts, "").to_numpy(zero_copy_only=False)
+        plain = full & ~odd
+        one = np.zeros(len(parts), bool)
+        lower = pc.utf8_lower(parts.filter(pa.array(plain)))
+        one[plain] = pc.invert(pc.match_substring_regex(lower, self.not_letters)).to_numpy(zero_copy_only=False)
+        several = pc.split_pattern(pc.ascii_rtrim(pc.replace_substring_regex(lower.filter(pa.array(~one[plain])), self.each, r"\1 "), " "), " ")
+        others = [self.words(p) for p in parts.filter(pa.array(full & odd)).to_pylist()]
+        lengths, begin, at = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), 0
+        for which, sizes in ((one, 1), (plain & ~one, several.value_lengths().to_numpy()), (full & odd, np.fromiter(map(len, others), np.int64, len(others)))):
+            lengths[which] = sizes
+            ends = at + np.cumsum(lengths[which])
+            begin[which] = ends - lengths[which]
+            at = ends[-1] if len(ends) else at
+        flat = pa.concat_arrays([lower.filter(pa.array(one[plain])), several.flatten(), pa.array(itertools.chain.from_iterable(others), pa.string())])
+        return flat.dictionary_encode(), begin, lengths
+
+    def numbered(self, column: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+        """(the distinct words of some texts, the number among them of each word that stands there, the end of each text)."""
+        lists = self.lists(column)
+        parts = lists.flatten().dictionary_encode()
+        words, begin, lengths = self._words_of(parts.dictionary)
+        at = parts.indices.to_numpy()
+        numbers, part_ends = gathered(words.indices.to_numpy(), begin[at], lengths[at])
+        return words.dictionary, numbers, np.concatenate([[0], part_ends])[np.cumsum(lists.value_lengths().to_numpy())]
+
     def encode(self, words: list[str]) -> list[list[int]]:
         """The ids of each of some words."""
         out: list[list[int]] = [[self.special[w]] if w in self.special else [] for w in words]
@@ -170,62 +206,26 @@ def gathered(flat: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> tuple[
     return flat[np.repeat(begin - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
-class Numbers(dict):
-    """Numbers of the words of each part of a text: those of common words, and negative ones for others, which are in ``others``."""
+def _common(common: Broadcast) -> pa.StringArray:
+    """The common words; one array for each worker, the last broadcast's."""
+    words, _, _, name = common.value
+    if _HELD.get("name") != name:
+        _HELD["name"], _HELD["common"] = name, pc.split_pattern(pa.array([words] if words else [], pa.string()), "\n").flatten()
+    return _HELD["common"]
 
-    def __init__(self, path: str, common: list[str]):
-        self.splitter, self.index, self.others = _splitter(path), {w: n for n, w in enumerate(common)}, []
 
-    def __missing__(self, part: str) -> tuple:
-        out = []
-        for w in self.splitter.words(part):
-            n = self.index.get(w)
-            if n is None:
-                self.others.append(w)
-                n = -len(self.others)
-            out.append(n)
-        self[part] = out = tuple(out)
-        return out
+#: Some documents: their ids, how many words each has, the words' numbers, and the words that aren't common.
+CHUNK = pa.struct({"doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "numbers": pa.binary(), "words": pa.binary()})
 
-    def of(self, column: pa.StringArray):
-        """(numbers of all words of some texts, the end of each text, texts, places and names of their other words).
 
-        The number of another word is -1 less its place among the text's other
-        words, in the order in which they first stand there.
-        """
-        if len(self) > KEPT:
-            self.clear()
-            self.others.clear()
-        lists = self.splitter.lists(column)
-        parts = lists.flatten().dictionary_encode()
-        found = [self[p] for p in parts.dictionary.to_numpy(zero_copy_only=False).tolist()]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(lengths.sum()))
-        at = parts.indices.to_numpy()
-        numbers, part_ends = gathered(flat, (np.cumsum(lengths) - lengths)[at], lengths[at])
-        ends = np.concatenate([[0], part_ends])[np.cumsum(lists.value_lengths().to_numpy())]
-        strange = np.flatnonzero(numbers < 0)
-        text = np.searchsorted(ends, strange, "right")
-        known: dict[str, int] = {}  # several parts may have one word
-        word = np.array([known.setdefault(self.others[-1 - n], len(known)) for n in numbers[strange].tolist()], np.int64)
-        names = list(known)
-        _, first, again = np.unique(text * max(1, len(names)) + word, return_index=True, return_inverse=True)
-        order = np.argsort(first)
-        first = first[order]
-        before = np.searchsorted(text[first], text[first])
-        place = np.arange(len(first)) - before
-        ranked = np.empty(len(first), np.int64)
-        ranked[order] = place
-        numbers[strange] = -1 - ranked[again]
-        return numbers.astype(np.int32), ends, text[first], place, [names[w] for w in word[first].tolist()]
-
-
-def _numbers(path: str, common: Broadcast) -> Numbers:
-    """One for each worker; the last broadcast's."""
-    words, _, _, name = common.value
-    if _HELD.get("name") != name:
-        _HELD["name"], _HELD["numbers"] = name, Numbers(path, words.split("\n") if words else [])
-    return _HELD["numbers"]
+def _key(doc_ids: pa.Array, texts: pa.StringArray) -> tuple[int, int]:
+    """A chunk's key, by all that it holds."""
+    h = hashlib.blake2b(digest_size=16)
+    for x in (doc_ids.fill_null(0), doc_ids.is_null().cast(pa.int8()), pc.binary_length(texts)):
+        h.update(x.to_numpy())
+    for _, data, _ in text_chunks(texts, 1 << 31):
+        h.update(data)
+    return tuple(np.frombuffer(h.digest(), np.int64).tolist())
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -242,26 +242,30 @@ def word_counts(texts: DataFrame, path: str) -> DataFrame:
     """word, n: the distinct words of all texts of a one-column frame.  Tasks add up before the shuffle."""
 
     def count(batches):
-        split, seen = _splitter(path), {}
+        split, names, counts = _splitter(path), [pa.array([], pa.string())], [np.zeros(0, np.int64)]
 
-        def handed():
-            words = collections.Counter()
-            for part, n in seen.items():
-                for w in split.words(part):
-                    words[w] += n
-            for at in range(0, len(names := list(words)), 50_000):
-                some = names[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([words[w] for w in some], pa.int64())], names=["word", "n"])
+        def added():
+            words = pa.concat_arrays(names).dictionary_encode()
+            n = np.zeros(len(words.dictionary), np.int64)
+            np.add.at(n, words.indices.to_numpy(), np.concatenate(counts))
+            return words.dictionary, n
+
+        def handed(words, n):
+            for at in range(0, len(words), 50_000):
+                yield pa.RecordBatch.from_arrays([words.slice(at, 50_000), pa.array(n[at : at + 50_000])], names=["word", "n"])
 
         for batch in batches:
             for _, texts in _slices(batch.column(0)):
-                parts = split.lists(texts).flatten().dictionary_encode()
-                for part, n in zip(parts.dictionary.to_numpy(zero_copy_only=False).tolist(), np.bincount(parts.indices.to_numpy(), minlength=len(parts.dictionary)).tolist(), strict=True):
-                    seen[part] = seen.get(part, 0) + n
-                if len(seen) >= COUNTED:
-                    yield from handed()
-                    seen.clear()
-        yield from handed()
+                words, numbers, _ = split.numbered(texts)
+                names.append(words)
+                counts.append(np.bincount(numbers, minlength=len(words)))
+                if sum(map(len, names)) >= 2 * COUNTED:
+                    words, n = added()
+                    if len(words) >= COUNTED:
+                        yield from handed(words, n)
+                        words, n = words.slice(0, 0), n[:0]
+                    names, counts = [words], [n]
+        yield from handed(*added())
 
     return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -277,7 +281,7 @@ def word_table(texts: DataFrame, path: str) -> DataFrame:
                 ids = split.encode(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
-    return cut(word_counts(texts, path).mapInArrow(encode, "word string, n long, ids array<int>"))
+    return rewritten(word_counts(texts, path).mapInArrow(encode, "word string, n long, ids array<int>"))
 
 
 def _least_count(table: DataFrame, most: int) -> int:
@@ -299,9 +303,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
     columns of any name are let be.  Special tokens that stand in a text become
     their ids.  ``most`` common words go to the tasks, which changes no result.
     """
+    return _encoded(docs, path, id_col, text, most, False)
+
+
+def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", most: int = COMMON) -> DataFrame:
+    """doc_id, ids, decoded: ``decode`` of ``encode``, by the same Python workers."""
+    return _encoded(docs, path, id_col, text, most, True)
+
+
+def _encoded(docs: DataFrame, path: str, id_col: str, text: str, most: int, decoded: bool) -> DataFrame:
     spark = docs.sparkSession
-    body = text_of(docs, text)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(id_col, body).alias("k1"), F.xxhash64(F.lit("second"), id_col, body).alias("k2"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     table = word_table(rows.select("text"), path)
     short = F.octet_length("word") <= COMMON_BYTES
     least = _least_count(table.filter(short), most)
@@ -315,67 +327,73 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
     common = spark.sparkContext.broadcast(("\n".join(held.column("word").to_pylist()), lengths, flat, uuid.uuid4().hex))
     del held, ids, lengths, flat
 
-    def uncommon(batches):
-        numbers = _numbers(path, common)
+    def chunks(batches):
+        known, split = _common(common), _splitter(path)
         for batch in batches:
-            for begin, texts in _slices(batch.column(0)):
-                _, _, text, place, word = numbers.of(texts)
-                at = pa.array(text + begin)
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(place, pa.int32()), pa.array(word, pa.string())], names=["k1", "k2", "place", "word"])
+            for begin, texts in _slices(batch.column(1)):
+                doc_ids = batch.column(0).slice(begin, len(texts))
+                words, numbers, ends = split.numbered(texts)
+                at = pc.index_in(words, value_set=known)
+                others = words.filter(at.is_null())
+                of = at.fill_null(0).to_numpy().astype(np.int32)
+                of[at.is_null().to_numpy(zero_copy_only=False)] = -1 - np.arange(len(others))
+                chunk = {"doc_ids": doc_ids.to_pylist(), "lengths": np.diff(ends, prepend=0), "numbers": packed(of[numbers]), "words": zstandard.ZstdCompressor().compress("\n".join(others.to_pylist()).encode())}
+                k1, k2 = _key(doc_ids, texts)
+                yield pa.RecordBatch.from_arrays([pa.array([k1]), pa.array([k2]), pa.array([chunk], CHUNK)], names=["k1", "k2", "chunk"])
 
-    def places(batches):
-        numbers = _numbers(path, common)
+    def uncommon(batches):
         for batch in batches:
-            for begin, texts in _slices(batch.column(0)):
-                each, ends, *_ = numbers.of(texts)
-                out = [packed(x) for x in np.split(each, ends[:-1])]
-                yield pa.RecordBatch.from_arrays([*[c.slice(begin, len(texts)) for c in batch.columns[1:]], pa.array(out, pa.binary())], names=["k1", "k2", "doc_id", "words"])
+            for k1, k2, chunk in zip(*batch.columns, strict=True):
+                if words := zstandard.ZstdDecompressor().decompress(chunk["words"].as_py()).decode():
+                    words = pc.split_pattern(pa.array([words]), "\n").flatten()
+                    n = len(words)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(k1, n), pa.repeat(k2, n), pa.array(np.arange(n, dtype=np.int32)), words], names=["k1", "k2", "place", "word"])
 
-    def put_together(batches):
+    def put_together(these: pa.Table, others: pa.Table) -> pa.Table:
         _, lengths, flat, _ = common.value
-        offsets = np.cumsum(lengths) - lengths
-
-        def ids_of(doc_ids, numbers, tails, tail_lengths):
-            every = np.concatenate([flat, *tails])
-            each = np.concatenate([lengths, np.array(tail_lengths, np.int64)])
-            begin = np.concatenate([offsets, len(flat) + np.cumsum(tail_lengths) - tail_lengths]).astype(np.int64)
-            of = np.concatenate(numbers)
-            ids, ends = gathered(every, begin[of], each[of])
-            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in numbers])])]
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
-
-        for batch in batches:
-            doc_ids, numbers, tails, tail_lengths, held = [], [], [], [], 0
-            for doc_id, words, others in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                x = unpacked(words.as_py())
-                if others.is_valid:
-                    found = {o["place"]: o["ids"] for o in others.as_py()}
-                    base = len(lengths) + len(tail_lengths)
-                    x = np.where(x < 0, base - 1 - x, x)
-                    tails += [np.array(found[p], np.int32) for p in range(len(found))]
-                    tail_lengths += [len(found[p]) for p in range(len(found))]
-                doc_ids.append(doc_id.as_py())
-                numbers.append(x)
-                held += len(x)
-                if held >= TOGETHER:
-                    yield ids_of(doc_ids, numbers, tails, tail_lengths)
-                    doc_ids, numbers, tails, tail_lengths, held = [], [], [], [], 0
-            if doc_ids:
-                yield ids_of(doc_ids, numbers, tails, tail_lengths)
+        _, first = np.unique(others.column("place").to_numpy(), return_index=True)
+        tail = others.column("ids").combine_chunks().take(pa.array(first))
+        every = np.concatenate([flat, tail.flatten().to_numpy()])
+        each = np.concatenate([lengths, tail.value_lengths().to_numpy().astype(np.int64)])
+        begin = np.cumsum(each) - each
+        out = []
+        for chunk in these.column("chunk").to_pylist():
+            x = unpacked(chunk["numbers"])
+            if len(x) and -x.min() > len(first):
+                raise ValueError("words of a chunk have no ids")
+            x = np.where(x < 0, len(lengths) - 1 - x, x)
+            ids, ends = gathered(every, begin[x], each[x])
+            cuts = np.concatenate([[0], ends])[np.cumsum([0, *chunk["lengths"]])]
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
+            out.append(pa.RecordBatch.from_arrays([pa.array(chunk["doc_ids"], pa.int64()), lists, *([joined(lists, pieces(path))] if decoded else [])], names=["doc_id", "ids", "decoded"][: 2 + decoded]))
+        return pa.Table.from_batches(out, pa.schema({"doc_id": pa.int64(), "ids": pa.list_(pa.int32())} | ({"decoded": pa.string()} if decoded else {})))
 
     rest = table.filter(~(short & (F.col("n") >= least))).select("word", "ids")
-    tail = rows.select("text", "k1", "k2").mapInArrow(uncommon, "k1 long, k2 long, place int, word string")
-    back = tail.join(rest, "word").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "ids")).alias("others"))
-    sequences = rows.select("text", "k1", "k2", "doc_id").mapInArrow(places, "k1 long, k2 long, doc_id long, words binary")
-    return sequences.join(back, ["k1", "k2"], "left").select("doc_id", "words", "others").mapInArrow(put_together, "doc_id long, ids array<int>")
+    # one exchange for both of its uses: each takes all of its columns
+    dealt = rows.mapInArrow(chunks, "k1 long, k2 long, chunk struct<doc_ids array<long>, lengths array<int>, numbers binary, words binary>").repartition("k1", "k2")
+    back = dealt.mapInArrow(uncommon, "k1 long, k2 long, place int, word string").join(rest, "word").select("k1", "k2", "place", "ids").repartition("k1", "k2")
+    return dealt.groupBy("k1", "k2").cogroup(back.groupBy("k1", "k2")).applyInArrow(put_together, "doc_id long, ids array<int>" + ", decoded string" * decoded)
 
 
+@functools.lru_cache(1)
 def pieces(path: str) -> pa.Array:
     """The vocabulary's pieces by id; ids without one are null."""
     whole = _splitter(path).whole
     return pa.array([whole.id_to_token(i) for i in range(max(whole.get_vocab().values(), default=-1) + 1)], pa.string())
 
 
+def joined(lists: pa.ListArray, table: pa.Array) -> pa.StringArray:
+    """The pieces of each list of ids, joined by spaces."""
+    flat = lists.flatten()
+    known = pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
+    found = table.take(pc.if_else(known, flat, pa.scalar(None, flat.type)))
+    parent = pc.list_parent_indices(lists)
+    there = found.is_valid()
+    sizes = np.bincount(parent.filter(there).to_numpy(), minlength=len(lists)) if len(parent) else np.zeros(len(lists), np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found.filter(there)), " ")
+
+
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``rows`` with ``decoded``: the pieces of all ids, special ones too, joined by spaces as the tokenizer does without a decoder.
 
@@ -389,16 +407,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         table = pieces(path)
         at = names.index(ids)
         for batch in batches:
-            lists = batch.column(at)
-            flat = lists.flatten()
-            known = pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
-            found = table.take(pc.if_else(known, flat, pa.scalar(None, flat.type)))
-            parent = pc.list_parent_indices(lists)
-            there = found.is_valid()
-            sizes = np.bincount(parent.filter(there).to_numpy(), minlength=len(lists)) if len(parent) else np.zeros(len(lists), np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found.filter(there)), " ")
-            yield pa.RecordBatch.from_arrays([*batch.columns, joined], names=[*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined(batch.column(at), table)], names=[*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(join_pieces, f"{fields}, decoded string")

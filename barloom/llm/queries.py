@@ -73,7 +73,7 @@ def word_vocabulary() -> str:
 
 def op12_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = word_vocabulary()
-    read = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    read = bpe.tokens(table(spark, sf_dir, "documents"), path)
     digest = lambda text: F.sha2(text.cast("binary"), 256)
     return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 

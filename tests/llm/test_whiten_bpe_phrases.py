@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -128,6 +129,31 @@ def test_each_distinct_word_is_encoded_once(spark, tokenizer):
     assert {r["word"]: (r["n"], r["ids"]) for r in table.collect()} == {w: (n, tokenizer.encode(w).ids) for w, n in (("a", 3), ("cat", 2), ("cats", 1), (",", 1))}
 
 
+def test_words_of_a_column_are_those_of_each_text():
+    split = bpe.Splitter(word_vocabulary())
+    texts = [*odd_texts(1500), "", "It's \"'tis\" they'll've 'S", "a1b22 c--d..e", " \x00a\x01 ", "<|endoftext|>A", "Łódź ŁÓDŹ"]
+    names, numbers, ends = split.numbered(pa.array(["cut off", *texts])[1:])
+    words = [names[n].as_py() for n in numbers]
+    assert [words[a:b] for a, b in zip([0, *ends], ends)] == [split(t) for t in texts] and len(set(names.to_pylist())) == len(names)
+
+
+def test_equal_chunks_and_their_copies(spark, tokenizer):
+    texts = ["some words", None, "Zyxwv zyxwv qqqq", "word " * 500, "qqqq"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = bpe.tokens(frame.union(frame).union(frame.filter("doc_id > 1")), word_vocabulary(), most=2).collect()
+    want = collections.Counter((i, *expected(tokenizer, t)) for i, t in [*enumerate(texts)] * 2 + [*enumerate(texts)][2:])
+    assert collections.Counter((r["doc_id"], len(r["ids"]), digest(" ".join(map(str, r["ids"]))), digest(r["decoded"])) for r in rows) == want
+
+
+def test_texts_are_split_into_numbers_once_and_a_task_has_one_python_worker(spark):
+    frame = bpe.tokens(spark.read.parquet(f"{FOLDER}/documents.parquet"), word_vocabulary(), most=40)
+    assert len(frame.collect()) == len(pd.read_parquet(f"{FOLDER}/documents.parquet", columns=["doc_id"]))
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("FileScan parquet [doc_id") == 1
+    for stage in plan.split("Exchange hashpartitioning"):
+        assert len(re.findall("MapInArrow|CoGroupsInArrow", stage)) < 2
+
+
 def test_decoding_of_any_ids(spark, tokenizer):
     frame = spark.createDataFrame([(1, [5, 49407, 300]), (2, []), (3, None), (4, [None, 7, -1, 10**6])], "a int, ids array<int>")
     got = {r["a"]: r["decoded"] for r in bpe.decode(frame, word_vocabulary()).collect()}
